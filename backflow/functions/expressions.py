@@ -88,10 +88,16 @@ def clean_email(col: Column) -> Column:
     return F.lower(F.trim(col))
 
 
+def round_to(col: Column, digits: int) -> Column:
+    """Round half away from zero on the scaled double, as numpy-style engines do."""
+    step = float(10**digits)
+    return F.round(col * step) / step
+
+
 def rounded(df: DataFrame, digits: int = 6, only: list[str] | None = None) -> DataFrame:
     """Round every double column; -0.0 becomes 0.0."""
     names = only or [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
-    return df.withColumns({n: F.round(F.col(n), digits) + F.lit(0.0) for n in names})
+    return df.withColumns({n: round_to(F.col(n), digits) + F.lit(0.0) for n in names})
 
 
 def all_of(conds: list[Column]) -> Column:
