@@ -52,20 +52,19 @@ def return_behavior(bronze: DataFrame) -> DataFrame:
         F.countDistinct(F.when(is_returned(), F.col("q_sku_id"))).alias("variety"),
         F.sum(flag(is_returned())).alias("ret_items"),
     )
-    return _behavior_from_sums(sums)
+    return sums.select(ID, *_behavior_columns())
 
 
-def _behavior_from_sums(sums: DataFrame) -> DataFrame:
+def _behavior_columns() -> list[Column]:
     rate = F.coalesce(ratio(F.col("back"), F.col("sold")), F.lit(0.0))
-    return sums.select(
-        ID,
+    return [
         rate.alias("return_rate"),
         rate.alias("return_ratio"),
         or_zero(F.col("variety")).alias("return_product_variety"),
         F.coalesce(ratio(F.col("ret_items"), F.col("orders")), F.lit(0.0)).alias("avg_returns_per_order"),
         F.coalesce(ratio(F.col("ret_items"), F.col("items")), F.lit(0.0)).alias("return_frequency_ratio"),
         F.coalesce(ratio(F.col("back"), F.col("ret_items")), F.lit(0.0)).alias("return_intensity"),
-    )
+    ]
 
 
 def order_returns(bronze: DataFrame) -> DataFrame:
@@ -362,17 +361,16 @@ def monetary_raw(bronze: DataFrame) -> DataFrame:
             F.countDistinct(F.when(high & is_returned(), F.col("sales_order_no"))).alias("high_back"),
         )
     )
-    return _monetary_from_sums(sums)
+    return sums.select(ID, *_monetary_columns())
 
 
-def _monetary_from_sums(sums: DataFrame) -> DataFrame:
+def _monetary_columns(orders: str = "orders", back: str = "back") -> list[Column]:
     share = ratio(F.col("high_back"), F.col("high"))
-    return sums.select(
-        ID,
-        F.coalesce(ratio(F.col("value"), F.col("orders")), F.lit(0.0)).alias("avg_order_value"),
-        F.when(F.col("back") == 0, 0.0).otherwise(ratio(F.col("back_value"), F.col("back"))).alias("avg_return_value"),
+    return [
+        F.coalesce(ratio(F.col("value"), F.col(orders)), F.lit(0.0)).alias("avg_order_value"),
+        F.when(F.col(back) == 0, 0.0).otherwise(ratio(F.col("back_value"), F.col(back))).alias("avg_return_value"),
         (F.coalesce(share, F.lit(0.0)) * 100).alias("high_value_return_affinity"),
-    )
+    ]
 
 
 def clip_scale_0_100(df: DataFrame, cols: list[str], p: float = 0.99) -> DataFrame:
@@ -397,13 +395,13 @@ def monetary(bronze: DataFrame) -> DataFrame:
 # --- all groups ---------------------------------------------------------------------
 
 
-def core_metrics(bronze: DataFrame, days: int = RECENT_DAYS) -> DataFrame:
+def core_metrics(bronze: DataFrame, days: int = RECENT_DAYS, money: bool = True) -> DataFrame:
     """All sums behind F-01, F-02, F-04, F-05, F-10 and F-21 in two passes.
 
     Folding to (customer, order) first turns every distinct order count into a
     plain sum, so the wide aggregate needs no row expansion for distincts.
     """
-    limit = quantile_scalar(bronze, "gross", 0.75, discrete=True)
+    limit = quantile_scalar(bronze, "gross", 0.75, discrete=True) if money else F.lit(None).cast("double")
     recent = F.col("order_date") >= F.col("_cutoff")
     priced = F.col("gross").isNotNull()
     high = F.col("gross") > F.col("_limit")
@@ -455,38 +453,54 @@ def core_metrics(bronze: DataFrame, days: int = RECENT_DAYS) -> DataFrame:
     return per_customer.join(skus, ID, "left").withColumns({"skus": or_zero(F.col("skus")), "variety": or_zero(F.col("variety"))})
 
 
-def core_features(bronze: DataFrame, days: int = RECENT_DAYS) -> dict[str, DataFrame]:
-    """Feature groups derived from one :func:`core_metrics` frame."""
-    core = core_metrics(bronze, days)
+CORE_GROUPS = {
+    "basic_volume": ["sales_order_no_nunique", "sku_nunique", "items_returned_count", "sales_qty_mean", "avg_order_size"],
+    "return_behavior": [
+        "return_rate", "return_ratio", "return_product_variety", "avg_returns_per_order", "return_frequency_ratio", "return_intensity",
+    ],
+    "temporal": [
+        "customer_lifetime_days", "avg_days_to_return", "return_timing_spread", "first_order_date", "last_order_date", "customer_tenure_stage",
+    ],
+    "recency": ["recent_orders", "recent_returns", "recent_vs_avg_ratio", "behavior_stability_score"],
+    "totals": ["total_sales_qty", "total_return_qty"],
+    "monetary": ["avg_order_value", "avg_return_value", "high_value_return_affinity"],
+}
+
+
+def core_table(bronze: DataFrame, days: int = RECENT_DAYS, money: bool = True) -> DataFrame:
+    """The core groups side by side, one row per customer, from :func:`core_metrics`."""
     n, s, q = F.col("gaps"), F.col("gap_sum"), F.col("gap_squares")
     variance = F.try_divide(q - s * s.cast("double") / n, (n - 1).cast("double"))
     spread = F.coalesce(F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))), F.lit(0.0))
-    volume = core.select(
+    table = core_metrics(bronze, days, money).select(
         ID,
         F.col("orders").alias("sales_order_no_nunique"),
         F.col("skus").alias("sku_nunique"),
         F.col("ret_items").alias("items_returned_count"),
         ratio(F.col("sold"), F.col("sold_rows")).alias("sales_qty_mean"),
         ratio(F.col("items"), F.col("orders")).alias("avg_order_size"),
-    )
-    timing = core.select(
-        ID,
+        *_behavior_columns(),
         F.col("life").alias("customer_lifetime_days"),
         F.coalesce(ratio(s, n), F.lit(0.0)).alias("avg_days_to_return"),
         spread.alias("return_timing_spread"),
         "first_order_date",
         "last_order_date",
         banded(F.col("life"), TENURE_BANDS, "Veteran").alias("customer_tenure_stage"),
+        *_recency_columns(days),
+        F.col("sold").alias("total_sales_qty"),
+        F.col("back").alias("total_return_qty"),
+        # Customers without any price have no monetary values.
+        *([F.when(F.col("value").isNotNull(), c).alias(name) for c, name in zip(_monetary_columns("priced", "priced_back"), CORE_GROUPS["monetary"])] if money else []),
     )
-    money = core.where(F.col("value").isNotNull()).select(ID, F.col("priced").alias("orders"), "value", F.col("priced_back").alias("back"), "back_value", "high", "high_back")
-    return {
-        "basic_volume": volume,
-        "return_behavior": _behavior_from_sums(core),
-        "temporal": timing,
-        "recency": core.select(ID, *_recency_columns(days)),
-        "monetary": clip_scale_0_100(_monetary_from_sums(money), ["avg_order_value", "avg_return_value"]),
-        "totals": core.select(ID, F.col("sold").alias("total_sales_qty"), F.col("back").alias("total_return_qty")),
-    }
+    return clip_scale_0_100(table, ["avg_order_value", "avg_return_value"]) if money else table
+
+
+def core_features(bronze: DataFrame, days: int = RECENT_DAYS) -> dict[str, DataFrame]:
+    """The core groups as separate frames over one shared plan."""
+    table = core_table(bronze, days)
+    groups = {name: table.select(ID, *cols) for name, cols in CORE_GROUPS.items()}
+    groups["monetary"] = groups["monetary"].where(F.col("avg_order_value").isNotNull())
+    return groups
 
 
 def create_all_features(bronze: DataFrame) -> dict[str, DataFrame]:
