@@ -18,13 +18,15 @@ def cte(name: str, sql: str) -> str:
 def twin(body: str) -> str:
     """``WITH`` every CTE the body needs, in dependency order, then the body."""
     done: list[str] = []
+    active: set[str] = set()
 
     def visit(text: str) -> None:
         for name in CTES:
-            if name not in done and re.search(rf"\b{name}\b", text):
-                visit(CTES[name])
-                if name not in done:
-                    done.append(name)
+            if name in done or name in active or not re.search(rf"\b{name}\b", text):
+                continue
+            active.add(name)  # a recursive CTE mentions itself
+            visit(CTES[name])
+            done.append(name)
 
     visit(body)
     if not done:
