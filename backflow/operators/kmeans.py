@@ -33,7 +33,7 @@ def fit_kmeans(df: DataFrame, k: int, n_init: int = 3, max_iter: int = 500, seed
 
 def kmeans_search(df: DataFrame, ks: list[int], n_init: int = 3, key: str = "id", seed: int = 42) -> DataFrame:
     """One row per k: inertia, silhouette, Calinski-Harabasz, Davies-Bouldin."""
-    data = _features(df).persist()
+    data = _features(df.select(key, "v")).persist()
     rows = []
     for k in ks:
         model = fit_kmeans(data, k, n_init, seed=seed)
@@ -67,7 +67,7 @@ def choose_k(search: DataFrame, min_silhouette: float = 0.3) -> tuple[int, dict[
 def kmeans_final(df: DataFrame, k: int, noise: DataFrame | None = None, n_init: int = 3, key: str = "id", seed: int = 42) -> tuple[DataFrame, dict]:
     """(key, cluster) for every row, -1 for the rows of ``noise``, and quality figures."""
     clean = df.join(noise.select(key), key, "left_anti") if noise is not None else df
-    data = _features(clean).persist()
+    data = _features(clean.select(key, "v")).persist()
     model = fit_kmeans(data, k, n_init, seed=seed)
     labelled = model.transform(data).select(key, "v", "label")
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
