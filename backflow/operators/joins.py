@@ -117,7 +117,7 @@ def similar_ids(ids: DataFrame, col: str = ID, threshold: float = 0.8) -> DataFr
     fits = F.levenshtein("w", "w2") <= F.col("e")
     pairs = short.join(long, ["e", "seg"]).where(near & placed).where(fits)
     named = pairs.select(F.least("w", "w2").alias("email1"), F.greatest("w", "w2").alias("email2")).distinct()
-    score = 1.0 - F.levenshtein("email1", "email2") / F.greatest(F.length("email1"), F.length("email2"))
+    score = 1.0 - F.try_divide(F.levenshtein("email1", "email2").cast("double"), F.greatest(F.length("email1"), F.length("email2")))
     return named.withColumn("similarity", score).where(F.col("similarity") >= threshold)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from backflow.operators.metrics import calinski_harabasz, davies_bouldin, silhouette_value
+from backflow.session import checkpoint
 
 
 def to_vectors(df: DataFrame, cols: list[str], key: str) -> DataFrame:
@@ -19,6 +20,12 @@ def _features(df: DataFrame, vec: str = "v") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vec)))
 
 
+def _prepared(df: DataFrame, key: str) -> DataFrame:
+    """Vectors cached behind a lineage cut: every pass of the fit ships its
+    lineage with the tasks, which for a feature build is most of the time."""
+    return _features(checkpoint(df.select(key, "v"))).persist()
+
+
 def fit_kmeans(df: DataFrame, k: int, n_init: int = 3, max_iter: int = 500, seed: int = 42, tol: float = 1e-4):
     """Model with the lowest cost over ``n_init`` seeds (k-means|| starts)."""
     from pyspark.ml.clustering import KMeans
@@ -33,7 +40,7 @@ def fit_kmeans(df: DataFrame, k: int, n_init: int = 3, max_iter: int = 500, seed
 
 def kmeans_search(df: DataFrame, ks: list[int], n_init: int = 3, key: str = "id", seed: int = 42) -> DataFrame:
     """One row per k: inertia, silhouette, Calinski-Harabasz, Davies-Bouldin."""
-    data = _features(df.select(key, "v")).persist()
+    data = _prepared(df, key)
     rows = []
     for k in ks:
         model = fit_kmeans(data, k, n_init, seed=seed)
@@ -67,7 +74,7 @@ def choose_k(search: DataFrame, min_silhouette: float = 0.3) -> tuple[int, dict[
 def kmeans_final(df: DataFrame, k: int, noise: DataFrame | None = None, n_init: int = 3, key: str = "id", seed: int = 42) -> tuple[DataFrame, dict]:
     """(key, cluster) for every row, -1 for the rows of ``noise``, and quality figures."""
     clean = df.join(noise.select(key), key, "left_anti") if noise is not None else df
-    data = _features(clean.select(key, "v")).persist()
+    data = _prepared(clean, key)
     model = fit_kmeans(data, k, n_init, seed=seed)
     labelled = model.transform(data).select(key, "v", "label")
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
