@@ -14,6 +14,7 @@ from backflow.functions.expressions import (
 )
 from backflow.operators.ordered import with_running
 from backflow.operators.quantiles import quantile_row, quantile_scalar
+from backflow.session import checkpoint
 
 RECENT_DAYS = 90
 
@@ -389,7 +390,7 @@ def clip_scale_0_100(df: DataFrame, cols: list[str], p: float = 0.99) -> DataFra
 
 
 def monetary(bronze: DataFrame) -> DataFrame:
-    return clip_scale_0_100(monetary_raw(bronze), ["avg_order_value", "avg_return_value"])
+    return clip_scale_0_100(checkpoint(monetary_raw(bronze)), ["avg_order_value", "avg_return_value"])
 
 
 # --- all groups ---------------------------------------------------------------------
@@ -492,7 +493,9 @@ def core_table(bronze: DataFrame, days: int = RECENT_DAYS, money: bool = True) -
         # Customers without any price have no monetary values.
         *([F.when(F.col("value").isNotNull(), c).alias(name) for c, name in zip(_monetary_columns("priced", "priced_back"), CORE_GROUPS["monetary"])] if money else []),
     )
-    return clip_scale_0_100(table, ["avg_order_value", "avg_return_value"]) if money else table
+    # The clip limits need the finished values: the customer rows are cut off
+    # here, or the lines would be read and aggregated a second time.
+    return clip_scale_0_100(checkpoint(table), ["avg_order_value", "avg_return_value"]) if money else table
 
 
 def core_features(bronze: DataFrame, days: int = RECENT_DAYS) -> dict[str, DataFrame]:

@@ -1,12 +1,12 @@
 """Exact quantiles without putting a column into one task.
 
 ``percentile`` keeps every distinct value of a group in one buffer, which does
-not hold for a global quantile over a large table. Here equal values are first
-folded into counts, so a value held by a third of all rows is one row. Values
-then fall into buckets by exponent and leading mantissa bits, an
-order-preserving function of the value alone. Bucket totals (their number is
-bounded by the double format, not by the data) tell which bucket holds a wanted
-rank, and only the distinct values of those buckets are sorted.
+not hold for a global quantile over a large table. Here values fall into buckets
+by exponent and leading mantissa bits, an order-preserving function of the value
+alone. Bucket totals combine on the map side (their number is bounded by the
+double format, not by the data) and tell which bucket holds a wanted rank. Only
+the values of those buckets are shuffled, equal ones folded into counts first,
+so a value held by a third of all rows is one row per task.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     discrete: bool = False,
+    many_groups: bool = False,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs``.
 
@@ -46,12 +47,8 @@ def exact_quantiles(
     """
     keys = groups or ["_all"]
     base = df if groups else df.withColumn("_all", F.lit(0))
-    folded = (
-        base.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", value_bucket(F.col("_v")))
-    )
+    v = F.col(value).cast("double")
+    valued = base.where(F.col(value).isNotNull()).select(*keys, v.alias("_v"), value_bucket(v).alias("_bucket"))
 
     ranks: dict[str, Column] = {}
     for name, p in probs.items():
@@ -66,18 +63,20 @@ def exact_quantiles(
 
     ordered = Window.partitionBy(*keys).orderBy("_bucket")
     hit = (
-        folded.groupBy(*keys, "_bucket")
-        .agg(F.sum("_n").alias("_size"))
+        valued.groupBy(*keys, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_size"))
         .withColumn("_before", F.coalesce(F.sum("_size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_total", F.sum("_size").over(Window.partitionBy(*keys)))
         .where(any_of([holds(F.col("_before"), F.col("_size"), r) for r in ranks.values()]))
         .drop("_size")
     )
+    # At most two buckets per probability and group. Groups are columns and
+    # segments in this library; a caller with many groups says so and the join
+    # strategy is left to the planner.
+    hit = hit if many_groups else F.broadcast(hit)
+    folded = valued.join(hit, [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_before", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        folded.join(hit, [*keys, "_bucket"])
-        .withColumn("_start", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))
-    )
+    placed = folded.withColumn("_start", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))
     picked = placed.groupBy(*keys).agg(
         F.max("_total").alias("_total"),
         *[F.max(F.when(holds(F.col("_start"), F.col("_n"), r), F.col("_v"))).alias(n) for n, r in ranks.items()],
