@@ -119,9 +119,9 @@ on_lines("prj_08_standardize_flag", lambda b: b.select(
 SELECT upper(units_returned_flag) = 'YES' AS yes, coalesce(CASE WHEN line_no <> 4 THEN units_returned_flag END, 'Unknown') AS flag, count(*) AS n FROM order_lines GROUP BY 1, 2""")
 on_lines("prj_09_coerce_qty", lambda b: b.select("sku", "line_no", clean.to_quantity(F.when(F.col("line_no") == 2, F.lit("x")).otherwise(F.col("sales_qty").cast("string"))).alias("qty")), """
 SELECT sku, line_no, CASE WHEN line_no = 2 THEN 0e0 ELSE CAST(sales_qty AS DOUBLE) END AS qty FROM order_lines""")
-# 25569 is the day number of 1970-01-01 when day 0 is 1899-12-30.
 on_lines("prj_10_excel_serial_to_ts", lambda b: b.select(
-    "sku", "line_no", clean.excel_serial_to_ts(F.coalesce((F.unix_seconds(F.col("order_date").cast("timestamp")) / 86400.0 + 25569).cast("string"), F.lit("-"))).alias("ts")),
+    "sku", "line_no", clean.excel_serial_to_ts(F.coalesce(
+        (F.timestamp_diff("SECOND", F.lit("1899-12-30 00:00:00").cast("timestamp_ntz"), F.col("order_date")) / 86400.0).cast("string"), F.lit("-"))).alias("ts")),
     "SELECT sku, line_no, order_date AS ts FROM order_lines")
 on_lines("prj_12_predicates", lambda b: b.where(
     F.col("return_date").isNotNull() & F.col("sales_qty").between(5, 20) & F.col("brand_").isin("Brand#1", "Brand#2", "Brand#3")
