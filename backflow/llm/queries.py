@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backflow.llm import binpack, packing, tokens
+from backflow.llm import binpack, decontam, neardup, packing, tokens
 from backflow.llm.common import read
 
 
@@ -16,9 +16,17 @@ def op6_packed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.packed_matrix(read(spark, sf_dir, "documents"))
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), with_spans=False)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_curve_packing, op6_packed_matrix, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_curve_packing, op6_packed_matrix, op7_lsh_forest, op8_decontamination, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
