@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backflow.llm import binpack, decontam, neardup, packing, tokens
+from backflow.llm import binpack, decontam, neardup, packing, secrets, tokens
 from backflow.llm.common import read
 
 
@@ -12,6 +12,10 @@ def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_along_curve(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(read(spark, sf_dir, "documents"))
+
+
 def op6_packed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.packed_matrix(read(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_curve_packing, op6_packed_matrix, op7_lsh_forest, op8_decontamination, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_curve_packing, op4_secret_scan, op6_packed_matrix, op7_lsh_forest, op8_decontamination, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op4_secret_scan": secrets.oracle()}
