@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backflow.llm import binpack, decontam, neardup, packing, secrets, tokens
+from backflow.llm import binpack, decontam, neardup, packing, secrets, tokens, toxicity
 from backflow.llm.common import read
 
 
@@ -16,6 +16,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_packed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.packed_matrix(read(spark, sf_dir, "documents"))
 
@@ -32,5 +37,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_curve_packing, op4_secret_scan, op6_packed_matrix, op7_lsh_forest, op8_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_curve_packing, op4_secret_scan, op5_toxicity, op6_packed_matrix, op7_lsh_forest, op8_decontamination, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op4_secret_scan": secrets.oracle()}
