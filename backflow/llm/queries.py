@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backflow.llm import binpack, decontam, neardup, packing, secrets, tokens, toxicity
+from backflow.llm import binpack, decontam, neardup, packing, secrets, tokens, toxicity, vectors
 from backflow.llm.common import read
 
 
@@ -33,9 +33,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), with_spans=False)
 
 
+def op9_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_curve_packing, op4_secret_scan, op5_toxicity, op6_packed_matrix, op7_lsh_forest, op8_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_curve_packing, op4_secret_scan, op5_toxicity, op6_packed_matrix, op7_lsh_forest, op8_decontamination, op9_pivot_permutations, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op4_secret_scan": secrets.oracle()}
