@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backflow.llm import binpack, decontam, neardup, packing, secrets, tokens, toxicity, vectors
+from backflow.llm import binpack, decontam, extract, neardup, packing, secrets, tokens, toxicity, urlrules, vectors
 from backflow.llm.common import read
 
 
+#: The listed rules of the url query.
+URL_RULES = [("com/", urlrules.ALLOW), ("example.com/en/", urlrules.BLOCK), ("www.example.com/en/", urlrules.ALLOW), ("net/es/", urlrules.BLOCK), ("net/fr/", urlrules.BLOCK)]
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.url_verdicts(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op2_wrapper_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(read(spark, sf_dir, "pages"))
+
+
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_along_curve(read(spark, sf_dir, "documents"), with_ids=False)
 
@@ -41,5 +53,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_curve_packing, op4_secret_scan, op5_toxicity, op6_packed_matrix, op7_lsh_forest, op8_decontamination, op9_pivot_permutations, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_wrapper_texts, op3_curve_packing, op4_secret_scan, op5_toxicity, op6_packed_matrix, op7_lsh_forest, op8_decontamination, op9_pivot_permutations, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op4_secret_scan": secrets.oracle()}
