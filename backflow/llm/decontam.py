@@ -218,7 +218,7 @@ def contamination(
         parts = [rows.mapInArrow(hits(index, True), schema + ", row long") for index in indexes]
         found = parts[0]
         for part in parts[1:]:
-            found = found.union(part.filter(F.size("items") > 0))
+            found = found.union(part.filter(F.size("spans") > 0))
         out = found.groupBy("row").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         merge = """aggregate(spans, cast(array() as array<array<bigint>>), (acc, s) ->
             case when size(acc) > 0 and element_at(acc, -1)[1] >= s[0]

@@ -112,9 +112,9 @@ def mined_verdict(tokens: Column, rules: list[tuple[tuple[str, ...], str, float,
     needs = F.array(*[F.lit(len(r[0])) for r in rules])
     hits = F.flatten(F.filter(F.transform(tokens, lambda t: index[t]), lambda x: x.isNotNull()))
     met = F.filter(F.array_distinct(hits), lambda n: F.size(hits) - F.size(F.array_remove(hits, n)) == F.element_at(needs, n + 1))
-    first = F.array_min(met)
+    found, first = F.size(met) > 0, F.coalesce(F.array_min(met), F.lit(0))
     verdicts, texts = F.array(*[F.lit(r[1]) for r in rules]), F.array(*[F.lit(" ".join(r[0])) for r in rules])
-    return F.coalesce(F.element_at(verdicts, first + 1), F.lit(default)), F.element_at(texts, first + 1)
+    return F.when(found, F.element_at(verdicts, first + 1)).otherwise(F.lit(default)), F.when(found, F.element_at(texts, first + 1))
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", default: str = ALLOW, **mining) -> DataFrame:
