@@ -144,8 +144,8 @@ cte("gram", "SELECT " + ", ".join(f"sum({a} * {b}) AS g{i}{j}" for i, a in enume
 cte("gram_det", "SELECT *, g00 * (g11 * g22 - g12 * g12) - g01 * (g01 * g22 - g12 * g02) + g02 * (g01 * g12 - g11 * g02) AS det FROM gram")
 on_base("fs_05_vif", lambda s: pre.vif(s, _VIF), f"""SELECT 'return_rate' AS feature, {r6('g00 * (g11 * g22 - g12 * g12) / det', 'vif')} FROM gram_det UNION ALL
 SELECT 'avg_order_size', {r6('g11 * (g00 * g22 - g02 * g02) / det', 'vif')} FROM gram_det UNION ALL SELECT 'return_intensity', {r6('g22 * (g00 * g11 - g01 * g01) / det', 'vif')} FROM gram_det""")
-on_base("fs_06_rf_importance", lambda s: pre.rf_importance(s, NUMERIC[:10], trees=20))
-on_base("fs_07_importance_stability", lambda s: pre.importance_stability(s, NUMERIC[:8], folds=5, trees=5))
+on_base("fs_06_rf_importance", lambda s: pre.rf_importance(s, NUMERIC))
+on_base("fs_07_importance_stability", lambda s: pre.importance_stability(s, NUMERIC))
 _IV = ["return_rate", "avg_order_size", "recent_returns", "sku_nunique"]
 
 
@@ -187,8 +187,8 @@ SELECT '{c}' AS feature, {r6('(sum(n * pow(m - gm, 2)) / (count(*) - 1)) / (sum(
 _DISC = ["return_rate", "avg_order_size", "customer_lifetime_days", "recent_returns", "return_intensity"]
 on_segments("fs_11_discriminative_features", lambda s: pre.discriminative_features(s, _DISC, 3), "SELECT * FROM (" + U.join(
     f"SELECT '{c}' AS feature, {r6('var_pop(m)', 'variance')} FROM (SELECT avg({c}) AS m FROM labelled WHERE cluster <> -1 GROUP BY cluster)" for c in _DISC) + ") ORDER BY variance DESC LIMIT 3")
-on_segments("fs_11_cluster_feature_matrix", lambda s: pre.cluster_feature_matrix(s, _DISC, [0, 1, 2, 3], 5), U.join(
-    f"SELECT '{c}' AS feature, " + ", ".join(r6(f"avg({c}) FILTER (WHERE cluster = {k})", f"cluster_{k}") for k in range(4)) + " FROM labelled" for c in _DISC))
+on_segments("fs_11_cluster_feature_matrix", lambda s: pre.cluster_feature_matrix(s, _DISC, list(range(8)), 5), U.join(
+    f"SELECT '{c}' AS feature, " + ", ".join(r6(f"avg({c}) FILTER (WHERE cluster = {k})", f"cluster_{k}") for k in range(8)) + " FROM labelled" for c in _DISC))
 on_segments("fs_12_between_within_ratio", lambda s: pre.between_within_ratio(s, _DISC), U.join(f"""
 SELECT '{c}' AS feature, {r6('b / w', 'importance_score')}, {r6('b', 'between_cluster_variance')}, {r6('w', 'within_cluster_variance')}, {r6('gm', 'overall_mean')}, {r6('sd', 'overall_std')}
 FROM (SELECT avg(pow(m - gm, 2)) AS b FROM (SELECT avg({c}) AS m FROM labelled GROUP BY cluster), (SELECT avg({c}) AS gm FROM labelled)), (SELECT var_samp({c}) AS w, avg({c}) AS gm, stddev_samp({c}) AS sd FROM labelled)""" for c in _DISC))
@@ -197,15 +197,10 @@ on_base("out_01_describe_outliers", lambda s: outliers.describe_outliers(outlier
 
 # --- clustering ------------------------------------------------------------------------------------------
 
-# Three coordinates of the embedding, so that density at a small radius means something.
-EPS, MIN = 0.045, 5
-
-
-def low_dim(spark, sf):
-    return common.vectors(spark, sf).withColumn("v", F.slice("v", 1, 3))
-
-
-cte("pts", "SELECT vec_id AS id, CAST(embedding AS DOUBLE[])[1:3] AS v, CAST(label AS INT) AS label FROM embeddings")
+# Whole embeddings: at this radius most points are core points, but not all.
+EPS, MIN = 1.2, 5
+whole = common.vectors
+cte("pts", "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, CAST(label AS INT) AS label FROM embeddings")
 
 
 def _dbscan_ctes(prefix: str, pts: str, eps: float, need: int) -> None:
@@ -226,27 +221,60 @@ def recursive(sql: str) -> str:
 
 cte("pts_all", "SELECT 0 AS grp, id, v FROM pts")
 _dbscan_ctes("d1_", "pts_all", EPS, MIN)
-register("c_01_dbscan", lambda spark, sf: db.dbscan(low_dim(spark, sf), EPS, MIN, block_rows=200))
+register("c_01_dbscan", lambda spark, sf: db.dbscan(whole(spark, sf), EPS, MIN, block_rows=200))
 TWINS["c_01_dbscan"] = recursive("SELECT id, cluster, is_core FROM d1_label")
-register("c_01_dbscan_summary", lambda spark, sf: db.dbscan_summary(db.dbscan(low_dim(spark, sf), EPS, MIN)))
+register("c_01_dbscan_summary", lambda spark, sf: db.dbscan_summary(db.dbscan(whole(spark, sf), EPS, MIN)))
 TWINS["c_01_dbscan_summary"] = recursive("""SELECT count(DISTINCT cluster) FILTER (WHERE cluster <> -1) AS n_clusters, count(*) FILTER (WHERE cluster = -1) AS noise_points, count(*) FILTER (WHERE is_core) AS core_points,
  round(avg(CASE WHEN cluster = -1 THEN 1e0 ELSE 0e0 END), 6) AS noise_ratio, avg(CASE WHEN cluster = -1 THEN 1e0 ELSE 0e0 END) <= 0.15 AS noise_acceptable FROM d1_label""")
 cte("pts_sub", "SELECT grp, id, v FROM (SELECT CAST(label % 3 AS INT) - 1 AS grp, id, v FROM pts) WHERE grp <> -1")
-_dbscan_ctes("d2_", "pts_sub", 0.05, 4)
+_dbscan_ctes("d2_", "pts_sub", 1.19, 4)
 cte("sub_info", "SELECT grp, count(DISTINCT cluster) FILTER (WHERE cluster <> -1) AS subs FROM d2_label GROUP BY grp")
-register("c_05_sub_dbscan", lambda spark, sf: db.sub_dbscan(low_dim(spark, sf), low_dim(spark, sf).select("id", (F.col("label") % 3 - 1).alias("cluster")), 0.05, 4)[0])
+register("c_05_sub_dbscan", lambda spark, sf: db.sub_dbscan(whole(spark, sf), whole(spark, sf).select("id", (F.col("label") % 3 - 1).alias("cluster")), 1.19, 4)[0])
 TWINS["c_05_sub_dbscan"] = recursive("""SELECT p.id, CAST(label % 3 AS INT) - 1 AS cluster, CASE WHEN subs > 1 AND s.cluster <> -1 THEN s.cluster END AS sub,
  CAST(CASE WHEN subs > 1 AND s.cluster <> -1 THEN label % 3 * 1000 + s.cluster + 1 ELSE label % 3 - 1 END AS INT) AS final_id
  FROM pts p LEFT JOIN d2_label s ON p.id = s.id LEFT JOIN sub_info i ON s.grp = i.grp""")
-whole = lambda spark, sf: common.vectors(spark, sf)
-register("c_02_kmeans_search", lambda spark, sf: km.kmeans_search(low_dim(spark, sf), [3, 4, 5], n_init=1))
-register("c_03_choose_k", lambda spark, sf: spark.createDataFrame([(km.choose_k(km.kmeans_search(low_dim(spark, sf), [3, 4, 5], n_init=1))[0],)], "k int"))
-register("c_04_kmeans_final", lambda spark, sf: km.kmeans_final(low_dim(spark, sf), 4, low_dim(spark, sf).where("label = 9").select("id"), n_init=1)[0])
+KS = list(range(3, 15))
+STARTS = 20
+
+
+def _search(spark, sf):
+    return km.kmeans_search(whole(spark, sf), KS, STARTS)
+
+
+def _fit_facts(data, ks):
+    """Facts of the fits that hold for any start: rows counted, each at its nearest returned centre, inertia as recomputed."""
+    rows = []
+    for k, (inertia, centers) in km.fit_kmeans(data, ks, STARTS).items():
+        labelled = km.with_labels(data, centers, "id")
+        means = data.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "label int, center array<double>")
+        gaps = labelled.join(means, "label").withColumn("own", metrics.squared_distance(F.col("v"), F.col("center")))
+        every = F.array_min(F.transform(F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers]), lambda c: metrics.squared_distance(F.col("v"), c)))
+        row = gaps.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("k"), F.sum("own").alias("cost"), F.max(F.col("own") - every).alias("worse")).first()
+        rows.append((k, row.n, row.k, abs(row.cost - inertia) <= 1e-6 * max(1.0, inertia), row.worse <= 1e-9))
+    return data.sparkSession.createDataFrame(rows, "k int, n long, clusters long, inertia_recomputed boolean, all_nearest boolean")
+
+
+_FACTS = "SELECT CAST(k AS INT) AS k, (SELECT count(*) FROM embeddings) AS n, CAST(k AS BIGINT) AS clusters, true AS inertia_recomputed, true AS all_nearest FROM (SELECT unnest([{}]) AS k)"
+register("c_02_kmeans_search", _search)
+register("c_02_kmeans_facts", lambda spark, sf: _fit_facts(whole(spark, sf), KS), _FACTS.format(", ".join(map(str, KS))))
+register("c_03_choose_k", lambda spark, sf: spark.createDataFrame([(km.choose_k(_search(spark, sf))[0],)], "k int"))
+register("c_04_kmeans_final", lambda spark, sf: km.kmeans_final(whole(spark, sf), 4, whole(spark, sf).where("label = 9").select("id"), STARTS)[0])
+register("c_04_final_sizes", lambda spark, sf: km.kmeans_final(whole(spark, sf), 4, whole(spark, sf).where("label = 9").select("id"), STARTS)[0].agg(
+    F.count(F.lit(1)).alias("customers"), F.count_if(F.col("cluster") == -1).alias("noise"), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters")),
+    "SELECT count(*) AS customers, count(*) FILTER (WHERE label = 9) AS noise, CAST(4 AS BIGINT) AS clusters FROM embeddings")
 cte("vecs", "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, CAST(label AS INT) AS label FROM embeddings")
-cte("pair_dist", "SELECT a.id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS d, count(*) AS n FROM vecs a JOIN vecs b ON true GROUP BY a.id, a.label, b.label")
-register("c_06_silhouette", lambda spark, sf: metrics.silhouette(whole(spark, sf)), """
-SELECT round(avg(CASE WHEN n <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM (
- SELECT id, max(CASE WHEN other = label THEN n END) AS n, max(CASE WHEN other = label AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN other <> label THEN d / n END) AS b FROM pair_dist GROUP BY id)""")
+
+
+def silhouette_sql(points: str) -> str:
+    """Mean silhouette on squared distances of (id, v, label) rows, from sums per cluster."""
+    return f"""SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END) AS silhouette FROM (
+ SELECT id, max(CASE WHEN label = other AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN label <> other THEN d / n END) AS b FROM (
+  SELECT p.id, p.label, c.label AS other, c.n, greatest(c.n * list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, c.s) + c.q, 0) AS d FROM {points} p, (
+   SELECT label, list(x ORDER BY i) AS s, any_value(n) AS n, any_value(q) AS q FROM (SELECT label, i, sum(x) AS x, count(*) AS n FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {points}) GROUP BY label, i)
+   JOIN (SELECT label, sum(list_dot_product(v, v)) AS q FROM {points} GROUP BY label) USING (label) GROUP BY label) c) GROUP BY id)"""
+
+
+register("c_06_silhouette", lambda spark, sf: metrics.silhouette(whole(spark, sf)), f"SELECT round(silhouette, 6) AS silhouette FROM ({silhouette_sql('vecs')})")
 cte("mid", "SELECT label, list(m ORDER BY i) AS c, any_value(n) AS n FROM (SELECT label, i, avg(x) AS m, count(*) AS n FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs) GROUP BY label, i) GROUP BY label")
 cte("grand", "SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs) GROUP BY i)")
 register("c_07_calinski_harabasz", lambda spark, sf: metrics.calinski_harabasz(whole(spark, sf)), """
@@ -290,8 +318,17 @@ def _totals(s):
 
 
 cte("totals", "SELECT count(*) AS total_customers, count(*) FILTER (WHERE cluster <> -1) AS clustered_customers, count(*) FILTER (WHERE cluster = -1) AS noise_customers FROM goldish")
-_final = lambda part: lambda s: report.final_report(report.cluster_summary_table(s), _totals(s), 0.342)[part]
-on_segments("c_13_report_summary", _final("summary"), f"SELECT *, {r6('100e0 * clustered_customers / total_customers', 'clustered_pct')}, {r6('100e0 * noise_customers / total_customers', 'noise_pct')}, 'Fair' AS quality_rating FROM totals")
+
+
+def _segment_silhouette(s):
+    points = km.to_vectors(s.where("cluster <> -1"), _DISC, ID).withColumnRenamed("id", ID).join(s.select(ID, F.col("cluster").alias("label")), ID)
+    return metrics.silhouette_value(points)
+
+
+cte("seg_points", f"SELECT customer_emailid AS id, cluster AS label, [{', '.join(f'coalesce(CAST({c} AS DOUBLE), 0)' for c in _DISC)}] AS v FROM clean_rows")
+cte("seg_silhouette", silhouette_sql("seg_points"))
+_final = lambda part: lambda s: report.final_report(report.cluster_summary_table(s), _totals(s), _segment_silhouette(s) if part == "summary" else None)[part]
+on_segments("c_13_report_summary", _final("summary"), f"SELECT *, {r6('100e0 * clustered_customers / total_customers', 'clustered_pct')}, {r6('100e0 * noise_customers / total_customers', 'noise_pct')}, (SELECT CASE WHEN silhouette > 0.7 THEN 'Excellent' WHEN silhouette > 0.5 THEN 'Good' WHEN silhouette > 0.3 THEN 'Fair' ELSE 'Poor' END FROM seg_silhouette) AS quality_rating FROM totals")
 on_segments("c_13_report_profiles", _final("profiles"), f"""SELECT *, {_STRATEGY} FROM (SELECT cluster_id, clustering_method, customer_count, {', '.join(r6(c, c) for c in _R)}, {_archetype_case('avg_return_rate', 'avg_order_count', 'avg_lifetime_days')} AS business_archetype FROM summary_rows)""")
 on_segments("c_13_recommendations", _final("recommendations"), """
 SELECT topic, count(*) AS clusters, CAST(sum(customer_count) AS BIGINT) AS customers FROM (
@@ -311,14 +348,14 @@ on_segments("c_16_assignments", report.assignments, f"""SELECT g.customer_emaili
 def _quality(spark, sf):
     s = common.segments(spark, sf)
     g = s.withColumn("data_quality_flags", F.when(F.col("feature_completeness_score") < 0.9, "LOW_COMPLETENESS;").otherwise(""))
-    return report.quality_metrics(quality.layer_quality_scores(clean.fix_return_dates(order_lines(spark, sf)), s, g), s, 0.342)
+    return report.quality_metrics(quality.layer_quality_scores(clean.fix_return_dates(order_lines(spark, sf)), s, g), s, _segment_silhouette(s))
 
 
 register("c_17_quality_metrics", _quality, f"""
 SELECT 'Data Quality' AS metric_category, concat(layer, ' Quality Score') AS metric_name, {r6('s', 'value')} FROM (SELECT 'Bronze Layer' AS layer, 100e0 * count(*) FILTER (WHERE data_quality_flags = '') / count(*) AS s FROM fixed
  UNION ALL SELECT 'Silver Layer', avg(feature_completeness_score) * 100 FROM goldish UNION ALL SELECT 'Gold Layer', 100e0 * count(*) FILTER (WHERE data_quality_flags = '') / count(*) FROM gold_flags)
 UNION ALL SELECT 'Coverage', 'Customer Coverage Rate', {r6('100e0 * count(*) FILTER (WHERE cluster <> -1) / count(*)', 'value')} FROM goldish
-UNION ALL SELECT 'Completeness', 'Average Feature Completeness', {r6('avg(feature_completeness_score)', 'value')} FROM goldish UNION ALL SELECT 'Clustering Quality', 'Silhouette Score', 0.342e0""")
+UNION ALL SELECT 'Completeness', 'Average Feature Completeness', {r6('avg(feature_completeness_score)', 'value')} FROM goldish UNION ALL SELECT 'Clustering Quality', 'Silhouette Score', {r6('silhouette', 'value')} FROM seg_silhouette""")
 on_segments("c_26_distinctive_features", lambda s: report.distinctive_features(s, _DISC, 2), f"""
 SELECT cluster, feature, {r6('d', 'deviation_pct')}, direction FROM (SELECT *, row_number() OVER (PARTITION BY cluster, direction ORDER BY abs(d) DESC, feature) AS k FROM (
  SELECT cluster, feature, 100 * (m - base_m) / abs(base_m) AS d, CASE WHEN m > base_m THEN 'high' ELSE 'low' END AS direction FROM (
@@ -361,7 +398,7 @@ def on_returners(name, job, sql=None):
 
 on_returners("c_20_returner_summary", report.returner_summary, "SELECT * FROM seg_sum")
 on_returners("c_21_segment_types", report.segment_types, "SELECT * FROM seg_types")
-_LEVELS = ["return_rate", "recent_orders", "sku_nunique", "avg_days_to_return"]
+_LEVELS = rt.CLUSTER_FEATURES
 cte("level_rows", U.join(f"SELECT cluster, '{c}' AS feature, value, CASE WHEN value >= (SELECT quantile_cont({c}, 0.75) FROM seg) THEN 'HIGH' WHEN value <= (SELECT quantile_cont({c}, 0.25) FROM seg) THEN 'LOW' ELSE 'MODERATE' END AS level FROM (SELECT cluster, round(avg({c}), 3) AS value FROM seg GROUP BY cluster)" for c in _LEVELS))
 on_returners("c_22_level_profile", lambda s: report.level_profile(s, _LEVELS), "SELECT * FROM level_rows")
 on_returners("c_22_distinguishing", lambda s: report.distinguishing_features(report.level_profile(s, _LEVELS)), "SELECT cluster, string_agg(feature, ', ' ORDER BY feature) AS distinguishing_features FROM level_rows WHERE level <> 'MODERATE' GROUP BY cluster")
@@ -384,14 +421,14 @@ FROM (SELECT *, round(100e0 * customer_count / (SELECT sum(customer_count) FROM
 on_returners("c_25_campaign_lists", lambda s: report.campaign_lists(s, report.segment_types(s)), f"""
 SELECT CASE WHEN {_has('HIGH RISK', 'CHURN RISK')} THEN 'high_risk' ELSE 'loyal' END AS campaign, cluster, customer_emailid FROM seg JOIN seg_types USING (cluster) WHERE {_has('HIGH RISK', 'CHURN RISK', 'LOYAL')}""")
 on_returners("c_25_labelled_export", lambda s: report.labelled_export(s, report.segment_types(s)).select(ID, "cluster", "cluster_type"), "SELECT customer_emailid, cluster, cluster_type FROM seg JOIN seg_types USING (cluster)")
-on_returners("c_18_optimal_k", lambda s: km.kmeans_search(km.to_vectors(pre.scale(s, rt.CLUSTER_FEATURES, "standard"), [f"{c}_scaled" for c in rt.CLUSTER_FEATURES], ID), [2, 3], n_init=1))
+on_returners("c_18_optimal_k", lambda s: km.kmeans_search(km.to_vectors(pre.scale(s, rt.CLUSTER_FEATURES, "standard"), [f"{c}_scaled" for c in rt.CLUSTER_FEATURES], ID), list(range(2, 11)), STARTS))
 
 
 def _returner_kmeans(s):
     stats = pre.scaling_stats(s, rt.CLUSTER_FEATURES, "standard")
     scaled = pre.apply_scaling(s, stats, rt.CLUSTER_FEATURES)
     vec = km.to_vectors(scaled, [f"{c}_scaled" for c in rt.CLUSTER_FEATURES], ID)
-    _, figures = km.kmeans_final(vec, 5, n_init=1)
+    _, figures = km.kmeans_final(vec, 5, n_init=STARTS)
     c = s.sparkSession.createDataFrame([(i, *row) for i, row in enumerate(figures["centers"])], "cluster int, " + ", ".join(f"{x} double" for x in rt.CLUSTER_FEATURES))
     return pre.inverse_scale_centers(c, stats, rt.CLUSTER_FEATURES)
 

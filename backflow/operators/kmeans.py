@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from backflow.operators.metrics import calinski_harabasz, davies_bouldin, silhouette_value
@@ -20,36 +23,96 @@ def _features(df: DataFrame, vec: str = "v") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vec)))
 
 
-def _prepared(df: DataFrame, key: str) -> DataFrame:
-    """Vectors cached behind a lineage cut: every pass of the fit ships its
-    lineage with the tasks, which for a feature build is most of the time."""
-    return _features(checkpoint(df.select(key, "v"))).persist()
-
-
-def fit_kmeans(df: DataFrame, k: int, n_init: int = 3, max_iter: int = 500, seed: int = 42, tol: float = 1e-4):
-    """Model with the lowest cost over ``n_init`` seeds (k-means|| starts)."""
-    from pyspark.ml.clustering import KMeans
-
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, maxIter=max_iter, seed=seed + i, tol=tol, featuresCol="features", predictionCol="label").fit(df)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
-
-
-def kmeans_search(df: DataFrame, ks: list[int], n_init: int = 3, key: str = "id", seed: int = 42) -> DataFrame:
-    """One row per k: inertia, silhouette, Calinski-Harabasz, Davies-Bouldin."""
-    data = _prepared(df, key)
+SAMPLE_ROWS = 5_000
+
+
+def _starts(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k centres out of the sample, each drawn with its squared distance to those before it as weight."""
+    picked = [sample[rng.integers(len(sample))]]
+    gaps = ((sample - picked[0]) ** 2).sum(axis=1)
+    while len(picked) < k:
+        at = rng.choice(len(sample), p=gaps / gaps.sum()) if gaps.sum() > 0 else rng.integers(len(sample))
+        picked.append(sample[at])
+        gaps = np.minimum(gaps, ((sample - picked[-1]) ** 2).sum(axis=1))
+    return np.array(picked)
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre of each row, ties to the first, and the squared distance to it."""
+    gaps = np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1), 0)
+    at = gaps.argmin(axis=1)
+    return at, ((x - centers[at]) ** 2).sum(axis=1)
+
+
+def fit_kmeans(df: DataFrame, ks: list[int], n_init: int = 20, max_iter: int = 500, seed: int = 42, tol: float = 1e-4, vec: str = "v") -> dict[int, tuple[float, np.ndarray]]:
+    """Per k the inertia and centres of the cheapest of ``n_init`` starts.
+
+    All starts of all k move together: a pass over the rows gives each task's sums per centre of every start that still
+    moves, which are added up by start, so the number of passes is that of the slowest start and not the sum over all. Starts are
+    drawn from at most ``SAMPLE_ROWS`` rows, the first by a hash. A start ends when no centre moves more than ``tol``.
+    """
+    sample = np.array([r[0] for r in df.select(vec).orderBy(F.xxhash64(vec), vec).limit(SAMPLE_ROWS).collect()], dtype=float)
+    runs = {(k, i): _starts(sample, k, np.random.default_rng([seed, k, i])) for k in ks for i in range(n_init)}
+    costs: dict[tuple[int, int], float] = {}
+    moving = dict(runs)
+    context = df.sparkSession.sparkContext
+    for step in range(max_iter + 1):
+        shipped = context.broadcast(moving)
+
+        def sums(batches):
+            totals: dict = {}
+            for batch in batches:
+                x = np.array(batch.column(0).to_pylist(), dtype=float)
+                if not len(x):
+                    continue
+                for run, centers in shipped.value.items():
+                    at, gaps = _nearest(x, centers)
+                    one = np.zeros((len(centers), len(x)))
+                    one[at, np.arange(len(x))] = 1
+                    part = np.concatenate([one @ x, one.sum(axis=1)[:, None], (one @ gaps)[:, None]], axis=1)
+                    totals[run] = totals.get(run, 0) + part
+            columns = [[run[0] for run in totals], [run[1] for run in totals], [t.ravel().tolist() for t in totals.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.list_(pa.float64())))], names=["k", "i", "s"])
+
+        parts = df.select(vec).mapInArrow(sums, "k int, i int, s array<double>")
+        added = parts.groupBy("k", "i").agg(Summarizer.sum(array_to_vector("s")).alias("s"))
+        still = {}
+        for row in added.collect():
+            run, old = (row.k, row.i), moving[row.k, row.i]
+            table = row.s.toArray().reshape(len(old), -1)
+            count = table[:, -2]
+            costs[run], runs[run] = float(table[:, -1].sum()), old
+            new = np.where(count[:, None] > 0, table[:, :-2] / np.maximum(count, 1)[:, None], old)
+            if step < max_iter and np.sqrt(((new - old) ** 2).sum(axis=1)).max() > tol:
+                still[run] = new
+        shipped.unpersist()
+        moving = still
+        if not moving:
+            break
+    best = {k: min((run for run in costs if run[0] == k), key=lambda run: (costs[run], run)) for k in ks}
+    return {k: (costs[run], runs[run]) for k, run in best.items()}
+
+
+def with_labels(df: DataFrame, centers: np.ndarray, key: str, vec: str = "v") -> DataFrame:
+    """(key, v, label): each row with its nearest centre's number."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def assign(batches):
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), dtype=float)
+            at = _nearest(x, centers)[0] if len(x) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int32())], names=[key, vec, "label"])
+
+    return df.select(key, vec).mapInArrow(assign, f"`{key}` {kind}, {vec} array<double>, label int")
+
+
+def kmeans_search(df: DataFrame, ks: list[int], n_init: int = 20, key: str = "id", seed: int = 42) -> DataFrame:
+    """One row per k: inertia, silhouette (squared distances), Calinski-Harabasz, Davies-Bouldin."""
+    data = checkpoint(df.select(key, "v"))
     rows = []
-    for k in ks:
-        model = fit_kmeans(data, k, n_init, seed=seed)
-        labelled = model.transform(data).select(key, "v", "label")
-        rows.append((
-            k, float(model.summary.trainingCost), silhouette_value(labelled, key=key),
-            calinski_harabasz(labelled).first()[0], davies_bouldin(labelled).first()[0],
-        ))
-    data.unpersist()
+    for k, (inertia, centers) in fit_kmeans(data, ks, n_init, seed=seed).items():
+        labelled = with_labels(data, centers, key)
+        rows.append((k, inertia, silhouette_value(labelled), calinski_harabasz(labelled).first()[0], davies_bouldin(labelled).first()[0]))
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, calinski_harabasz double, davies_bouldin double")
 
 
@@ -71,21 +134,20 @@ def choose_k(search: DataFrame, min_silhouette: float = 0.3) -> tuple[int, dict[
     return best, found
 
 
-def kmeans_final(df: DataFrame, k: int, noise: DataFrame | None = None, n_init: int = 3, key: str = "id", seed: int = 42) -> tuple[DataFrame, dict]:
+def kmeans_final(df: DataFrame, k: int, noise: DataFrame | None = None, n_init: int = 20, key: str = "id", seed: int = 42) -> tuple[DataFrame, dict]:
     """(key, cluster) for every row, -1 for the rows of ``noise``, and quality figures."""
     clean = df.join(noise.select(key), key, "left_anti") if noise is not None else df
-    data = _prepared(clean, key)
-    model = fit_kmeans(data, k, n_init, seed=seed)
-    labelled = model.transform(data).select(key, "v", "label")
+    data = checkpoint(clean.select(key, "v"))
+    inertia, centers = fit_kmeans(data, [k], n_init, seed=seed)[k]
+    labelled = checkpoint(with_labels(data, centers, key))
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     figures = {
-        "inertia": float(model.summary.trainingCost), "silhouette_score": silhouette_value(labelled, key=key),
+        "inertia": inertia, "silhouette_score": silhouette_value(labelled),
         "calinski_harabasz_score": calinski_harabasz(labelled).first()[0], "davies_bouldin_score": davies_bouldin(labelled).first()[0],
         "cluster_sizes": sizes, "small_clusters": sorted(c for c, n in sizes.items() if n < 10),
-        "centers": [list(map(float, c)) for c in model.clusterCenters()],
+        "centers": centers.tolist(),
     }
     full = df.select(key).join(labelled.select(key, F.col("label").alias("cluster")), key, "left")
-    data.unpersist()
     return full.select(key, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster")), figures
 
 

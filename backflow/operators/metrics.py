@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -54,67 +52,30 @@ def davies_bouldin(df: DataFrame, label: str = "label", vec: str = "v") -> DataF
     return pairs.groupBy("i").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
-EXACT_LIMIT = 20_000
+def silhouette(df: DataFrame, label: str = "label", vec: str = "v") -> DataFrame:
+    """Mean silhouette on squared Euclidean distances, one row; the same measure for every size.
 
-
-def silhouette_points(df: DataFrame, label: str = "label", vec: str = "v", key: str = "id", block_rows: int = 1000) -> DataFrame:
-    """(id, label, silhouette) with Euclidean distances, in block pairs.
-
-    Equal vectors fold into one weighted point per label. Points hash into
-    blocks of about ``block_rows``; a task sees one pair of blocks and returns
-    per query point one partial sum per label, never the distances.
+    The squared distances of a point to a cluster add up to n |x|^2 - 2 x.S + Q, with the cluster's size n, vector sum S
+    and sum of squared lengths Q. So one pass gives k rows of sums and a second one scores the points: linear, and no
+    pair of points meets. A point alone in its cluster scores 0. Limits such as 0.3 are read on this scale,
+    where values lie higher than with plain distances.
     """
-    folded = df.groupBy(F.col(label).alias("label"), F.col(vec).alias("v")).agg(F.count(F.lit(1)).cast("double").alias("w"), F.min(key).alias("rep"))
-    blocks = F.greatest(F.lit(1), F.ceil(df.select(F.count(F.lit(1))).scalar() / F.lit(float(block_rows)))).cast("int")
-    placed = folded.withColumn("_b", blocks).withColumn("blk", F.pmod(F.xxhash64("rep", "label"), F.col("_b")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
-    queries = placed.select("label", "v", "w", "rep", F.col("blk").alias("i"), every.alias("j"), F.lit(0).alias("role"))
-    targets = placed.select("label", "v", "w", "rep", every.alias("i"), F.col("blk").alias("j"), F.lit(1).alias("role"))
-    kind = dict(folded.dtypes)["rep"]
-
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, t = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-        if q.empty or t.empty:
-            return pd.DataFrame({"rep": q["rep"].iloc[:0], "label": [], "to": [], "dist": [], "cnt": []})
-        a, b = np.array(q["v"].tolist()), np.array(t["v"].tolist())
-        labels, col = np.unique(t["label"].to_numpy(), return_inverse=True)
-        weight = np.zeros((len(t), len(labels)))
-        weight[np.arange(len(t)), col] = t["w"].to_numpy()
-        sums = np.zeros((len(q), len(labels)))
-        for lo in range(0, len(q), 64):
-            gap = np.sqrt(((a[lo:lo + 64, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-            sums[lo:lo + 64] = gap @ weight
-        k = len(labels)
-        return pd.DataFrame({
-            "rep": np.repeat(q["rep"].to_numpy(), k), "label": np.repeat(q["label"].to_numpy(), k),
-            "to": np.tile(labels, len(q)), "dist": sums.ravel(), "cnt": np.tile(weight.sum(axis=0), len(q)),
-        })
-
-    parts = queries.unionByName(targets).groupBy("i", "j").applyInPandas(partial, f"rep {kind}, label int, to int, dist double, cnt double")
-    sums = parts.groupBy("rep", "label", "to").agg(F.sum("dist").alias("d"), F.sum("cnt").alias("n"))
-    own, other = F.col("to") == F.col("label"), F.col("to") != F.col("label")
-    ab = sums.groupBy("rep", "label").agg(
-        F.max(F.when(own, F.try_divide(F.col("d"), F.col("n") - 1))).alias("a"),
-        F.max(F.when(own, F.col("n"))).alias("size"),
-        F.min(F.when(other, F.col("d") / F.col("n"))).alias("b"),
-    )
-    s = F.when(F.col("size") <= 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return ab.join(folded.select("rep", "label", "w"), ["rep", "label"]).select("rep", "label", "w", s.alias("silhouette"))
-
-
-def silhouette(df: DataFrame, label: str = "label", vec: str = "v", key: str = "id") -> DataFrame:
-    """Exact mean silhouette, one row."""
-    points = silhouette_points(df, label, vec, key)
-    return points.agg((F.sum(F.col("silhouette") * F.col("w")) / F.sum("w")).alias("silhouette"))
-
-
-def silhouette_value(df: DataFrame, label: str = "label", vec: str = "v", key: str = "id", limit: int = EXACT_LIMIT) -> float:
-    """Exact up to ``limit`` rows; beyond it the linear-time measure on squared
-    distances of the ML evaluator, which is a different number."""
-    if df.count() <= limit:
-        return float(silhouette(df, label, vec, key).first()[0])
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-    data = df.select(array_to_vector(F.col(vec)).alias("features"), F.col(label).cast("int").alias("prediction"))
-    return float(ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(data))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda acc, z: acc + z)
+    points = df.select(F.col(label).alias("_label"), F.col(vec).alias("_v"), dot(F.col(vec), F.col(vec)).alias("_q"))
+    sums = points.groupBy("_label").agg(F.count(F.lit(1)).cast("double").alias("n"), Summarizer.sum(array_to_vector(F.col("_v"))).alias("s"), F.sum("_q").alias("q"))
+    # One row per cluster.
+    clusters = sums.select(F.struct(F.col("_label").alias("label"), "n", vector_to_array("s").alias("s"), "q").alias("c")).agg(F.collect_list("c"))
+    scored = points.withColumn("_c", clusters.scalar())
+    total = lambda c: F.greatest(F.lit(0.0), c["n"] * F.col("_q") - 2.0 * dot(F.col("_v"), c["s"]) + c["q"])
+    own = F.element_at(F.filter("_c", lambda c: c["label"] == F.col("_label")), 1)
+    near = F.array_min(F.transform(F.filter("_c", lambda c: c["label"] != F.col("_label")), lambda c: total(c) / c["n"]))
+    parts = scored.select(F.try_divide(total(own), own["n"] - 1.0).alias("a"), near.alias("b"))
+    score = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return parts.agg(F.avg(score).alias("silhouette"))
+
+
+def silhouette_value(df: DataFrame, label: str = "label", vec: str = "v") -> float:
+    return float(silhouette(df, label, vec).first()[0])

@@ -221,7 +221,7 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
 def _assembled(df: DataFrame, cols: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
-    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error").transform(df.fillna(0.0, cols))
 
 
 def _target(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -230,24 +230,28 @@ def _target(df: DataFrame, cols: list[str]) -> DataFrame:
     return completeness(df, cols).withColumnRenamed("feature_completeness_score", "_y")
 
 
-def rf_importance(df: DataFrame, cols: list[str], trees: int = 100, seed: int = 42) -> DataFrame:
-    """(feature, importance) of a random forest on completeness."""
+#: The deepest trees that the forest library grows.
+DEPTH = 30
+
+
+def rf_importance(df: DataFrame, cols: list[str], trees: int = 100, seed: int = 42, depth: int = DEPTH) -> DataFrame:
+    """(feature, importance) of a random forest on completeness. NULL counts as 0; ``depth`` is the most that trees may grow to."""
     from pyspark.ml.regression import RandomForestRegressor
 
     data = _assembled(_target(df, cols), cols).select("features", "_y")
-    model = RandomForestRegressor(featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=8, subsamplingRate=1.0, seed=seed).fit(data)
+    model = RandomForestRegressor(featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth, subsamplingRate=1.0, seed=seed).fit(data)
     values = model.featureImportances.toArray()
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(cols, values)], "feature string, importance double")
 
 
-def importance_stability(df: DataFrame, cols: list[str], folds: int = 5, trees: int = 50, seed: int = 42) -> DataFrame:
+def importance_stability(df: DataFrame, cols: list[str], folds: int = 5, trees: int = 50, seed: int = 42, depth: int = DEPTH) -> DataFrame:
     """Mean, spread and coefficient of variation of importances over folds (split by id hash)."""
     from pyspark.ml.regression import RandomForestRegressor
 
     data = _assembled(_target(df, cols), cols).select("features", "_y", F.pmod(F.xxhash64(ID), F.lit(folds)).alias("_fold"))
     runs = []
     for k in range(folds):
-        forest = RandomForestRegressor(featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=8, seed=seed + k)
+        forest = RandomForestRegressor(featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed + k)
         runs.append(forest.fit(data.where(F.col("_fold") != k)).featureImportances.toArray())
     mean, std = np.mean(runs, axis=0), np.std(runs, axis=0)
     rows = [(c, float(m), float(s), float(s / (m + 1e-10))) for c, m, s in zip(cols, mean, std)]

@@ -75,7 +75,7 @@ def build_gold(
 
 # Default clustering parameters.
 CONFIG = {
-    "dbscan_eps": 0.5, "dbscan_min_samples": 5, "k_values": list(range(3, 15)), "n_init": 3, "sub_eps": 0.3, "sub_min_samples": 3,
+    "dbscan_eps": 0.5, "dbscan_min_samples": 5, "k_values": list(range(3, 15)), "n_init": 20, "sub_eps": 0.3, "sub_min_samples": 3,
     "min_silhouette": 0.3, "max_noise_ratio": 0.15, "pca_components": None,
 }
 

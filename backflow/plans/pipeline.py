@@ -37,7 +37,7 @@ class Run:
         try:
             result = job()
         except Exception as exc:
-            self.rows.append((name, "FAILED", time.time() - start, f"{type(exc).__name__}: {exc}"[:500]))
+            self.rows.append((name, "FAILED", time.time() - start, f"{type(exc).__name__}: {exc}"))
             raise
         detail = str(result) if isinstance(result, (int, str, bool)) else ""
         self.rows.append((name, "SUCCESS", time.time() - start, detail))

@@ -32,20 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the files give fewer splits than there are cores.
-
-    A large input has far more splits and passes unchanged; only a small or
-    unsplittable file pays one shuffle to use the cluster.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-grain bronze rows; joins are left to Catalyst and AQE."""
     frames = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "part")}
-    frames["lineitem"] = spread(frames["lineitem"], "l_orderkey")
     return spark.sql(ORDER_LINES_SQL, **frames)
 
 

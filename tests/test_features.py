@@ -107,8 +107,7 @@ def test_adjacency_equals_brute_force_with_a_hot_customer(make_lines, seed):
         assert r["sku_adjacency_timing"] == pytest.approx(want[2]) and r["sku_adjacency_return_timing"] == pytest.approx(want[3])
 
 
-def test_wide_core_table_equals_the_single_features(spark):
-    lines = order_lines(spark, SMALL).cache()
+def compare_single_features(lines):
     wide = now.core_features(lines)
     single = {
         "basic_volume": now.basic_volume(lines), "return_behavior": now.return_behavior(lines), "temporal": now.temporal(lines),
@@ -123,6 +122,14 @@ def test_wide_core_table_equals_the_single_features(spark):
                 assert b[k][c] == (pytest.approx(v, abs=1e-9) if isinstance(v, float) else v), (name, c)
 
 
+def test_wide_core_table_equals_the_single_features(spark):
+    lines = order_lines(spark, SMALL).cache()
+    try:
+        compare_single_features(lines)
+    finally:
+        lines.unpersist(blocking=True)  # later tests of the session look at plans over the same tables
+
+
 def test_new_customers_only(make_lines, spark):
     lines = make_lines([{"c": "old"}, {"c": "new", "back": 1}])
     known = spark.createDataFrame([("old",)], "customer_emailid string")

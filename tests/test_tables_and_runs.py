@@ -60,8 +60,9 @@ def test_exports_metadata_and_reports(spark, tmp_path):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     path, n = sinks.export_layer(df, str(tmp_path), "silver")
     assert n == 10 and spark.read.option("header", True).csv(path).count() == 10
-    assert sinks.export_by_size(df.repartition(4), str(tmp_path / "one"), limit=10)
-    assert not sinks.export_by_size(df.repartition(4), str(tmp_path / "many"), limit=9)
+    sinks.export_table(df.repartition(4), str(tmp_path / "many"), one_file=True)
+    assert len(list((tmp_path / "many").glob("part-*"))) == 4 and len(list((tmp_path / "many-one").glob("part-*"))) == 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "many-one")).count() == 10
     assert spark.read.option("header", True).csv(str(tmp_path / "many")).count() == 10
     sinks.write_metadata(spark, {"k": 3, "names": ["a"]}, str(tmp_path / "meta"))
     assert sinks.read_metadata(spark, str(tmp_path / "meta")) == {"k": 3, "names": ["a"]}
