@@ -57,8 +57,28 @@ TESTS_SQL = {
     "temporal": {"customer_lifetime_days_non_negative": "customer_lifetime_days >= 0", "avg_days_to_return_non_negative": "avg_days_to_return >= 0", "return_timing_spread_non_negative": "return_timing_spread >= 0",
                  "valid_tenure_stages": "customer_tenure_stage IN ('New', 'Growing', 'Mature', 'Veteran')"},
 }
-on_base("dq_02_feature_group_tests", lambda s: quality.feature_group_tests({g: s for g in TESTS_SQL}),
-        U.join(f"SELECT '{g}' AS feature_group, '{t}' AS test, bool_and({cond}) AS passed FROM base" for g, ts in TESTS_SQL.items() for t, cond in ts.items()))
+for _group, _cols, _lo, _hi in [
+    ("category", ["category_loyalty_score", "high_return_category_affinity"], 0, 1), ("category", ["category_diversity_score"], 0, None),
+    ("adjacency", ["sku_adjacency_orders", "sku_adjacency_returns", "sku_adjacency_timing", "sku_adjacency_return_timing"], 0, None),
+    ("seasonal", ["seasonal_susceptibility_orders", "seasonal_susceptibility_returns"], 0, None),
+    ("trend", ["trend_product_category_order_rate", "trend_product_category_return_rate"], -1, 1), ("monetary", ["avg_order_value", "avg_return_value", "high_value_return_affinity"], 0, 100),
+]:
+    for _col in _cols:
+        _name, _test = (f"{_col}_non_negative", f"{_col} >= 0") if _hi is None else (f"{_col}_in_range", f"{_col} BETWEEN {_lo} AND {_hi}")
+        TESTS_SQL.setdefault(_group, {})[_name] = _test
+TESTS_SQL["monetary"]["no_nulls"] = "avg_order_value IS NOT NULL AND avg_return_value IS NOT NULL AND high_value_return_affinity IS NOT NULL"
+# Every group with the lines' own figures; each test is one pass over its group.
+_SOURCES = {"category": ("f06", now.category_intelligence), "adjacency": ("f07", now.adjacency), "seasonal": ("f08", now.seasonal), "trend": ("f09", now.trend), "monetary": ("f10", now.monetary)}
+
+
+def _group_tests(spark, sf):
+    lines, base = order_lines(spark, sf), common.customer_base(spark, sf)
+    return quality.feature_group_tests({g: _SOURCES[g][1](lines) if g in _SOURCES else base for g in TESTS_SQL})
+
+
+register("dq_02_feature_group_tests", _group_tests, U.join(
+    f"SELECT '{g}' AS feature_group, '{t}' AS test, coalesce(bool_and(coalesce({cond}, false)), true) AS passed FROM {_SOURCES[g][0] if g in _SOURCES else 'base'}" for g, ts in TESTS_SQL.items() for t, cond in ts.items())
+    + " UNION ALL SELECT 'monetary', 'reasonable_high_value_returns', coalesce(avg(high_value_return_affinity), 0) <= 50 FROM f10")
 
 
 def _validate_sql() -> str:
@@ -84,16 +104,18 @@ SELECT concat_ws(';', CASE WHEN max(return_rate) > 0.95 THEN 'HIGH_RETURN_RATE'
 on_lines("dq_05_issue_summary", lambda b: quality.issue_summary(clean.fix_return_dates(b).where("data_quality_flags <> ''").select(
     F.col("data_quality_flags").alias("issue_type"), (F.col("line_no") == 7).alias("resolved"))), """
 SELECT data_quality_flags AS issue_type, count(*) AS issue_count FROM fixed WHERE data_quality_flags <> '' AND line_no <> 7 GROUP BY 1""")
-on_lines("dq_06_check_duplicates", lambda b: clean.check_duplicates(rel.keyed(b), "pk", "bronze").unionByName(clean.check_duplicates(b.select(ID).distinct(), ID, "silver")), """
+register("dq_06_check_duplicates", lambda spark, sf: clean.check_duplicates(rel.keyed(order_lines(spark, sf)), "pk", "bronze").unionByName(
+    clean.check_duplicates(common.customer_base(spark, sf), ID, "silver")).unionByName(clean.check_duplicates(common.segments(spark, sf), ID, "gold")), """
 SELECT 'bronze' AS layer, count(*) AS total_rows, count(DISTINCT pk) AS distinct_keys, count(*) - count(DISTINCT pk) AS duplicates FROM keyed
-UNION ALL SELECT 'silver', count(DISTINCT customer_emailid), count(DISTINCT customer_emailid), 0 FROM order_lines""")
+UNION ALL SELECT 'silver', count(*), count(DISTINCT customer_emailid), count(*) - count(DISTINCT customer_emailid) FROM base
+UNION ALL SELECT 'gold', count(*), count(DISTINCT customer_emailid), count(*) - count(DISTINCT customer_emailid) FROM goldish""")
 on_lines("dq_06_top_duplicates", lambda b: clean.top_duplicates(rel.keyed(b), "pk", 10), "SELECT pk, count(*) AS n FROM keyed GROUP BY pk HAVING count(*) > 1 ORDER BY n DESC, pk LIMIT 10")
-register("dq_07_layer_counts", lambda spark, sf: (lambda b: quality.layer_counts(b, b.select(ID).distinct(), b.where("return_qty > 0").select(ID).distinct()))(order_lines(spark, sf)), U.join(
-    f"SELECT '{layer}' AS layer, '{m}' AS metric, CAST({e} AS DOUBLE) AS value FROM order_lines" for layer, m, e in [
+register("dq_07_layer_counts", lambda spark, sf: quality.layer_counts(order_lines(spark, sf), common.customer_base(spark, sf), common.segments(spark, sf)), U.join(
+    f"SELECT '{layer}' AS layer, '{m}' AS metric, CAST({e} AS DOUBLE) AS value FROM {dict(bronze='order_lines', silver='base', gold='goldish')[layer]}" for layer, m, e in [
         ("bronze", "total_records", "count(*)"), ("bronze", "unique_customers", "count(DISTINCT customer_emailid)"), ("bronze", "unique_orders", "count(DISTINCT sales_order_no)"),
         ("bronze", "unique_skus", "count(DISTINCT q_sku_id)"), ("bronze", "unique_classes", "count(DISTINCT class_)"), ("bronze", "total_sales_qty", "sum(sales_qty)"),
         ("bronze", "total_return_qty", "sum(return_qty)"), ("bronze", "records_with_returns", "count(*) FILTER (WHERE return_qty > 0)"), ("bronze", "span_days", "date_diff('day', min(order_date), max(order_date))"),
-        ("silver", "customer_features_count", "count(DISTINCT customer_emailid)"), ("gold", "processed_customers_count", "count(DISTINCT customer_emailid) FILTER (WHERE return_qty > 0)")]))
+        ("silver", "customer_features_count", "count(*)"), ("gold", "processed_customers_count", "count(*)")]))
 _commented = lambda b: clean.fix_return_dates(b).withColumn("return_comment", F.when(F.col("line_no") % 3 == 0, F.col("q_sku_desc")).when(F.col("line_no") % 3 == 1, F.lit("  ")))
 cte("commented", "SELECT *, CASE WHEN line_no % 3 = 0 THEN q_sku_desc WHEN line_no % 3 = 1 THEN '  ' END AS return_comment FROM fixed")
 on_lines("dq_08_quality_report", lambda b: quality.quality_report(_commented(b)), """
@@ -108,14 +130,14 @@ register("dq_09_layer_quality_scores", lambda spark, sf: (lambda s: quality.laye
 SELECT 'Bronze Layer' AS layer, count(*) AS records, count(*) FILTER (WHERE data_quality_flags <> '') AS problem_records, round(100e0 * count(*) FILTER (WHERE data_quality_flags = '') / count(*), 6) AS data_quality_score FROM fixed
 UNION ALL SELECT 'Silver Layer', count(*), count(*) FILTER (WHERE return_rate > 1 OR return_rate < 0 OR customer_lifetime_days < 0), round(avg(feature_completeness_score) * 100, 6) FROM goldish
 UNION ALL SELECT 'Gold Layer', count(*), count(*) FILTER (WHERE outlier_score < -0.5), round(100e0 * count(*) FILTER (WHERE data_quality_flags = '') / count(*), 6) FROM gold_flags""")
-on_lines("dq_10_email_case_groups", lambda b: joins.case_groups(b).select("email_standardized", F.array_join("email_variants", ",").alias("email_variants"), "variant_count", "total_records"), """
-SELECT lower(customer_emailid_raw) AS email_standardized, string_agg(DISTINCT customer_emailid_raw, ',' ORDER BY customer_emailid_raw) AS email_variants, count(DISTINCT customer_emailid_raw) AS variant_count, count(*) AS total_records
-FROM order_lines GROUP BY 1 HAVING count(DISTINCT customer_emailid_raw) > 1""")
+on_lines("dq_10_email_case_groups", joins.case_groups, """
+SELECT * FROM (SELECT lower(customer_emailid_raw) AS email_standardized, customer_emailid_raw AS email_variant, count(*) AS variant_records, count(*) OVER (PARTITION BY lower(customer_emailid_raw)) AS variant_count,
+ CAST(sum(count(*)) OVER (PARTITION BY lower(customer_emailid_raw)) AS BIGINT) AS total_records FROM order_lines GROUP BY customer_emailid_raw) WHERE variant_count > 1""")
 on_lines("dq_11_source_consistency", quality.source_consistency, """
 SELECT 'returned_has_quantity' AS test, bool_and(units_returned_flag <> 'Yes' OR return_qty > 0) AS passed FROM order_lines UNION ALL SELECT 'kept_has_no_quantity', bool_and(units_returned_flag <> 'No' OR return_qty = 0) FROM order_lines
 UNION ALL SELECT 'order_date_parses', bool_and(order_date IS NOT NULL) FROM order_lines UNION ALL SELECT 'rate_in_range', bool_and(r BETWEEN 0 AND 1) FROM (SELECT sum(return_qty) / CAST(sum(sales_qty) AS DOUBLE) AS r FROM order_lines GROUP BY customer_emailid)""")
-_COLS = ["customer_emailid", "return_date", "return_no", "gross", "sales_qty"]
-on_lines("dq_12_null_summary", lambda b: quality.null_summary(b, _COLS), U.join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM order_lines" for c in _COLS))
+_COLS = ["sales_order_no", "customer_emailid_raw", "customer_emailid", "order_date", "sku", "sales_qty", "gross", "return_qty", "units_returned_flag", "return_date", "return_no", "q_cls_id", "q_sku_id", "q_sku_desc", "class_", "division_", "brand_", "size_", "line_no"]
+on_lines("dq_12_null_summary", lambda b: quality.null_summary(b), U.join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM order_lines" for c in _COLS))
 on_base("dq_12_variant_summary", quality.variant_summary, """SELECT count(*) AS total_customers, round(avg(sales_order_no_nunique), 6) AS avg_orders_per_customer, round(avg(sku_nunique), 6) AS avg_skus_per_customer, round(avg(return_rate), 6) AS avg_return_rate,
  count(*) FILTER (WHERE items_returned_count > 0) AS customers_with_returns, count(*) FILTER (WHERE recent_orders > 0) AS recent_active_customers FROM base""")
 cte("f23", "SELECT customer_emailid, CAST(count(DISTINCT class_) AS DOUBLE) / (SELECT n FROM class_total) AS category_diversity_score FROM order_lines GROUP BY customer_emailid")
@@ -126,9 +148,8 @@ SELECT CAST(least(floor((category_diversity_score - lo) * 50 / (hi - lo)) + 1, 5
 
 # --- profiles ---------------------------------------------------------------------------------
 
-on_lines("pf_01_overview", profile.overview, """
-SELECT count(*) AS total_records, count(DISTINCT customer_emailid) AS unique_customers, count(DISTINCT sales_order_no) AS unique_orders, count(DISTINCT q_sku_id) AS unique_skus, count(DISTINCT q_cls_id) AS unique_classes,
- min(order_date) AS earliest_order, max(order_date) AS latest_order, CAST(sum(sales_qty) AS BIGINT) AS total_sales_qty, CAST(sum(return_qty) AS BIGINT) AS total_return_qty, round(avg(sales_qty), 6) AS avg_sales_qty, round(avg(return_qty), 6) AS avg_return_qty FROM order_lines""")
+_SQL_OF = {"count_distinct": "count(DISTINCT {})", "sum": "CAST(sum({}) AS BIGINT)", "avg": "round(avg({}), 6)", "min": "min({})", "max": "max({})"}
+on_lines("pf_01_overview", profile.overview, "SELECT count(*) AS total_records, " + ", ".join(f"{_SQL_OF[kind].format(col)} AS {name}" for name, kind, col in profile.OVERVIEW) + " FROM order_lines")
 on_lines("pf_01_activity_averages", profile.activity_averages, """SELECT round(avg(o), 6) AS avg_unique_orders_per_customer, round(avg(r), 6) AS avg_unique_returns_per_customer
  FROM (SELECT count(DISTINCT sales_order_no) AS o, count(DISTINCT return_no) AS r FROM order_lines GROUP BY customer_emailid)""")
 cte("cust_totals", """
@@ -147,9 +168,9 @@ on_lines("pf_04_return_timing_profile", profile.return_timing_profile, """
 SELECT count(*) AS customers_with_returns, round(avg(a), 6) AS overall_avg_days_to_return, round(max(a), 6) AS max_avg_days_to_return, round(avg(s), 6) AS avg_timing_spread, count(*) FILTER (WHERE a > 60) AS customers_over_60_days,
  count(*) FILTER (WHERE a < 0) AS customers_negative_days, round(quantile_cont(a, 0.5), 6) AS median_avg_days_to_return, round(quantile_cont(a, 0.95), 6) AS p95_avg_days_to_return, round(quantile_cont(s, 0.95), 6) AS p95_timing_spread
 FROM (SELECT customer_emailid, avg(CAST(date_diff('day', order_date, return_date) AS DOUBLE)) AS a, stddev_samp(CAST(date_diff('day', order_date, return_date) AS DOUBLE)) AS s FROM order_lines WHERE return_qty > 0 AND return_date IS NOT NULL GROUP BY 1)""")
-on_lines("pf_05_tenure_profile", profile.tenure_profile, """
-SELECT CASE WHEN lifetime_days <= 90 THEN 'New (≤90 days)' WHEN lifetime_days <= 180 THEN 'Growing (91-180 days)' WHEN lifetime_days <= 365 THEN 'Mature (181-365 days)' WHEN lifetime_days <= 730 THEN 'Established (1-2 years)' ELSE 'Veteran (>2 years)' END AS tenure_stage,
- count(*) AS customer_count, round(avg(lifetime_days), 6) AS avg_lifetime_days, round(avg(order_count), 6) AS avg_orders, round(100e0 * count(*) / (SELECT count(*) FROM cust_totals), 2) AS percentage FROM cust_totals GROUP BY 1""")
+_STAGE = "CASE " + " ".join(f"WHEN lifetime_days <= {top} THEN '{name}'" for top, name in profile.TENURE_STAGES) + " ELSE 'Veteran (>2 years)' END"
+on_lines("pf_05_tenure_profile", profile.tenure_profile, f"""
+SELECT {_STAGE} AS tenure_stage, count(*) AS customer_count, round(avg(lifetime_days), 6) AS avg_lifetime_days, round(avg(order_count), 6) AS avg_orders, round(100e0 * count(*) / (SELECT count(*) FROM cust_totals), 2) AS percentage FROM cust_totals GROUP BY 1""")
 on_lines("pf_06_consecutive_profile", profile.consecutive_profile, """
 SELECT count(*) AS customers_with_consecutive_returns, round(avg(longest), 6) AS avg_max_consecutive, CAST(max(longest) AS BIGINT) AS overall_max_consecutive, round(avg(m), 6) AS avg_avg_consecutive,
  count(*) FILTER (WHERE longest > 10) AS customers_over_10_consecutive, round(quantile_cont(CAST(longest AS DOUBLE), 0.95), 6) AS p95_max_consecutive
@@ -164,7 +185,7 @@ SELECT CASE season WHEN 'Fall' THEN 'Fall (Oct-Dec)' WHEN 'Winter' THEN 'Winter
  count(*) AS total_items_ordered, CAST(sum(return_qty) AS BIGINT) AS total_items_returned, round(100e0 * sum(return_qty) / count(*), 2) AS return_rate_pct FROM season_rows GROUP BY season_rows.season""")
 on_lines("pf_09_eligibility", lambda b: profile.eligibility(b, min_orders=12, gate_orders=5), """
 SELECT count(*) AS total_customers, count(*) FILTER (WHERE lifetime_days > 730) AS customers_over_2_years, round(100e0 * count(*) FILTER (WHERE lifetime_days > 730) / count(*), 2) AS pct_over_2_years,
- count(*) FILTER (WHERE order_count >= 12) AS customers_50plus_orders, round(100e0 * count(*) FILTER (WHERE order_count >= 12) / count(*), 2) AS pct_50plus_orders, count(*) FILTER (WHERE order_count >= 5) AS customers_with_sufficient_orders FROM cust_totals""")
+ count(*) FILTER (WHERE order_count >= 12) AS customers_12plus_orders, round(100e0 * count(*) FILTER (WHERE order_count >= 12) / count(*), 2) AS pct_12plus_orders, count(*) FILTER (WHERE order_count >= 5) AS customers_with_sufficient_orders FROM cust_totals""")
 _SUM = {"customer_count": "count(*)", "avg_return_rate": "avg(return_rate)", "avg_orders": "avg(sales_order_no_nunique)", "avg_lifetime_days": "avg(customer_lifetime_days)",
         "veteran_customers": "count(*) FILTER (WHERE customer_tenure_stage = 'Veteran')", "high_return_customers": "count(*) FILTER (WHERE return_rate > 0.5)", "zero_return_customers": "count(*) FILTER (WHERE return_rate = 0)",
         "zero_return_rate_pct": "100e0 * count(*) FILTER (WHERE return_rate = 0) / count(*)", "zero_return_variety_pct": "100e0 * count(*) FILTER (WHERE return_product_variety = 0) / count(*)",
@@ -175,18 +196,20 @@ on_lines("pf_11_business_insights", lambda b: profile.business_insights(now.core
 SELECT count(*) AS total_customers, count(*) FILTER (WHERE return_rate >= r) AS high_return_customers, count(*) FILTER (WHERE avg_order_value >= v) AS high_value_customers, count(*) FILTER (WHERE return_rate >= r AND avg_order_value >= v) AS high_return_high_value,
  round(avg(customer_lifetime_days), 6) AS avg_customer_lifetime_days, round(avg(return_rate), 6) AS avg_return_rate, round(avg(avg_order_value), 6) AS avg_order_value, round(max(r), 6) AS high_return_rate_threshold, round(max(v), 6) AS high_value_threshold
 FROM base JOIN f10 USING (customer_emailid), (SELECT quantile_cont(return_rate, 0.9) AS r FROM base), (SELECT quantile_cont(avg_order_value, 0.9) AS v FROM f10)""")
-_GROUPS = {"Volume Metrics": ["sales_order_no_nunique", "sku_nunique", "items_returned_count", "sales_qty_mean", "avg_order_size"], "Temporal Patterns": ["customer_lifetime_days", "avg_days_to_return", "return_timing_spread"]}
+_GROUPS = {
+    "Volume Metrics": ["sales_order_no_nunique", "sku_nunique", "items_returned_count", "sales_qty_mean", "avg_order_size"], "Temporal Patterns": ["customer_lifetime_days", "avg_days_to_return", "return_timing_spread"],
+    "Return Behavior": ["return_rate", "return_ratio", "return_product_variety", "avg_returns_per_order", "return_frequency_ratio", "return_intensity"], "Recency": ["recent_orders", "recent_returns", "recent_vs_avg_ratio", "behavior_stability_score"],
+}
 _pair_rows = lambda cols: [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
 on_base("pf_12_group_correlations", lambda s: profile.correlations(s, _GROUPS), U.join(
     f"SELECT '{g}' AS feature_group, '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS correlation FROM base" for g, cols in _GROUPS.items() for a, b in _pair_rows(cols)))
-on_base("pf_12_high_correlations", lambda s: profile.high_correlations(s, common.NUMERIC[:9]), "SELECT * FROM (" + U.join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS correlation FROM base" for a, b in _pair_rows(common.NUMERIC[:9])) + ") WHERE abs(correlation) > 0.8")
+on_base("pf_12_high_correlations", lambda s: profile.high_correlations(s, common.NUMERIC), "SELECT * FROM (" + U.join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS correlation FROM base" for a, b in _pair_rows(common.NUMERIC)) + ") WHERE abs(correlation) > 0.8")
 on_base("pf_13_tenure_return_rate", lambda s: profile.tenure_return_rate(s), """
 SELECT customer_tenure_stage, round(avg(return_rate), 6) AS mean_return_rate, count(*) AS customers, CAST(CASE customer_tenure_stage WHEN 'New' THEN 1 WHEN 'Growing' THEN 2 WHEN 'Mature' THEN 3 ELSE 4 END AS BIGINT) AS stage_order
 FROM base WHERE return_rate <= 1 GROUP BY customer_tenure_stage""")
 on_lines("pf_14_comment_stats", lambda b: profile.comment_stats(_commented(b).withColumn("return_comment", F.trim("return_comment"))), """
-SELECT customer_emailid, count(*) AS returns_with_comments, string_agg(DISTINCT trim(return_comment), '; ' ORDER BY trim(return_comment)) AS sample_comments FROM commented
-WHERE return_qty > 0 AND return_comment IS NOT NULL AND trim(return_comment) <> '' GROUP BY 1""")
+SELECT customer_emailid, trim(return_comment) AS comment, count(*) AS returns_with_comment FROM commented WHERE return_qty > 0 AND return_comment IS NOT NULL AND trim(return_comment) <> '' GROUP BY ALL""")
 _clustered = lambda spark, sf: joins.attach_clusters(order_lines(spark, sf), common.labelled(common.customer_base(spark, sf)))
 register("pf_15_category_by_cluster", lambda spark, sf: profile.category_by_cluster(_clustered(spark, sf)), """
 SELECT cluster, q_cls_id, CAST(sum(return_qty) AS BIGINT) AS return_qty, count(DISTINCT customer_emailid) AS customers FROM order_lines JOIN labelled USING (customer_emailid) GROUP BY cluster, q_cls_id""")

@@ -203,17 +203,16 @@ SELECT customer_emailid, cluster AS final_cluster_id, round(CASE WHEN return_rat
 FROM goldish WHERE cluster <> 3""")
 on_lines("jn_11_attach_sentiment", lambda b: joins.attach_sentiment(
     b.select("sku", "line_no", F.col("size_").alias("return_reason")),
-    b.where("line_no <= 3").select(F.col("size_").alias("return_reason"), (F.length("brand_") / 10.0).alias("sentiment_score"))
-    .where("CAST(return_reason AS INT) <= 40").distinct()), """
+    b.select(F.col("size_").alias("return_reason"), (F.length("brand_") / 10.0).alias("sentiment_score")).distinct()), """
 SELECT sku, line_no, size_ AS return_reason, round(s, 6) AS sentiment_score FROM order_lines LEFT JOIN (
- SELECT size_, avg(x) AS s FROM (SELECT DISTINCT size_, length(brand_) / 10e0 AS x FROM order_lines WHERE line_no <= 3 AND CAST(size_ AS INT) <= 40) GROUP BY size_) r USING (size_)""")
+ SELECT size_, avg(x) AS s FROM (SELECT DISTINCT size_, length(brand_) / 10e0 AS x FROM order_lines) GROUP BY size_) r USING (size_)""")
 register("jn_12_attach_clusters", lambda spark, sf: joins.attach_clusters(
     order_lines(spark, sf).select(ID, "sales_order_no", "sku"), common.labelled(common.customer_base(spark, sf)).where("cluster <> -1")), """
 SELECT o.customer_emailid, sales_order_no, sku, cluster FROM order_lines o LEFT JOIN (SELECT * FROM labelled WHERE cluster <> -1) l ON o.customer_emailid = l.customer_emailid""")
-on_lines("jn_13_key_overlap", lambda b: joins.key_overlap(after(b).where("line_no <= 2"), before(b).where("line_no >= 5")), f"""
+on_lines("jn_13_key_overlap", lambda b: joins.key_overlap(after(b), before(b)), f"""
 SELECT count(DISTINCT customer_emailid) AS unique_customers, count(DISTINCT customer_emailid) FILTER (WHERE k) AS in_both, count(DISTINCT customer_emailid) FILTER (WHERE NOT k) AS only_in_batch,
  min(order_date) AS earliest_order, max(order_date) AS latest_order
-FROM (SELECT *, customer_emailid IN (SELECT customer_emailid FROM order_lines WHERE order_date < {CUT} AND line_no >= 5) AS k FROM order_lines WHERE order_date >= {CUT} AND line_no <= 2)""")
+FROM (SELECT *, customer_emailid IN (SELECT customer_emailid FROM order_lines WHERE order_date < {CUT}) AS k FROM order_lines WHERE order_date >= {CUT})""")
 
 # --- upserts over tables (the write side is tested with files) ------------------------------
 
@@ -299,8 +298,8 @@ SELECT customer_emailid, sales_order_no, order_date, CAST(sum(starts) OVER (PART
 on_lines("wn_04_running_sum_range", lambda b: pivots.running_sum_with_peers(b, ID, "order_date", "return_qty"), """
 SELECT DISTINCT customer_emailid, order_date, CAST(sum(return_qty) OVER (PARTITION BY customer_emailid ORDER BY order_date) AS BIGINT) AS running FROM order_lines""")
 on_lines("wn_05_share_of_total", lambda b: pivots.share_of_total(b, "brand_"), "SELECT brand_, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percentage FROM order_lines GROUP BY brand_")
-on_lines("wn_07_batches", lambda b: pivots.hash_batches(b, 16).groupBy("in_range").agg(F.count(F.lit(1)).alias("customers"), F.countDistinct(ID).alias("distinct_customers")),
-         "SELECT true AS in_range, count(DISTINCT customer_emailid) AS customers, count(DISTINCT customer_emailid) AS distinct_customers FROM order_lines")
+on_lines("wn_07_batches", lambda b: pivots.numbered_batches(b, 100), """
+SELECT customer_emailid, CAST(floor((row_number() OVER (ORDER BY customer_emailid) - 1) / 100) AS BIGINT) AS batch_id FROM (SELECT DISTINCT customer_emailid FROM order_lines)""")
 
 # --- sorts, limits, distinct ---------------------------------------------------------------
 

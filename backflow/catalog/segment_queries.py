@@ -107,7 +107,7 @@ names = lambda spark, cols: spark.createDataFrame([(c,) for c in cols], "feature
 
 def _silver_parts(spark, sf):
     b = order_lines(spark, sf)
-    return common.customer_base(spark, sf).join(now.category_intelligence(b), ID, "left").join(now.seasonal(b), ID, "left").join(now.adjacency(b), ID, "left")
+    return common.customer_base(spark, sf).join(now.category_intelligence(b), ID, "left").join(now.seasonal(b), ID, "left").join(now.adjacency(b), ID, "left").join(now.trend(b), ID, "left")
 
 
 def _selected(spark, sf):
@@ -116,7 +116,7 @@ def _selected(spark, sf):
 
 _ALWAYS = [c for g, cols in pre.CLUSTER_GROUPS.items() if g not in pre.MIN_SHARE for c in cols]
 register("fs_01_select_features", _selected, U.join([f"SELECT '{c}' AS feature" for c in _ALWAYS] + [
-    f"SELECT '{c}' FROM {t} HAVING avg(CASE WHEN {c} = 0 THEN 0e0 ELSE 1e0 END) > {pre.MIN_SHARE[g]}" for g, t in [("category_intelligence", "f06"), ("adjacency_patterns", "f07"), ("seasonal_trends", "f08")] for c in pre.CLUSTER_GROUPS[g]]))
+    f"SELECT '{c}' FROM {t} HAVING avg(CASE WHEN {c} = 0 THEN 0e0 ELSE 1e0 END) > {pre.MIN_SHARE[g]}" for g, t in [("category_intelligence", "f06"), ("adjacency_patterns", "f07"), ("seasonal_trends", "f08"), ("trend_susceptibility", "f09")] for c in pre.CLUSTER_GROUPS[g]]))
 on_base("fs_02_drop_null_features", lambda s: names(s.sparkSession, pre.drop_null_features(s.withColumn("empty", F.lit(None).cast("double")), ["return_rate", "empty", "avg_order_size"])),
         "SELECT 'return_rate' AS feature FROM base HAVING count(return_rate) > 0 UNION ALL SELECT 'avg_order_size' FROM base HAVING count(avg_order_size) > 0")
 _CORR = ["sales_order_no_nunique", "sku_nunique", "items_returned_count", "return_rate", "avg_returns_per_order", "avg_order_size"]

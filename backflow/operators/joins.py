@@ -18,7 +18,7 @@ def upsert_keep_new(base: DataFrame, new: DataFrame, key: list[str], order: list
 
 def append_ignore(base: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Rows of ``new`` to add when the existing row wins: absent keys, one row each."""
-    return dedupe_keep_last(new, key, order).join(base.select(*key).distinct(), key, "left_anti").select(*new.columns)
+    return dedupe_keep_last(new, key, order).join(base.select(*key), key, "left_anti").select(*new.columns)
 
 
 def append_new(base: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -122,14 +122,7 @@ def similar_ids(ids: DataFrame, col: str = ID, threshold: float = 0.8) -> DataFr
 
 
 def case_groups(lines: DataFrame, col: str = "customer_emailid_raw") -> DataFrame:
-    """Ids equal but for case: spellings, their number and the records behind them."""
-    spellings = lines.groupBy(F.lower(col).alias("email_standardized"), F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        spellings.groupBy("email_standardized")
-        .agg(
-            F.array_sort(F.collect_list("v")).alias("email_variants"),
-            F.count(F.lit(1)).alias("variant_count"),
-            F.sum("n").alias("total_records"),
-        )
-        .where("variant_count > 1")
-    )
+    """Ids equal but for case: one row per spelling with its records, and the number of spellings and records of the id."""
+    spellings = lines.groupBy(F.lower(col).alias("email_standardized"), F.col(col).alias("email_variant")).agg(F.count(F.lit(1)).alias("variant_records"))
+    totals = spellings.groupBy("email_standardized").agg(F.count(F.lit(1)).alias("variant_count"), F.sum("variant_records").alias("total_records")).where("variant_count > 1")
+    return spellings.join(totals, "email_standardized")

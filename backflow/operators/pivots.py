@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from backflow.session import checkpoint
 from backflow.functions.expressions import ID, unpivot, with_row
 from backflow.operators.ordered import with_running
 from backflow.operators.quantiles import column_quantiles, quantile_row
@@ -70,10 +71,22 @@ def share_of_total(df: DataFrame, by: str) -> DataFrame:
     return counts.withColumn("percentage", 100.0 * F.col("n") / total)
 
 
-def hash_batches(df: DataFrame, batches: int, key: str = ID) -> DataFrame:
-    """Every distinct key in one of ``batches`` numbered batches, without a global sort."""
-    numbered = df.select(key).distinct().withColumn("batch_id", F.pmod(F.xxhash64(key), F.lit(batches)))
-    return numbered.withColumn("in_range", F.col("batch_id").between(0, batches - 1))
+def numbered_batches(df: DataFrame, size: int, key: str = ID) -> DataFrame:
+    """(key, batch_id): the distinct keys in order, ``size`` to a batch, from 0.
+
+    Keys are range-sorted; each range counts its own rows and starts where the ranges before it end, so no task sees all
+    keys. The driver gets one count per range.
+    """
+    ranged = checkpoint(df.select(key).distinct().repartitionByRange(key).select(key, F.spark_partition_id().alias("_range")))
+    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, starts = 0, []
+    for part in sorted(sizes):
+        starts += [F.lit(part), F.lit(before).cast("bigint")]
+        before += sizes[part]
+    if not starts:
+        return ranged.select(key, F.lit(0).cast("bigint").alias("batch_id"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1 + F.create_map(*starts)[F.col("_range")]
+    return ranged.select(key, F.floor(place / size).alias("batch_id"))
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:

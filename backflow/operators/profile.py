@@ -20,14 +20,16 @@ def join_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     return with_row(left, right).select(*left.columns, *[F.col(f"_row.{c}").alias(c) for c in right.columns])
 
 
+#: Figures of the overview: name, aggregate, column.
+OVERVIEW = [
+    *((f"unique_{name}", "count_distinct", col) for name, col in (("customers", ID), ("orders", "sales_order_no"), ("skus", "q_sku_id"), ("classes", "q_cls_id"))),
+    ("earliest_order", "min", "order_date"), ("latest_order", "max", "order_date"),
+    *((f"{kind}_{col}" if kind == "avg" else f"total_{col}", kind, col) for kind in ("sum", "avg") for col in ("sales_qty", "return_qty")),
+]
+
+
 def overview(lines: DataFrame) -> DataFrame:
-    return lines.agg(
-        N().alias("total_records"), F.countDistinct(ID).alias("unique_customers"), F.countDistinct("sales_order_no").alias("unique_orders"),
-        F.countDistinct("q_sku_id").alias("unique_skus"), F.countDistinct("q_cls_id").alias("unique_classes"),
-        F.min("order_date").alias("earliest_order"), F.max("order_date").alias("latest_order"),
-        F.sum("sales_qty").alias("total_sales_qty"), F.sum("return_qty").alias("total_return_qty"),
-        F.avg("sales_qty").alias("avg_sales_qty"), F.avg("return_qty").alias("avg_return_qty"),
-    )
+    return lines.agg(N().alias("total_records"), *[getattr(F, kind)(col).alias(name) for name, kind, col in OVERVIEW])
 
 
 def activity_averages(lines: DataFrame) -> DataFrame:
@@ -147,7 +149,7 @@ def eligibility(lines: DataFrame, min_orders: int = 50, min_days: int = 730, gat
     long_lived, busy = F.count_if(F.col("lifetime_days") > min_days), F.count_if(F.col("order_count") >= min_orders)
     return c.agg(
         N().alias("total_customers"), long_lived.alias("customers_over_2_years"), pct(long_lived).alias("pct_over_2_years"),
-        busy.alias("customers_50plus_orders"), pct(busy).alias("pct_50plus_orders"), F.count_if(F.col("order_count") >= gate_orders).alias("customers_with_sufficient_orders"),
+        busy.alias(f"customers_{min_orders}plus_orders"), pct(busy).alias(f"pct_{min_orders}plus_orders"), F.count_if(F.col("order_count") >= gate_orders).alias("customers_with_sufficient_orders"),
     )
 
 
@@ -204,11 +206,9 @@ def tenure_return_rate(silver: DataFrame) -> DataFrame:
 
 
 def comment_stats(lines: DataFrame, comment: str = "return_comment", key: str = ID) -> DataFrame:
-    """Returns, returns with a comment and the distinct comments per customer."""
+    """Distinct comments on returns per customer with their number: one row per customer and comment."""
     said = lines.where(is_returned() & F.col(comment).isNotNull() & (F.col(comment) != ""))
-    return said.groupBy(key, comment).agg(N().alias("n")).groupBy(key).agg(
-        F.sum("n").alias("returns_with_comments"), F.concat_ws("; ", F.array_sort(F.collect_list(comment))).alias("sample_comments")
-    )
+    return said.groupBy(key, F.col(comment).alias("comment")).agg(N().alias("returns_with_comment"))
 
 
 def category_by_cluster(lines_with_cluster: DataFrame) -> DataFrame:

@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from backflow.functions.expressions import any_of, unpivot
+from backflow.session import checkpoint
 
 # Buckets per power of two, and an offset that keeps bucket numbers of all
 # positive doubles positive (the smallest exponent is -1074).
 STEPS = 1024
 SHIFT = 1100
+LAST = 10_000_000
 
 
 def value_bucket(v: Column) -> Column:
@@ -28,7 +30,10 @@ def value_bucket(v: Column) -> Column:
     exponent = F.floor(F.log2(size))
     mantissa = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * STEPS)
     number = (exponent + SHIFT) * STEPS + mantissa
-    return F.when(v == 0, F.lit(0)).when(v > 0, number).otherwise(-number).cast("bigint")
+    finite = F.when(v == 0, F.lit(0)).when(v > 0, number).otherwise(-number).cast("bigint")
+    # Infinities and NaN, which Spark orders last, have end buckets of their own.
+    ends = F.when(F.isnan(v), F.lit(LAST + 1)).when(v == float("inf"), F.lit(LAST)).when(v == float("-inf"), F.lit(-LAST))
+    return ends.otherwise(F.when(~F.isnan(v) & (size != float("inf")), finite)).cast("bigint")
 
 
 def exact_quantiles(
@@ -37,7 +42,6 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     discrete: bool = False,
-    many_groups: bool = False,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs``.
 
@@ -48,7 +52,9 @@ def exact_quantiles(
     keys = groups or ["_all"]
     base = df if groups else df.withColumn("_all", F.lit(0))
     v = F.col(value).cast("double")
-    valued = base.where(F.col(value).isNotNull()).select(*keys, v.alias("_v"), value_bucket(v).alias("_bucket"))
+    # Cut once: the input feeds the bucket totals and the values of the hit buckets.
+    narrow = checkpoint(base.where(F.col(value).isNotNull()).select(*keys, v.alias("_v")))
+    valued = narrow.withColumn("_bucket", value_bucket(F.col("_v")))
 
     ranks: dict[str, Column] = {}
     for name, p in probs.items():
@@ -70,10 +76,7 @@ def exact_quantiles(
         .where(any_of([holds(F.col("_before"), F.col("_size"), r) for r in ranks.values()]))
         .drop("_size")
     )
-    # At most two buckets per probability and group. Groups are columns and
-    # segments in this library; a caller with many groups says so and the join
-    # strategy is left to the planner.
-    hit = hit if many_groups else F.broadcast(hit)
+    # At most two buckets per probability and group; the number of groups is the caller's, so the planner chooses the join.
     folded = valued.join(hit, [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_before", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = folded.withColumn("_start", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from backflow.features import current as now
 from backflow.functions.expressions import ID
+from backflow.operators.quantiles import quantile_scalar
 from backflow.operators import dbscan as db, joins, kmeans as km, outliers, prepare as pre, quality
 from backflow.operators.clean import complete_to_schema
 from backflow.plans import report
@@ -61,8 +62,10 @@ def build_gold(
     chosen = pre.drop_low_variance(filled, chosen, variance_threshold)
     meta: dict = {"offered": offered, "scaling_method": method, "contamination": contamination}
     if advanced:
-        event = F.col("return_rate") > 0.5 if "return_rate" in chosen else F.col(chosen[0]) > 0
-        chosen, meta["advanced"] = pre.advanced_selection(filled, chosen, event)
+        # The event is an outlier flag where the frame has one, else completeness above its median.
+        judged = filled if "outlier_flag" in filled.columns else pre.completeness(filled, chosen)
+        event = F.col("outlier_flag") if "outlier_flag" in filled.columns else F.col("feature_completeness_score") > quantile_scalar(judged, "feature_completeness_score", 0.5)
+        chosen, meta["advanced"] = pre.advanced_selection(checkpoint(judged.withColumn("_event", event)), chosen, F.col("_event").cast("boolean"))
     meta["selected"] = chosen
     scored = checkpoint(outliers.isolation_forest(filled.select(ID, *chosen), chosen, contamination))
     scaled = pre.gold_flags(pre.completeness(pre.scale(scored, chosen, method), chosen))
