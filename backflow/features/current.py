@@ -263,11 +263,13 @@ def adjacency(bronze: DataFrame, days: int = 14) -> DataFrame:
     Pairs within ``days`` minus pairs of one SKU minus pairs of one instant plus
     pairs of both: the three corrections and the self pairs cancel exactly.
     """
-    rows = bronze.where(F.col("q_sku_id").isNotNull()).select(
+    rows = bronze.select(
         ID, F.col("q_sku_id").alias("sku"), F.col("order_date").alias("at"),
         day_number(F.col("order_date")).alias("day"), flag(is_returned()).alias("r"),
     )
-    counts = rows.groupBy(ID, "sku", "at", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r"))
+    # The fold that all branches start from, worked out once. Lines without a SKU only tell that the customer exists.
+    every = checkpoint(rows.groupBy(ID, "sku", "at", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r")))
+    counts = every.where(F.col("sku").isNotNull())
     square = lambda c: F.sum(F.col(c).cast("double") * F.col(c))
     per_sku = _near_sums(counts, [ID, "sku"], days).groupBy(ID).agg(
         *[F.sum(c).alias(f"sku_{c}") for c in ("n_pairs", "r_pairs", "n_days", "r_days")]
@@ -281,14 +283,14 @@ def adjacency(bronze: DataFrame, days: int = 14) -> DataFrame:
     sums = _near_sums(counts, [ID], days).join(per_sku, ID).join(per_instant, ID)
     net = lambda c: F.col(f"{c}_pairs") - F.col(f"sku_{c}_pairs") - F.col(f"at_{c}")
     mean = lambda c: ratio(F.col(f"{c}_days") - F.col(f"sku_{c}_days"), net(c))
-    measured = sums.join(_distinct_sku_pairs(rows, days), ID, "left").select(
+    measured = sums.join(_distinct_sku_pairs(counts, days), ID, "left").select(
         ID,
         F.col("sku_adjacency_orders"),
         net("r").cast("bigint").alias("sku_adjacency_returns"),
         F.when(net("n") > 0, mean("n")).alias("sku_adjacency_timing"),
         F.when(net("r") > 0, mean("r")).alias("sku_adjacency_return_timing"),
     )
-    return on_every_customer(bronze, measured)
+    return on_every_customer(every, measured)
 
 
 # --- seasons, trends, money -------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 COMMENT_COLUMNS = {"return_comment", "comment", "comments"}
 
@@ -16,20 +16,13 @@ NEGATIVE = ["bad", "poor", "broken", "damaged", "wrong", "late", "small", "large
 Scorer = Callable[[list[str]], list[tuple[str, float]]]
 
 
-def lexicon_scorer() -> Scorer:
-    """Label by the balance of listed words; confidence is the margin's share."""
-    good, bad = set(POSITIVE), set(NEGATIVE)
-
-    def score(texts: list[str]) -> list[tuple[str, float]]:
-        out = []
-        for text in texts:
-            words = text.lower().split()
-            p, n = sum(w in good for w in words), sum(w in bad for w in words)
-            label = "POSITIVE" if p > n else "NEGATIVE" if n > p else "NEUTRAL"
-            out.append((label, 0.5 + 0.5 * abs(p - n) / (p + n) if p + n else 0.5))
-        return out
-
-    return score
+def lexicon_columns(text: Column) -> tuple[Column, Column]:
+    """Label by the balance of listed words, and the margin's share as confidence, as column expressions."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
+    hits = lambda listed: F.size(F.filter(words, lambda w: w.isin(listed)))
+    good, bad = hits(POSITIVE), hits(NEGATIVE)
+    label = F.when(good > bad, "POSITIVE").when(bad > good, "NEGATIVE").otherwise("NEUTRAL")
+    return label, F.lit(0.5) + F.coalesce(F.try_divide(F.lit(0.5) * F.abs(good - bad), good + bad), F.lit(0.0))
 
 
 def comment_column(df: DataFrame) -> str:
@@ -39,13 +32,16 @@ def comment_column(df: DataFrame) -> str:
     return found[0]
 
 
-def score_text(df: DataFrame, col: str | None = None, factory: Callable[[], Scorer] = lexicon_scorer, batch: int = 32) -> DataFrame:
+def score_text(df: DataFrame, col: str | None = None, factory: Callable[[], Scorer] | None = None, batch: int = 32) -> DataFrame:
     """Adds ``model_sentiment`` and ``model_confidence``; NULL text counts as ''.
 
-    ``factory`` builds the scorer once per task, then whole texts go through it
-    ``batch`` at a time.
+    Without ``factory`` the word list decides, as column expressions. With it, a
+    model is built once per task and whole texts go through it ``batch`` at a time.
     """
     name = col or comment_column(df)
+    if factory is None:
+        label, confidence = lexicon_columns(F.col(name))
+        return df.withColumns({"model_sentiment": label, "model_confidence": confidence})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = factory()

@@ -17,8 +17,18 @@ from backflow.sources.readers import scan_gold, scan_silver
 TOTALS = ("total_sales_qty", "total_return_qty")
 
 
+# What the feature groups read of a line.
+LINE_COLUMNS = [
+    ID, "sales_order_no", "order_date", "sku", "q_sku_id", "sales_qty", "gross", "return_qty", "units_returned_flag", "return_date", "return_no", "q_cls_id", "class_",
+]
+
+
 def merged_features(bronze: DataFrame) -> DataFrame:
-    """Every feature group side by side; all joins are on the customer key."""
+    """Every feature group side by side; all joins are on the customer key.
+
+    The lines are read once: the columns that the groups use are checkpointed, and every group starts from those rows.
+    """
+    bronze = checkpoint(bronze.select(*LINE_COLUMNS))
     groups = {
         "core": now.core_table(bronze),
         "category": now.category_intelligence(bronze),

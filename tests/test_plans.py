@@ -40,3 +40,8 @@ def test_cluster_without_checkpoint_folder_is_refused(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.checkpoint(Frame())
+
+
+def test_the_full_build_reads_the_lines_once(spark):
+    text = plan_of(entry_module.queries()["f_20_create_all_features"](spark, SMALL))
+    assert "FileScan" not in text and "Scan parquet" not in text  # every group starts from the checkpointed lines
