@@ -104,6 +104,8 @@ def similar_ids(ids: DataFrame, col: str = ID, threshold: float = 0.8) -> DataFr
             "to": F.floor(F.col("local") * (F.col("i") + 1) / (F.col("e") + 1)).cast("int"),
         })
         .select("w", "len", "e", F.col("from").alias("pos"), F.expr("substring(w, from + 1, to - from)").alias("seg"))
+        # A segment moves by at most e, so its partner lies in the same or a neighbouring stretch of e + 1 places.
+        .withColumn("stretch", F.explode(F.expr("CASE WHEN seg = '' THEN array(0L) ELSE transform(array(-1, 0, 1), d -> floor(pos / (e + 1)) + d) END")))
     )
     # Longer side: its own edit bound; substrings of every length such a segment can have.
     long = (
@@ -111,11 +113,12 @@ def similar_ids(ids: DataFrame, col: str = ID, threshold: float = 0.8) -> DataFr
         .withColumn("size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("len") / (F.col("e") + 1)).cast("int"))))
         .withColumn("pos", F.explode(F.expr("CASE WHEN size = 0 THEN array(0) ELSE filter(sequence(0, len), p -> p + size <= len) END")))
         .select(F.col("w").alias("w2"), F.col("len").alias("len2"), "e", F.col("pos").alias("pos2"), F.expr("substring(w, pos + 1, size)").alias("seg"))
+        .withColumn("stretch", F.expr("CASE WHEN seg = '' THEN 0L ELSE floor(pos2 / (e + 1)) END"))
     )
     near = (F.col("len") <= F.col("len2")) & (F.col("w") != F.col("w2"))
     placed = (F.col("seg") == "") | (F.abs(F.col("pos") - F.col("pos2")) <= F.col("e"))
     fits = F.levenshtein("w", "w2") <= F.col("e")
-    pairs = short.join(long, ["e", "seg"]).where(near & placed).where(fits)
+    pairs = short.join(long, ["e", "seg", "stretch"]).where(near & placed).where(fits)
     named = pairs.select(F.least("w", "w2").alias("email1"), F.greatest("w", "w2").alias("email2")).distinct()
     score = 1.0 - F.try_divide(F.levenshtein("email1", "email2").cast("double"), F.greatest(F.length("email1"), F.length("email2")))
     return named.withColumn("similarity", score).where(F.col("similarity") >= threshold)
