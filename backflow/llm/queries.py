@@ -54,4 +54,36 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_rules, op2_wrapper_texts, op3_curve_packing, op4_secret_scan, op5_toxicity, op6_packed_matrix, op7_lsh_forest, op8_decontamination, op9_pivot_permutations, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op4_secret_scan": secrets.oracle()}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _reached(links: str) -> str:
+    """Recursive table of everything that links lead to, and the smallest id of each component."""
+    return f"reach AS (SELECT DISTINCT x AS id, x AS seed FROM {links} UNION SELECT l.y, r.seed FROM reach r JOIN {links} l ON r.id = l.x), least_id AS (SELECT id, min(seed) AS least FROM reach GROUP BY id)"
+
+
+_NEAR_DUPLICATES = f"""WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ shingles AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM texts WHERE len(w) > 0),
+ sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+ shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+ links AS (SELECT x, y FROM shared JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id WHERE 100 * k >= 75 * (a.n + b.n - k)), {_reached('links')}
+ SELECT texts.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, texts.doc_id) AS component_id, coalesce(least, texts.doc_id) = texts.doc_id AS kept
+ FROM texts LEFT JOIN sizes ON texts.doc_id = sizes.doc_id LEFT JOIN least_id ON texts.doc_id = id"""
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_DECONTAMINATION = f"""WITH texts AS (SELECT doc_id, {_WORDS} AS w FROM documents), items AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+ windows AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS g FROM items WHERE n > 0),
+ places AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM texts, (SELECT DISTINCT n FROM windows)),
+ hits AS (SELECT doc_id, i, p.n, item_id FROM places p JOIN windows v ON p.n = v.n AND array_to_string(w[i:i+p.n-1], ' ') = g),
+ words_hit AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS spot FROM hits) GROUP BY doc_id),
+ items_hit AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+ SELECT t.doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+ FROM texts t LEFT JOIN words_hit h ON t.doc_id = h.doc_id LEFT JOIN items_hit i ON t.doc_id = i.doc_id"""
+_NEAR_VECTORS = f"""WITH RECURSIVE usable AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98), {_reached('links')}
+ SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(least, e.vec_id) AS component_id, coalesce(least, e.vec_id) = e.vec_id AS kept
+ FROM embeddings e LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) c ON e.vec_id = x LEFT JOIN least_id ON e.vec_id = id"""
+ORACLE_SQL: dict[str, str] = {
+    "op4_secret_scan": secrets.oracle(), "op7_lsh_forest": _NEAR_DUPLICATES, "op8_decontamination": _DECONTAMINATION, "op9_pivot_permutations": _NEAR_VECTORS,
+}
