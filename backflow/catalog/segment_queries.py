@@ -338,8 +338,8 @@ _EXEC = {"total_customers": "count(*)", "clustered_customers": "count(*) FILTER
          "clustered_pct": "100e0 * count(*) FILTER (WHERE cluster <> -1) / count(*)", "noise_pct": "100e0 * count(*) FILTER (WHERE cluster = -1) / count(*)", "avg_return_rate": "avg(return_rate)", "avg_lifetime_days": "avg(customer_lifetime_days)", "avg_order_count": "avg(sales_order_no_nunique)"}
 on_segments("c_14_executive_summary", report.executive_summary, U.join(f"SELECT '{n}' AS metric, {r6(f'CAST({e} AS DOUBLE)', 'value')} FROM goldish" for n, e in _EXEC.items()) + " UNION ALL SELECT concat('cluster_', cluster), CAST(count(*) AS DOUBLE) FROM clean_rows GROUP BY cluster")
 cte("sheet", f"""SELECT cluster, count(*) AS customer_count, {', '.join(f'avg({c}) AS {n}' for n, c in report.SHEET.items())}, count(*) FILTER (WHERE outlier_score < -0.5) AS outlier_customers,
- quantile_cont(return_rate, 0.5) AS median_return_rate, 100e0 * count(*) / (SELECT count(*) FROM clean_rows) AS percentage_of_total FROM clean_rows GROUP BY cluster""")
-on_segments("c_15_cluster_profiles_sheet", report.cluster_profiles_sheet, f"""SELECT *, {_STRATEGY} FROM (SELECT cluster, customer_count, outlier_customers, {', '.join(r6(n, n) for n in [*report.SHEET, 'median_return_rate', 'percentage_of_total'])},
+ avg(feature_completeness_score) AS avg_quality_score, quantile_cont(return_rate, 0.5) AS median_return_rate, 100e0 * count(*) / (SELECT count(*) FROM clean_rows) AS percentage_of_total FROM clean_rows GROUP BY cluster""")
+on_segments("c_15_cluster_profiles_sheet", lambda s: report.cluster_profiles_sheet(s.withColumn("cluster_quality_score", F.col("feature_completeness_score"))), f"""SELECT *, {_STRATEGY} FROM (SELECT cluster, customer_count, outlier_customers, {', '.join(r6(n, n) for n in [*report.SHEET, 'avg_quality_score', 'median_return_rate', 'percentage_of_total'])},
  {_archetype_case('avg_return_rate', 'avg_order_count', 'avg_lifetime_days')} AS business_archetype FROM sheet)""")
 on_segments("c_16_assignments", report.assignments, f"""SELECT g.customer_emailid, g.cluster, CASE WHEN s.cluster IS NOT NULL THEN {_archetype_case('s.avg_return_rate', 's.avg_order_count', 's.avg_lifetime_days')} END AS business_archetype, g.cluster = -1 AS is_outlier,
  {r6('return_rate', 'return_rate')}, sales_order_no_nunique, customer_lifetime_days, {r6('g.avg_order_size', 'avg_order_size')}, items_returned_count, {r6('outlier_score', 'outlier_score')}, {r6('feature_completeness_score', 'feature_completeness_score')} FROM goldish g LEFT JOIN sheet s ON g.cluster = s.cluster""")

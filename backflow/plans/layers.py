@@ -123,7 +123,8 @@ def run_clustering(gold: DataFrame, config: dict | None = None) -> tuple[DataFra
 def report_tables(labels: DataFrame, silver: DataFrame, gold: DataFrame, meta: dict) -> dict[str, DataFrame]:
     """The named report tables of one clustering run."""
     base = report.report_base(labels, silver.drop("data_quality_flags"), gold.select(ID, "outlier_score", "feature_completeness_score"))
-    base = checkpoint(base)
+    # The quality of a customer's assignment is the completeness of the features behind it.
+    base = checkpoint(base.withColumn("cluster_quality_score", F.col("feature_completeness_score")))
     noise = F.col("cluster") == -1
     totals = base.agg(F.count(F.lit(1)).alias("total_customers"), F.count_if(~noise).alias("clustered_customers"), F.count_if(noise).alias("noise_customers"))
     score = meta["kmeans"]["silhouette_score"]
