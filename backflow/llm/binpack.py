@@ -6,8 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from backflow.llm.common import texts_of
 from backflow.llm.tokens import word_tokenizer
@@ -87,7 +86,7 @@ def packed_matrix(
         tokenizer = word_tokenizer(path)
         width = tokenizer.width if length <= 1 << 16 else 4
         dtype = f"<u{width}"
-        sequence = TaskContext.get().partitionId() << 40
+        sequence = None
         end = np.array([end_id], dtype=dtype)
         ramp = np.arange(length, dtype=dtype)
         held: list[tuple] = []  # (id, start, ids)
@@ -119,6 +118,8 @@ def packed_matrix(
 
         for batch in batches:
             id_type = batch.schema.field(0).type
+            if sequence is None and len(batch):
+                sequence = batch.column(2)[0].as_py() << 40
             docs_of, at = batch.column(0).to_pylist(), 0
             for ids, bounds in tokenizer.encode(texts_of(batch.column(1))):
                 for k in range(len(bounds) - 1):
@@ -132,4 +133,4 @@ def packed_matrix(
             yield from rows()
 
     schema = f"sequence_id long, n_tokens long, segment_ids array<{kind}>, segment_starts array<long>, cu_seqlens array<int>, id_bytes int, input_ids binary, position_ids binary"
-    return docs.select(id_col, text_col).mapInArrow(fill, schema)
+    return docs.select(id_col, text_col, F.spark_partition_id().alias("part")).mapInArrow(fill, schema)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from backflow.session import checkpoint
 
-__all__ = ["checkpoint", "read", "stored", "grouped_rows", "texts_of", "partitions_for"]
+__all__ = ["checkpoint", "fewer", "read", "stored", "grouped_rows", "slices", "texts_of", "partitions_for"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+# Tasks per core beyond which small partitions are put together: more tasks balance no better and leave more files.
+TASKS_A_CORE = 8
+
+
+def fewer(df: DataFrame) -> DataFrame:
+    """``df`` in at most ``TASKS_A_CORE`` partitions for each core of the cluster, without a shuffle."""
+    return df.coalesce(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: wide rows, read by several later steps."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    fewer(df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,10 +72,14 @@ def grouped_rows(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[
         yield current, held
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that what Python makes of them stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [x or "" for x in column.to_pylist()]
 
-
-def flat(lists: Iterable[Iterable]) -> list:
-    return list(chain.from_iterable(lists))

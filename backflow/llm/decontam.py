@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from backflow.llm.common import stored, texts_of
+from backflow.llm.common import slices, stored, texts_of
 from backflow.llm.words import NOT_ALNUM, word_chunks
 
 SHINGLE = 3
@@ -132,7 +132,7 @@ def _shingle_counts(docs: DataFrame, text_col: str, index) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = index.value
         total = np.zeros(len(windows.shingles), dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for _, _, hashes, _ in word_chunks(texts_of(batch.column(0)), NOT_ALNUM):
                 for _, shingle in windows.occurrences(windows.numbers(hashes)):
                     total += np.bincount(shingle, minlength=len(total))
@@ -183,7 +183,7 @@ def contamination(
     def hits(index, row_col: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = index.value
-            for batch in batches:
+            for batch in slices(batches):
                 counts, spans, names = [], [], []
                 for _, n, hashes, bounds in word_chunks(texts_of(batch.column(1)), NOT_ALNUM):
                     sizes = np.diff(bounds)
@@ -240,7 +240,7 @@ def clean(
 
     def without(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 keep = []
                 for _, n, hashes, bounds in word_chunks(texts_of(batch.column(at)), NOT_ALNUM):
                     owner = np.repeat(np.arange(n), np.diff(bounds))

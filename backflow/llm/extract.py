@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from backflow.llm.common import stored, texts_of
+from backflow.llm.common import fewer, slices, stored, texts_of
 from backflow.llm.dom import Page, shapes, tree_match
 from backflow.llm.urlrules import host_of
 
@@ -41,7 +41,7 @@ def _outlines(pages: DataFrame) -> DataFrame:
     """(page, host, skeleton, body, nodes, texts): hash of the page, and per block its node and the hash of its text."""
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for html in texts_of(batch.column(1)):
                 page, blocks = content_blocks(html)
@@ -102,7 +102,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     found = template_blocks(rows.select("host", "html"), **induction)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pages_of, texts = [], []
             for html in texts_of(batch.column(2)):
                 _, blocks = content_blocks(html)
@@ -122,4 +122,4 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 texts.append("\n\n".join(p for p in parts if not gone or _hash(p) not in gone))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    return joined.select("id", "url", "blocks", "template").mapInArrow(written, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    return fewer(joined).select("id", "url", "blocks", "template").mapInArrow(written, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from backflow.llm.common import checkpoint
+from backflow.llm.common import checkpoint, fewer
+
+EDGES_A_TASK = 200_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _state(edges: DataFrame) -> tuple:
-    """(rows, checksum, is every edge already part of a star)."""
+    """(rows, checksum) of the edges."""
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return row[0], row[1]
 
@@ -38,10 +40,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Edges are undirected; loops and edges with a null end count as none, repeated edges as one.
     """
     edges = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y"))
-    edges = checkpoint(edges.filter("x and y and a <> b").select("a", "b").distinct())
+    edges = checkpoint(fewer(edges.filter("x and y and a <> b").select("a", "b").distinct()))
     state = _state(edges)
+    # Rounds over few edges need few tasks and files; the edges never become more than twice as many.
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, -(-state[0] // EDGES_A_TASK))
     while True:
-        edges = checkpoint(_small_star(_large_star(edges)))
+        edges = checkpoint(_small_star(_large_star(edges)).coalesce(parts))
         before, state = state, _state(edges)
         if state == before:
             break

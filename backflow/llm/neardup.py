@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from backflow.llm.common import grouped_rows, stored, texts_of
+from backflow.llm.common import fewer, grouped_rows, slices, stored, texts_of
 from backflow.llm.graph import components
 from backflow.llm.words import WHITE, mixed, word_chunks
 
@@ -72,7 +72,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(id, n_shingles, set_key, sig); set_key and sig are null without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, keys, sigs = [], [], []
             for shingles in _sets(texts_of(batch.column(1)), size):
                 counts.append(len(shingles))
@@ -249,7 +249,7 @@ def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, id_col: str
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(once, "rep")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             blobs = [s.tobytes() for s in _sets(texts_of(batch.column(1)), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["rep", "shingles"])
 
@@ -290,6 +290,7 @@ def near_duplicates(
     clusters = components(_near_pairs(classes, numerator / denominator))
     found = components(_links(docs.withColumn(id_col, F.col(id_col).cast("long")), classes, clusters, id_col, text_col, size, numerator, denominator))
     groups = classes.select("set_key", "rep").distinct().join(found, F.col("rep") == found.id, "left").groupBy("set_key").agg(F.min(F.coalesce("component_id", "rep")).alias("component_id"))
-    out = rows.drop("sig").join(groups, "set_key", "left")
+    # Stored, so that the join has two plain exchanges and the copies of one text can be split over tasks.
+    out = rows.drop("sig").join(stored(groups), "set_key", "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", component.cast(kind).alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+    return fewer(out).select(F.col("id").cast(kind).alias(id_col), "n_shingles", component.cast(kind).alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))

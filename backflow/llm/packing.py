@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from backflow.llm.common import partitions_for, stored, texts_of
@@ -119,7 +118,7 @@ def pack_along_curve(
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = np.dtype(word_tokenizer(path).dtype)
-        sequence = TaskContext.get().partitionId() << 40
+        sequence = None
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
         rows: list[tuple] = []
         open_pieces: list[tuple] = []  # (id, start, ids, doc_tokens) of the sequence at hand
@@ -143,6 +142,8 @@ def pack_along_curve(
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
+            if sequence is None and len(batch):
+                sequence = batch.column(3)[0].as_py() << 40
             for doc, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 ids = np.frombuffer(blob.as_py(), dtype=dtype)
                 start = 0
@@ -169,7 +170,7 @@ def pack_along_curve(
 
     parts = partitions_for(total * 2, PARTITION_BYTES, docs.sparkSession)
     ordered = table.repartitionByRange(parts, "place", "id", "n_tokens").sortWithinPartitions("place", "id", "n_tokens", "tokens")
-    packed = ordered.select("id", "n_tokens", "tokens").mapInArrow(
+    packed = ordered.select("id", "n_tokens", "tokens", F.spark_partition_id().alias("part")).mapInArrow(
         fill, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     )
     return packed.withColumnRenamed("id", id_col)

@@ -17,7 +17,7 @@ from backflow.llm.common import texts_of
 from backflow.llm.words import WHITE, hashed
 
 WORD_BPE = "word_bpe_49k.json"
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 400_000
 CHUNK_CHARS = 2_000_000
 
 #: The split pattern that the vocabulary file states.

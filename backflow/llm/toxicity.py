@@ -14,11 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from backflow.llm.common import texts_of
+from backflow.llm.common import slices, texts_of
 
 SIZES = (3, 4, 5)
 BINS = 1 << 20
-#: Most labelled rows that are learned from, and most n-grams that are kept.
+#: Most labelled rows that are learned from, and most n-grams that are kept (their numbers take two bytes).
 SAMPLE_ROWS = 20_000
 KEPT = 8_000
 # Standard errors by which a kept n-gram's log ratio differs from 0.
@@ -87,24 +87,35 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums + self.bias, -500, 500)))
 
 
-def fit_logistic(features: list[np.ndarray], ratios: np.ndarray, labels: np.ndarray, penalty: float = 3e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """(weights of the scaled features, bias) of a logistic regression by accelerated gradient steps; ``features`` are column numbers per row."""
+def fit_logistic(starts: np.ndarray, columns: np.ndarray, ratios: np.ndarray, labels: np.ndarray, penalty: float = 3e-4, rounds: int = 300, block: int = 1000) -> tuple[np.ndarray, float]:
+    """(weights of the scaled features, bias) of a logistic regression by accelerated gradient steps.
+
+    Row ``k`` has the features ``columns[starts[k]:starts[k + 1]]``. Rows are worked off in blocks, so that only the
+    column numbers are held whole.
+    """
     n, m = len(labels), len(ratios)
-    rows = np.repeat(np.arange(n), [len(f) for f in features])
-    columns = np.concatenate([np.zeros(0, np.int64), *features]).astype(np.int64)
-    values = ratios[columns]
+    cuts = [*range(0, n, block), n]
+    blocks = [(np.repeat(np.arange(e - b, dtype=np.int16), np.diff(starts[b : e + 1])), columns[starts[b] : starts[e]], slice(b, e)) for b, e in zip(cuts, cuts[1:])]
     # A step per feature that is safe: the sum of a row's sizes bounds what the other features add to the curvature.
-    reach = np.bincount(rows, np.abs(values), minlength=n) + 1
-    steps = 1 / (np.bincount(columns, np.abs(values) * reach[rows], minlength=m) / (4 * n) + penalty)
-    bias_step = 4 / reach.mean()
+    curve, far = np.zeros(m), 0.0
+    for rows, found, at in blocks:
+        sizes = np.abs(ratios[found])
+        reach = np.bincount(rows, sizes, minlength=at.stop - at.start) + 1
+        curve += np.bincount(found, sizes * reach[rows], minlength=m)
+        far += reach.sum()
+    steps, bias_step = 1 / (curve / (4 * n) + penalty), 4 * n / far
     share = np.clip(labels.mean(), 1e-6, 1 - 1e-6)
     w, bias = np.zeros(m), float(np.log(share / (1 - share)))
     ahead, ahead_bias, t = w.copy(), bias, 1.0
     for _ in range(rounds):
-        scores = np.bincount(rows, values * ahead[columns], minlength=n) + ahead_bias
-        wrong = 1 / (1 + np.exp(-np.clip(scores, -500, 500))) - labels
-        new = ahead - steps * (np.bincount(columns, values * wrong[rows], minlength=m) / n + penalty * ahead)
-        new_bias = ahead_bias - bias_step * wrong.mean()
+        scaled, slope, slope_bias = ahead * ratios, np.zeros(m), 0.0
+        for rows, found, at in blocks:
+            scores = np.bincount(rows, scaled[found], minlength=at.stop - at.start) + ahead_bias
+            wrong = 1 / (1 + np.exp(-np.clip(scores, -500, 500))) - labels[at]
+            slope += np.bincount(found, wrong[rows], minlength=m)
+            slope_bias += wrong.sum()
+        new = ahead - steps * (slope * ratios / n + penalty * ahead)
+        new_bias = ahead_bias - bias_step * slope_bias / n
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, ahead_bias = new + (t - 1) / t_next * (new - w), new_bias + (t - 1) / t_next * (new_bias - bias)
         w, bias, t = new, new_bias, t_next
@@ -128,7 +139,7 @@ def _class_counts(rows: DataFrame) -> np.ndarray:
         total = np.zeros((2, BINS), dtype=np.int64)
         seen = np.zeros(2, dtype=np.int64)
         everything = np.ones(BINS, dtype=bool)
-        for batch in batches:
+        for batch in slices(batches):
             for label, bins in zip(batch.column(0).to_pylist(), held_bins(texts_of(batch.column(1)), everything)):
                 total[label, bins] += 1
                 seen[label] += 1
@@ -173,22 +184,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     certain = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
     bins = np.flatnonzero(certain >= STANDS_OUT)
     bins = np.sort(bins[np.argsort(-certain[bins], kind="stable")[:kept]])
-    place = np.full(BINS, -1, dtype=np.int64)
+    place = np.full(BINS, -1, dtype=np.int16)
     place[bins] = np.arange(len(bins))
-    wanted = place >= 0
-    shipped = rows.sparkSession.sparkContext.broadcast(wanted)
+    place_of = rows.sparkSession.sparkContext.broadcast(place)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [b.tolist() for b in held_bins(texts_of(batch.column(1)), shipped.value)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int32()))], names=["label", "bins"])
+        for batch in slices(batches):
+            held = [place_of.value[b].astype("<i2").tobytes() for b in held_bins(texts_of(batch.column(1)), place_of.value >= 0)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["label", "columns"])
 
-    found = rows.mapInArrow(features, "label int, bins array<int>").toLocalIterator()
-    targets, columns = [], []
-    for row in found:
+    targets, columns, starts = [], bytearray(), [0]
+    for row in rows.mapInArrow(features, "label int, columns binary").toLocalIterator():
         targets.append(row.label)
-        columns.append(place[np.array(row.bins, dtype=np.int64)].astype(np.int32))
-    weights, bias = fit_logistic(columns, ratio[bins], np.array(targets, dtype=np.float64))
+        columns += row.columns
+        starts.append(len(columns) // 2)
+    weights, bias = fit_logistic(np.array(starts), np.frombuffer(columns, dtype="<i2"), ratio[bins], np.array(targets, dtype=np.float64))
     return Model(bins, ratio[bins] * weights, bias)
 
 
@@ -202,7 +212,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shipped.value.scores(texts_of(batch.column(1))), pa.float64())], names=["id", "score"])
 
     rows = docs.select(id_col, text_col).mapInArrow(score, f"id {kind}, score double")
@@ -216,7 +226,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: f
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(shipped.value.scores(texts_of(batch.column(at))) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)

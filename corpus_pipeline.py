@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from backflow.llm import decontam, neardup, packing, secrets, toxicity
-from backflow.llm.common import read, stored
+from backflow.llm.common import fewer, read, stored
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     named = docs.withColumn("_near_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))))
     kept = neardup.near_duplicates(named, id_col="_near_id").filter("kept").select("_near_id")
-    return named.join(kept, "_near_id", "left_semi").dropDuplicates(["_near_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return fewer(named.join(kept, "_near_id", "left_semi").dropDuplicates(["_near_id"])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """All documents, their secrets replaced by a mark; n_chars is that of the new text."""
     changed = secrets.redacted(docs.withColumn("_before", F.char_length("text")))
     length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return changed.withColumn("n_chars", F.when(length != F.col("_before"), length).otherwise(F.col("n_chars"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return fewer(changed).withColumn("n_chars", F.when(length != F.col("_before"), length).otherwise(F.col("n_chars"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -328,3 +328,11 @@ def test_redacted_texts_hold_no_secret(spark):
 def test_the_secret_scan_has_no_python(spark, docs):
     plan = secrets.secret_report(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_sequence_ids_stay_apart_when_partitions_are_put_together(spark):
+    rows = [(k, sentence(k, 60), *[None] * 8) for k in range(120)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    for packed, used in ((packing.pack_along_curve(frame, length=64, with_ids=False), "length"), (binpack.packed_matrix(frame, length=64), "n_tokens")):
+        sizes = packed.coalesce(1).groupBy("sequence_id").agg({used: "sum"}).collect()
+        assert max(r[1] for r in sizes) <= 64
