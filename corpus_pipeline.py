@@ -16,7 +16,7 @@ from backflow.llm.common import fewer, read, stored
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled ones among them, does not reject."""
-    return toxicity.accepted(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return toxicity.accepted(fewer(docs), toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
+    return decontam.clean(fewer(docs), read(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full sequences, like documents side by side."""
-    return packing.pack_along_curve(docs, with_ids=False)
+    return fewer(packing.pack_along_curve(docs, with_ids=False))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
