@@ -17,9 +17,13 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 #: Elements, roles and names that are not part of an article.
 APART = frozenset("head nav footer aside form button select option dialog menu".split()) | RAW
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|"
-    r"topbar|toolbar|share|sharing|social|related|recommended|comments?|respond|disqus|widget|login|signup|paywall|copyright|legal)(?:$|[\s_-])"
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|"
+    r"topbar|toolbar|share|sharing|social|related|recommended|comments?|respond|disqus|widget|login|signup|paywall|copyright|legal"
 )
+#: A name beside a listed one that leaves open what the element is; the alignment of the host's pages decides then.
+CONTENT_NAMES = re.compile(r"(?:content|article|post|entry|story|main|body|text|page)(?:$|[_-].*)")
+#: Elements that no name makes a part of the page's frame; their class tells the layout, their id the subject.
+NEVER_BY_NAME = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
@@ -36,6 +40,7 @@ class Node:
     name: str = ""  # class and id, lower-cased
     role: str = ""
     children: list = field(default_factory=list)
+    holds: bool = False  # an article or main element lies inside
 
     @property
     def label(self) -> str:
@@ -44,7 +49,14 @@ class Node:
 
     def apart(self, inside: bool) -> bool:
         """Is it no part of an article? A header inside one is."""
-        return self.tag in APART or self.tag == "header" and not inside or self.role in ROLES or bool(self.name) and bool(NAMES.search(self.name))
+        return self.tag in APART or self.tag == "header" and not inside or self.role in ROLES or bool(self.name) and self._named_apart()
+
+    def _named_apart(self) -> bool:
+        """Is one of its classes or its id, as a whole, a listed name, and does nothing speak against it?"""
+        if self.tag in NEVER_BY_NAME or self.role == "main" or self.holds:
+            return False
+        names = self.name.split()
+        return any(map(NAMES.fullmatch, names)) and not any(map(CONTENT_NAMES.fullmatch, names))
 
 
 def parse(html: str) -> Node:
@@ -86,6 +98,11 @@ def parse(html: str) -> Node:
         if tag in CLOSES:
             _close(stack, *CLOSES[tag])
         stack[-1].children.append(node)
+        if tag in ("article", "main") or node.role == "main":
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].holds:
+                    break
+                stack[k].holds = True
         if tag in VOID or attributes and attributes.endswith("/") and tag in RAW:
             continue
         if tag in RAW:

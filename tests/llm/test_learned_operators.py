@@ -93,6 +93,17 @@ def test_blocks_of_an_article():
     assert len(Page("<div>" * 3000 + "deep").blocks) == 1
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "content-with-sidebar", "post comments-open", "post category-social", "content legal", "sidebar"])
+def test_names_of_layouts_drop_no_article(name):
+    text = lambda html: [b.text for b in Page(html).blocks]
+    for tag in ("html", "body", "main", "article"):
+        assert text(f"<{tag} class='{name}'><p>One</p><div class='ad'>Buy</div></{tag}>") == ["One"]
+    for held in ("<article><p>One</p></article>", "<main><p>One</p></main>", "<div role='main'><p>One</p></div>"):
+        assert text(f"<body><div id='wrap' class='{name}'><section>{held}</section></div></body>") == ["One"]
+    # Only a whole name without a word for content beside it makes a plain element part of the frame.
+    assert text(f"<article><p>One</p><div class='{name}'>Two</div></article>") == (["One"] if name == "sidebar" else ["One", "Two"])
+
+
 def test_tree_match_counts_the_largest_alignment():
     a, b = shapes("r(a(x()y())b(x()))").children[0], shapes("r(b(x())a(y()))").children[0]
     assert tree_match(a, b)[0] == 3
