@@ -244,6 +244,27 @@ def shapes(skeleton: str) -> Shape:
     return root
 
 
+def ways(skeleton: str) -> list[tuple[int, str, int]]:
+    """Of each node of a skeleton in order: its parent's number (-1 at the top), its label, and how many of that label the parent had before."""
+    out: list[tuple[int, str, int]] = []
+    stack, last, before = [-1], [-1], {}
+    for m in re.finditer(r"(\*|[^()*]+)\(|\)", skeleton):
+        if m[0] == ")":
+            if len(stack) > 1:
+                last.pop()
+                last[-1] = stack.pop()
+            continue
+        if m[1] == "*":
+            number = last[-1]
+        else:
+            number, name = len(out), (stack[-1], m[1])
+            out.append((*name, before.get(name, 0)))
+            before[name] = before.get(name, 0) + 1
+        stack.append(number)
+        last.append(-1)
+    return out
+
+
 def tree_match(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: size of the largest order-keeping match of two trees and the matched node numbers.
 

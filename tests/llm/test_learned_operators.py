@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from backflow.llm import extract, queries, toxicity, urlrules, vectors
-from backflow.llm.dom import Page, shapes, tree_match
+from backflow.llm.dom import Page, shapes, tree_match, ways
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -127,6 +127,29 @@ def test_template_goes_and_copies_stay(spark):
     assert extract.main_texts(frame.limit(0)).collect() == []
 
 
+def test_slots_of_nodes_that_the_reference_lacks():
+    page = lambda html: Page(html).skeleton
+    a, b, c = page("<body><p>x</p><ul><li><p>1<li><p>2</ul>"), page("<body><p>x</p><div class='b'><h2>y</h2></div>"), page("<body><p>x</p><div class='c'><h2>y</h2></div>")
+    for skeleton in (a, b, c):
+        assert len(ways(skeleton)) == len(extract.slots_of(skeleton, a)) == skeleton.count("(") - skeleton.count("*(")
+    at = {name: extract.slots_of(x, a) for name, x in zip("abc", (a, b, c))}
+    assert at["b"][:-2] == at["c"][:-2] == at["a"][: len(at["b"]) - 2] and not set(at["b"][-2:]) & set(at["c"][-2:])
+
+
+def test_template_of_each_layout_slot_and_host(spark):
+    layouts = ("<div class='a'><h2>Stay tuned</h2>{}</div>", "<section><h3>Stay tuned b</h3>{}</section>", "<table><tr><td>Stay tuned c<td>{}</table>")
+    rows = [(10 * k + n, f"http://h.org/{n}/{k}", f"<body><p>Printed by {n}</p>{layout.format(f'<div><p>text {n} {k}</p></div>')}</body>") for n, layout in enumerate(layouts) for k in range(6)]
+    # A text that is template at one place is content at another.
+    rows.append((100, "http://h.org/q", "<body><p>Printed by 0</p><div class='a'><h2>Stay tuned</h2><div><p>Stay tuned</p></div></div></body>"))
+    # One html on two hosts, where only one has the text on its other pages.
+    page = "<body><p>Welcome</p><div>{}</div></body>"
+    rows += [(200 + k, f"http://one.org/{k}", page.format(f"story {k}")) for k in range(5)] + [(300 + k, f"http://two.org/{k}", page.replace("Welcome", f"Day {k}").format(f"tale {k}")) for k in range(5)]
+    rows += [(400, "http://two.org/x", page.format("story 0"))]
+    got = {r.page_id: r.text for r in extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[10 * k + n] == f"text {n} {k}" for n in range(3) for k in range(6))
+    assert got[100] == "Stay tuned" and got[200] == "story 0" and got[400] == "Welcome\n\nstory 0"
+
+
 # --- toxicity
 
 
