@@ -70,6 +70,37 @@ def test_mined_rules_are_those_of_all_subsets(spark):
     assert sorted(got) == sorted(minimal) and any(x[0] == ("a", "b") and x[1] == "block" for x in got)
 
 
+def plain_rules(rows, least, confidence):
+    sets = {}
+    for tokens, label in rows:
+        for n in range(1, len(tokens) + 1):
+            for left in itertools.combinations(sorted(tokens), n):
+                sets.setdefault(left, {"allow": 0, "block": 0})[label] += 1
+    rules = {label: {left: (n[label] / sum(n.values()), n[label]) for left, n in sets.items() if n[label] >= least and n[label] / sum(n.values()) >= confidence} for label in ("allow", "block")}
+    parts = lambda left: (p for n in range(1, len(left)) for p in itertools.combinations(left, n))
+    return sorted((left, label, *sure) for label, found in rules.items() for left, sure in found.items() if not any(found.get(p, (0,))[0] >= sure[0] for p in parts(left)))
+
+
+def test_all_frequent_tokens_and_wide_rules_are_mined(spark):
+    r, rows = random.Random(6), []
+    for k in range(600):  # 60 tokens and more, twins, one that all have, and a label that needs five tokens at once
+        tokens = {"all", f"x{k % 60}", f"X{k % 60}"} | {t for t in "abcde" if r.random() < 0.85}
+        rows.append((sorted(tokens), "block" if set("abcde") <= tokens or r.random() < 0.03 else "allow"))
+    frame = spark.createDataFrame(rows, "tokens array<string>, label string")
+    expected = plain_rules(rows, 5, 0.9)
+    got = urlrules.mined_rules(frame, support=0.001, confidence=0.9)
+    assert sorted(got) == expected and len(expected) > 48 and any(x[0] == tuple("abcde") for x in expected)
+
+
+def test_a_joined_index_judges_like_a_literal_one(spark, monkeypatch):
+    urls = [f"http://{a}.{b}/{c}?{d}=1" for a in ("m", "n", "www") for b in ("com", "net") for c in ("es/a", "fr/b", "en/c") for d in "pqr"] * 3 + [f"http://z.org/{c}?{d}" for c in ("es/a", "en/c", "none") for d in "pqz"] + [None, "x"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    judged = lambda: sorted(urlrules.url_verdicts(frame, queries.URL_RULES, confidence=0.5).collect())
+    literal = judged()
+    monkeypatch.setattr(urlrules, "LITERAL", 0)
+    assert judged() == literal and len({r.mined for r in literal}) > 2
+
+
 def test_index_finds_the_surest_rule(spark):
     rules = [(("a", "b"), "block", 1.0, 9), (("c",), "allow", 0.9, 9), (("a",), "block", 0.85, 9)]
     frame = spark.createDataFrame([(["a", "b", "c"],), (["c", "a"],), (["a"],), (["b"],), ([],)], "tokens array<string>")
