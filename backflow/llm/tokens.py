@@ -64,6 +64,7 @@ class WordTokenizer:
         self.code = "H" if self.dtype == "<u2" else "I"
         self.width = np.dtype(self.dtype).itemsize
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.marks = [s.lower() for s in self.special]
         self.entries = entries
         self.whole = self.prove_whole()
         self.words: dict[str, bytes] = {}
@@ -132,11 +133,13 @@ class WordTokenizer:
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         prepared, odd = [], {}
         for k, text in enumerate(texts):
-            if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            low = text.lower()
+            # A special string in other letters is plain text, and must not become special in lower case.
+            if not _PLAIN.fullmatch(text) or any(s in low for s in self.marks):
                 odd[k] = np.frombuffer(self._slow(text), dtype=self.dtype)
                 text = ""
             elif not _RUN.search(text):
-                text = text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+                text = low.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
             prepared.append(text.encode("utf-8"))
         data = b"\n".join(prepared)
         hashes, starts, ends = hashed(data, WHITE)

@@ -81,6 +81,12 @@ def test_ids_of_every_character_and_stop(library):
     assert found == [library.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_special_strings_in_other_letters_are_plain(library):
+    odd = ["<|ENDOFTEXT|>", "a <|EndOfText|> B", "x<|StartOfText|>, y. Z", "<|endoftext|> <|ENDOFTEXT|>", "É, <|EndOfText|>."]
+    found = [ids[b[k] : b[k + 1]].tolist() for ids, b in tokens.word_tokenizer().encode(odd) for k in range(len(b) - 1)]
+    assert found == [library.encode(t, add_special_tokens=False).ids for t in odd] and len(found[0]) == 6
+
+
 def test_whole_tokens_are_proven(library):
     proven = list(tokens.word_tokenizer().whole.items())
     assert len(proven) > 1000
