@@ -5,14 +5,14 @@
 2. ``TREES`` orders: each tree has a signature of ``DEPTH`` minima of its own. Classes that share the first ``LEAST_DEPTH``
    minima of a tree lie in one region of its sorted order; a region with more than ``REGION`` classes is cut by
    the next minimum, and so on down to ``DEPTH``. What is still too large is compared in pairs of blocks.
-3. In a region, a pair goes on if it has its longest common prefix in this tree and the minima of all trees put it
-   near the limit. Each region gives a spanning forest of such pairs, never all pairs.
+3. In a region, a pair goes on if the minima of all trees put it near the limit. Each region gives a spanning forest of such pairs, never all pairs.
 4. The forests' components are clusters that hold every link. The full sets of a cluster meet in one task (a large
    cluster in pairs of blocks), which counts exact overlaps and gives a spanning forest of the real links.
 5. The components of the real links are the groups.
 
-A pair at the limit of 0.75 misses all regions with probability (1 - 0.75**depth)**TREES: 2e-6 at depth 3, 1e-4 at
-depth 4, 2e-3 at depth 5, and less for nearer pairs.
+A pair at the limit of 0.75 misses all regions with a probability that is the product of 1 - 0.75**depth over the trees, with the
+depth to which its region of that tree is cut: 2e-6 if none is cut beyond depth 3, 1e-4 if all are cut to depth 4, 2e-3 if all
+are cut to depth 5, in between if some are, and less for nearer pairs.
 """
 
 from __future__ import annotations
@@ -168,33 +168,31 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def region_forest(reps: np.ndarray, sigs: np.ndarray, tree: int, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the near pairs of a region, the likest first, of the pairs whose longest common prefix is in ``tree``."""
+def region_forest(reps: np.ndarray, sigs: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the near pairs of a region. A pair that several trees hold is looked at in each: in one of them its region may be cut."""
     order = np.argsort(reps, kind="stable")
     reps, sigs = reps[order], sigs[order]
-    n, pairs = len(reps), []
-    for i in range(n - 1):
-        same = sigs[i + 1 :] == sigs[i]
-        near = np.flatnonzero(same.reshape(len(same), -1).sum(axis=1) >= least * TREES * DEPTH)
-        if len(near):
-            depths = np.cumprod(same[near], axis=2).sum(axis=2)
-            near = near[depths.argmax(axis=1) == tree]
-            pairs.extend((int(same[k].sum()), i, i + 1 + int(k)) for k in near)
-    pairs.sort(key=lambda x: (-x[0], x[1], x[2]))
-    union = Union(n)
-    return [(int(reps[i]), int(reps[j])) for _, i, j in pairs if reps[i] != reps[j] and union.join(i, j)]
+    labels, edges = np.arange(len(reps)), []
+    for i in range(len(reps) - 1):
+        other = i + 1 + np.flatnonzero(labels[i + 1 :] != labels[i])
+        near = other[(sigs[other] == sigs[i]).sum(axis=(1, 2)) >= least * TREES * DEPTH]
+        for k in near.tolist():
+            if labels[k] != labels[i]:
+                labels[labels == labels[k]] = labels[i]
+                edges.append((int(reps[i]), int(reps[k])))
+    return edges
 
 
 def _near_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): spanning forests of all regions; their components hold every link."""
-    members = _blocked(_regions(_prefixes(classes)), F.ceil(F.col("n") / REGION), "region").select("unit", "tree", "rep")
-    rows = members.join(classes.select("rep", "sig"), "rep").select("unit", "tree", "rep", "sig")
+    members = _blocked(_regions(_prefixes(classes)), F.ceil(F.col("n") / REGION), "region").select("unit", "rep")
+    rows = members.join(classes.select("rep", "sig"), "rep").select("unit", "rep", "sig")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
         for _, group in grouped_rows(batches, "unit"):
             sigs = np.frombuffer(b"".join(group["sig"]), dtype="<u4").reshape(len(group["rep"]), TREES, DEPTH)
-            edges += region_forest(np.array(group["rep"], dtype=np.int64), sigs, group["tree"][0], threshold - SLACK)
+            edges += region_forest(np.array(group["rep"], dtype=np.int64), sigs, threshold - SLACK)
             if len(edges) > 20_000:
                 yield _edge_batch(edges)
                 edges = []

@@ -222,6 +222,19 @@ def test_near_copies_meet_however_regions_are_cut(spark, monkeypatch, small):
     assert got == sorted(brute_components(rows))
 
 
+def test_a_pair_cut_in_its_deepest_tree_goes_on_in_another(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 2)
+    draw = np.random.default_rng(5)
+    a, c, d = draw.integers(0, 1 << 32, (3, neardup.TREES, neardup.DEPTH), dtype=np.uint32)
+    b = a.copy()
+    b[2:, 0] += np.uint32(1)
+    b[0, 4] += np.uint32(1)
+    b[1, 3] += np.uint32(1)
+    c[0, :4] = d[0, :4] = a[0, :4]  # the region of tree 0 is cut to depth 5, where a and b part
+    classes = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate((a, b, c, d))], "rep long, sig binary")
+    assert [tuple(r) for r in neardup._near_pairs(classes, 0.75).collect()] == [(0, 1)]
+
+
 def test_units_stay_bounded(spark, monkeypatch):
     monkeypatch.setattr(neardup, "REGION", 16)
     members = spark.createDataFrame([(k, 0, 7, 400) for k in range(400)], "rep long, tree int, region long, n long")
