@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from backflow.catalog import common, relational_queries as rel  # noqa: F401
@@ -11,6 +13,7 @@ from backflow.features import current as now
 from backflow.functions.expressions import ID, rounded
 from backflow.operators import clean, joins, profile, quality
 from backflow.operators.pivots import monthly_by_cluster
+from backflow.operators.prepare import CLUSTER_GROUPS
 from backflow.sources.order_lines import order_lines, table
 
 QUERIES: dict = {}
@@ -203,6 +206,21 @@ _GROUPS = {
 _pair_rows = lambda cols: [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
 on_base("pf_12_group_correlations", lambda s: profile.correlations(s, _GROUPS), U.join(
     f"SELECT '{g}' AS feature_group, '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS correlation FROM base" for g, cols in _GROUPS.items() for a, b in _pair_rows(cols)))
+# The groups that come from the lines, each with its function and the CTE of its columns.
+_LINE_GROUPS = {
+    "Category Intelligence": ("category_intelligence", now.category_intelligence, "f06"), "Adjacency Patterns": ("adjacency_patterns", now.adjacency, "f07"),
+    "Seasonal Trends": ("seasonal_trends", now.seasonal, "f08"), "Trend Susceptibility": ("trend_susceptibility", now.trend, "f09"),
+}
+
+
+def _line_group_correlations(b):
+    parts = [profile.correlations(job(b), {g: CLUSTER_GROUPS[key]}) for g, (key, job, _) in _LINE_GROUPS.items()]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
+on_lines("pf_12_line_group_correlations", _line_group_correlations, U.join(
+    f"SELECT '{g}' AS feature_group, '{a}' AS feature_a, '{b}' AS feature_b, round(coalesce(corr({a}, {b}), 0e0), 6) AS correlation FROM {t}"
+    for g, (key, _, t) in _LINE_GROUPS.items() for a, b in _pair_rows(CLUSTER_GROUPS[key])))
 on_base("pf_12_high_correlations", lambda s: profile.high_correlations(s, common.NUMERIC), "SELECT * FROM (" + U.join(
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS correlation FROM base" for a, b in _pair_rows(common.NUMERIC)) + ") WHERE abs(correlation) > 0.8")
 on_base("pf_13_tenure_return_rate", lambda s: profile.tenure_return_rate(s), """

@@ -11,7 +11,9 @@ from backflow.features import current as now, returners as rt
 from backflow.functions import text as tx
 from backflow.functions.expressions import ID, rounded
 from backflow.operators import clean, dbscan as db, kmeans as km, metrics, outliers, prepare as pre, quality
+from backflow.operators.quantiles import quantile_scalar
 from backflow.plans import report
+from backflow.session import checkpoint
 from backflow.sources.order_lines import order_lines, table
 
 QUERIES: dict = {}
@@ -172,6 +174,18 @@ cte("var_rows", U.join(f"SELECT '{c}' AS feature, var_pop({c}) AS variance FROM
 on_base("fs_09_consolidate", _consolidated, """
 SELECT feature, CAST(f1 + f2 AS INT) AS flags, concat_ws(',', CASE WHEN f1 = 1 THEN 'high_vif' END, CASE WHEN f2 = 1 THEN 'low_variance' END) AS methods, f1 + f2 >= 2 AS removed
 FROM (SELECT feature, CASE WHEN vif > 10 THEN 1 ELSE 0 END AS f1, CASE WHEN variance < 0.5 THEN 1 ELSE 0 END AS f2 FROM vif_rows JOIN var_rows USING (feature))""")
+
+
+def _advanced(spark, sf):
+    """All five methods over all features offered to clustering, filled and judged as the gold build does; SQL has two of them, see fs_09_consolidate."""
+    cols = [c for group in pre.CLUSTER_GROUPS.values() for c in group]
+    judged = pre.completeness(pre.fill_by_name(_silver_parts(spark, sf).select(ID, *cols), cols), cols)
+    event = F.col("feature_completeness_score") > quantile_scalar(judged, "feature_completeness_score", 0.5)
+    _, meta = pre.advanced_selection(checkpoint(judged.withColumn("_event", event)), cols, F.col("_event").cast("boolean"))
+    return pre.consolidate(spark, cols, meta["flagged_features"])
+
+
+register("fs_09_advanced_selection", _advanced)
 on_base("fs_10_mutual_information", lambda s: pre.mutual_information(s, _IV, "customer_tenure_stage"), f"""
 SELECT feature, {r6('greatest(sum(n / t * ln(n * t / (nb * nc))), 0)', 'mi')} FROM (
  SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, customer_tenure_stage) AS nc FROM (

@@ -30,6 +30,19 @@ def test_query_equals_its_twin(spark, con, name):
     assert not problems
 
 
+def test_selection_and_correlations_take_all_features_and_groups(spark, con):
+    from backflow.operators import prepare as pre
+
+    features = [c for group in pre.CLUSTER_GROUPS.values() for c in group]
+    found = {r.feature: r for r in ALL["fs_09_advanced_selection"](spark, SMALL).collect()}
+    assert sorted(found) == sorted(features) and all(r.removed == (r.flags >= 2) for r in found.values())
+    assert {m for r in found.values() for m in r.methods.split(",")} & {"low_importance", "unstable", "low_iv"}
+    _, problems = check.compare(spark, con, SMALL, "pf_12", ALL["pf_12_line_group_correlations"], TWINS["pf_12_line_group_correlations"])
+    assert not problems
+    pairs = sum(len(c) * (len(c) - 1) // 2 for c in pre.CLUSTER_GROUPS.values())
+    assert sum(ALL[f"pf_12_{kind}group_correlations"](spark, SMALL).count() for kind in ("", "line_")) == pairs
+
+
 def test_twins_belong_to_queries():
     assert TWINS.keys() <= ALL.keys()
 
