@@ -20,14 +20,19 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, once.
+    """The document with the smallest id of each near-duplicate group.
+
+    Rows that share this id are repeats if their texts are equal too: of those, the row whose other columns are smallest, in their order, stays.
+    Different texts under one id all stay. A null text counts as empty, so rows without id and text are repeats of each other.
 
     Documents without an id get one from their text for the time being, above all others, so that they give way to
     those with an id and stay where they have no copy.
     """
     named = docs.withColumn("_near_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))))
     kept = neardup.near_duplicates(named, id_col="_near_id").filter("kept").select("_near_id")
-    return fewer(named.join(kept, "_near_id", "left_semi").dropDuplicates(["_near_id"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    others = [F.col(f"`{c}`") for c in docs.columns]
+    once = named.join(kept, "_near_id", "left_semi").groupBy("_near_id", F.coalesce("text", F.lit("")).alias("_text")).agg(F.min(F.struct(*others)).alias("_row"))
+    return fewer(once).select("_row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -312,6 +312,12 @@ def test_stages_and_their_decisions(spark):
         docs = out
 
 
+def test_texts_that_share_an_id_stay(spark):
+    rows = [(1, "one text here", "en", "b", 13), (1, "one text here", "en", "a", 13), (1, "quite another text", "en", "a", 18), (2, "one text here", "de", "a", 13), (None, None, None, "z", None), (None, None, None, "y", None), (None, "", None, "z", 0)]
+    out = corpus_pipeline.without_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SMALL)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted([rows[1], rows[2], rows[5]], key=key)
+
+
 @pytest.mark.parametrize("name", ["op1_url_rules", "op2_wrapper_texts", "op5_toxicity", "op9_pivot_permutations"])
 def test_registered_queries_answer_every_row(spark, name):
     table, column = {"op1": ("pages", "page_id"), "op2": ("pages", "page_id"), "op5": ("documents", "doc_id"), "op9": ("embeddings", "vec_id")}[name[:3]]
