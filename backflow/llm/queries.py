@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from backflow.llm import binpack, decontam, extract, neardup, packing, secrets, tokens, toxicity, urlrules, vectors
+from backflow.llm import binpack, decontam, extract, neardup, packing, secrets, sharding, tokens, toxicity, urlrules, vectors
 from backflow.llm.common import read
 
 
@@ -53,11 +53,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_wrapper_texts, op3_curve_packing, op4_secret_scan, op5_toxicity, op6_packed_matrix, op7_lsh_forest, op8_decontamination, op9_pivot_permutations, op10_token_counts)}
+def op13_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = sharding.shard_slots(read(spark, sf_dir, "documents"), shards=40)
+    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_wrapper_texts, op3_curve_packing, op4_secret_scan, op5_toxicity, op6_packed_matrix, op7_lsh_forest, op8_decontamination, op9_pivot_permutations, op10_token_counts, op13_minimax_shards)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: SQL has no CRC-32: the reversed polynomial, a byte and eight bits at a time.
+_BYTES = "list_transform(regexp_extract_all({hexed}, '..'), lambda p: CAST('0x' || p AS BIGINT))"
+_CRC32 = f"xor(list_reduce({_BYTES}, lambda c, b: list_reduce(range(8), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)), xor(c, b)), 4294967295), 4294967295)"
+
+
 def _reached(links: str) -> str:
     """Recursive table of everything that links lead to, and the smallest id of each component."""
     return f"reach AS (SELECT DISTINCT x AS id, x AS seed FROM {links} UNION SELECT l.y, r.seed FROM reach r JOIN {links} l ON r.id = l.x), least_id AS (SELECT id, min(seed) AS least FROM reach GROUP BY id)"
@@ -86,4 +96,5 @@ _NEAR_VECTORS = f"""WITH RECURSIVE usable AS (SELECT vec_id, label, CAST(embeddi
  FROM embeddings e LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) c ON e.vec_id = x LEFT JOIN least_id ON e.vec_id = id"""
 ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": secrets.oracle(), "op7_lsh_forest": _NEAR_DUPLICATES, "op8_decontamination": _DECONTAMINATION, "op9_pivot_permutations": _NEAR_VECTORS,
+    "op13_minimax_shards": sharding.oracle(_CRC32.format(hexed="hexed")),
 }
