@@ -129,18 +129,15 @@ def contiguous_cuts(rows: DataFrame, shards: int, cells: int = CELLS) -> tuple[i
         hit: set[int] = set()
         for early, late in zip(filled(before, held, shards, least, False), filled(before, held, shards, enough, True)):
             hit.update(range(max(bisect_right(before, early) - 1, 0), min(bisect_left(before, late), len(held))))
-        open_cells = sorted(k for k in hit if held[k].first < held[k].last)
-        if not open_cells:
+        if all(held[k].first == held[k].last for k in hit):
             ends = filled(before, held, shards, enough, False)
             return enough, tuple(held[bisect_left(before, e)].first for e in ends if e < before[-1])
-        # Every open cell is of the latest width, since the stretch that a cut can lie in only shrinks.
-        shift = max(shift - max((cells // len(open_cells)).bit_length() - 1, 1), 0)
-        stretches = [(held[a].first, held[b].last) for a, b in _stretches(open_cells)]
+        # All cells that a cut can lie in are split anew: one stretch for each shard at most.
+        shift = max(shift - max((cells // len(hit)).bit_length() - 1, 1), 0)
         inner = F.lit(False)
-        for a, b in stretches:
-            inner = inner | F.col("place").between(a, b)
-        split = set(open_cells)
-        held = sorted([c for k, c in enumerate(held) if k not in split] + _cells(rows.where(inner), shift), key=lambda c: c.first)
+        for a, b in _stretches(sorted(hit)):
+            inner = inner | F.col("place").between(held[a].first, held[b].last)
+        held = sorted([c for k, c in enumerate(held) if k not in hit] + _cells(rows.where(inner), shift), key=lambda c: c.first)
 
 
 def minimax_plan(rows: DataFrame, shards: int = 40, cells: int = CELLS) -> Plan:
