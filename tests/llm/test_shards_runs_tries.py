@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import pytest
 
-from backflow.llm import sharding
+from backflow.llm import runs, sharding
 
 TEXTS = "doc_id long, text string, size int, shard int, slot string, place long, at long"
 
@@ -107,3 +109,89 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
     assert sorted(((r["at"], r["text"]) for r in back.collect())) and back.count() == 120 and set(back.columns) == {"at", "text", "shard"}
     assert plan == sharding.minimax_plan(sharding.stored(sharding.sized(docs, "at")), 5)
     assert {(r["at"], r["shard"]) for r in back.collect()} == {(r["doc_id"], r["shard"]) for r in sharding.shard_slots(docs.withColumnRenamed("at", "doc_id"), 5).collect()}
+
+
+# --- runs -----------------------------------------------------------------------------
+
+
+def plain_runs(words, exponent=4, least=6):
+    """Every period at every place; stretches that have a smaller period too go."""
+    found, n = [], len(words)
+    for q in range(1, n // exponent + 1):
+        i = 0
+        while i + q < n:
+            s = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            if i > s and i - s + q >= max(least, exponent * q):
+                found.append((s, i - s + q, q))
+            i += i == s
+    return sorted((r for r in found if not any(o[2] < r[2] and o[0] <= r[0] and o[0] + o[1] >= r[0] + r[1] for o in found)), key=lambda r: (r[0], r[2]))
+
+
+def periodic_words(r, longest):
+    words = [str(r.randrange(r.choice([1, 2, 3, 9]))) for _ in range(r.randrange(longest))]
+    for _ in range(r.randrange(4)):
+        part = [str(r.randrange(4)) for _ in range(r.randrange(1, 6))]
+        at = r.randrange(len(words) + 1)
+        words[at:at] = (part * 9)[: r.randrange(1, 9 * len(part) + 1)]
+    return words
+
+
+def test_runs_of_random_words():
+    r = random.Random(11)
+    for _ in range(1500):
+        words = periodic_words(r, 50)
+        numbers = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        for exponent, least in ((4, 6), (3, 1), (5, 12)):
+            assert runs.runs_of([numbers[w] for w in words], exponent, least) == plain_runs(words, exponent, least)
+
+
+def plain_digests(doc_id, text):
+    words = re.findall(runs.WORD, text or "")
+    n, h = len(words), zlib.crc32(str(doc_id).encode())
+    if doc_id is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[a + (i - a) % p] if i >= a else words[i] for i in range(n)]
+    found = plain_runs(words)
+    gone = {i for s, m, q in found for i in range(s + q, s + m)}
+    best = min(found, key=lambda x: (-x[1] / x[2], x[0], x[2]), default=(None, None, None))
+    listed = "".join(f"{s},{m},{q}\n" for s, m, q in found)
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    return (doc_id, len(found), *best, best[1] and 1000 * best[1] // best[2], hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_runs_query_against_brute_force(spark):
+    r = random.Random(12)
+    pairs = [(k, r.choice([" ", "\n", " \t "]).join(periodic_words(r, 90))) for k in range(250)]
+    pairs += [(1000, None), (1001, ""), (1002, " \t\x0b "), (1003, "a " * 50), (1003, "a " * 50), (None, "b " * 9), (None, None), (1004, "é\xa0é é\xa0é " * 7), (1005, "x\x1cy " * 8), (1006, " lead " * 6), (1007, "A a " * 12)]
+    docs = documents(spark, pairs).repartition(3)
+    got = runs.run_digests(runs.word_runs(runs.with_planted_periods(docs)))
+    assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    order = lambda rows: sorted(rows, key=str)
+    assert order(tuple(x) for x in got.collect()) == order(plain_digests(*x) for x in pairs)
+    assert runs.run_digests(runs.word_runs(documents(spark, []))).collect() == []
+
+
+def test_runs_of_long_texts_take_linear_work(spark):
+    r = random.Random(13)
+    part = [str(r.randrange(2000)) for _ in range(9000)]
+    texts = [(1, " ".join(part * 5)), (2, "same " * 40_000), (3, " ".join(str(k) for k in range(200_000)))]
+    begin = time.time()
+    got = {x["doc_id"]: x for x in runs.word_runs(documents(spark, texts)).collect()}
+    assert time.time() - begin < 60
+    assert [tuple(x) for x in got[1]["runs"]] == [(0, 45_000, 9000)] and got[1]["collapsed"] == " ".join(part)
+    assert [tuple(x) for x in got[2]["runs"]] == [(0, 40_000, 1)] and got[2]["collapsed"] == "same"
+    assert got[3]["runs"] == [] and got[3]["n_words"] == 200_000 and got[3]["collapsed"] == texts[2][1]
+
+
+def test_words_that_cannot_repeat_stay_out_of_the_automaton(spark, monkeypatch):
+    import numpy as np
+
+    gaps = np.full(5000, 9999)
+    gaps[::7] = 3
+    assert runs.candidate_stretches(gaps, 5000) == []
+    gaps[100:112] = 4
+    assert runs.candidate_stretches(gaps, 5000) == [(93, 113)]
