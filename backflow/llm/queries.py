@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from backflow.llm import binpack, decontam, extract, neardup, packing, runs, secrets, sharding, tokens, toxicity, urlrules, vectors
+from backflow.llm import binpack, decontam, extract, neardup, packing, runs, secrets, sharding, tokens, toxicity, tries, urlrules, vectors
 from backflow.llm.common import read
 
 
@@ -57,12 +57,19 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(runs.word_runs(runs.with_planted_periods(read(spark, sf_dir, "documents"))))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tries.prefix_trie(tries.with_shared_heads(tries.numbered_turns(read(spark, sf_dir, "conversations"))))
+    return found.select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256",
+    )
+
+
 def op13_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = sharding.shard_slots(read(spark, sf_dir, "documents"), shards=40)
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_wrapper_texts, op3_curve_packing, op4_secret_scan, op5_toxicity, op6_packed_matrix, op7_lsh_forest, op8_decontamination, op9_pivot_permutations, op10_token_counts, op11_word_runs, op13_minimax_shards)}
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_wrapper_texts, op3_curve_packing, op4_secret_scan, op5_toxicity, op6_packed_matrix, op7_lsh_forest, op8_decontamination, op9_pivot_permutations, op10_token_counts, op11_word_runs, op12_prefix_trie, op13_minimax_shards)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -101,5 +108,6 @@ _NEAR_VECTORS = f"""WITH RECURSIVE usable AS (SELECT vec_id, label, CAST(embeddi
 ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": secrets.oracle(), "op7_lsh_forest": _NEAR_DUPLICATES, "op8_decontamination": _DECONTAMINATION, "op9_pivot_permutations": _NEAR_VECTORS,
     "op11_word_runs": runs.oracle(_CRC32.format(hexed="hexed")),
+    "op12_prefix_trie": tries.oracle(_CRC32.format(hexed="hexed")),
     "op13_minimax_shards": sharding.oracle(_CRC32.format(hexed="hexed")),
 }

@@ -8,7 +8,8 @@ import zlib
 
 import pytest
 
-from backflow.llm import runs, sharding
+from backflow.llm import runs, sharding, tries
+from backflow.llm.common import checkpoint
 
 TEXTS = "doc_id long, text string, size int, shard int, slot string, place long, at long"
 
@@ -195,3 +196,88 @@ def test_words_that_cannot_repeat_stay_out_of_the_automaton(spark, monkeypatch):
     assert runs.candidate_stretches(gaps, 5000) == []
     gaps[100:112] = 4
     assert runs.candidate_stretches(gaps, 5000) == [(93, 113)]
+
+
+# --- tries ----------------------------------------------------------------------------
+
+TURNS = "conv_id long, turn long, role string, text string, conv string, depth int, pos long"
+
+
+def conversations(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1, 2) for r in rows], TURNS)
+
+
+def plain_trie(rows, share=True):
+    """Every node of the trie, from all prefixes of all rebuilt conversations."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [(r, t) for _, _, r, t in sorted(v)] for c, v in own.items()}
+    rebuilt = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9 if share else 0
+        base = c - (c % 5 if c >= 0 else -(-c % 5))
+        rebuilt[c] = own.get(base, [])[:h] + turns[h:]
+    members, ends = {}, {}
+    for c, turns in rebuilt.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+        ends.setdefault(tuple(turns), []).append(c)
+    kids = {}
+    for k in members:
+        if k:
+            kids.setdefault(k[:-1], []).append(k)
+    leaves, saved = dict.fromkeys(members, 0), dict.fromkeys(members, 0)
+    for k, cs in members.items():
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += k not in kids
+            saved[k[:d]] += (len(cs) - 1) * len(k[-1][1].encode()) if k else 0
+    return sorted((
+        min(cs), len(k), min(members[k[:-1]]) if k else None, len(cs), len(kids.get(k, [])), leaves[k], saved[k],
+        hashlib.sha256(",".join(map(str, sorted(ends.get(k, [])))).encode()).hexdigest(),
+    ) for k, cs in members.items())
+
+
+def trie_rows(found):
+    return sorted(tuple(r) for r in found.select("conv", "depth", "parent_conv", "n_convs", "n_children", "n_leaves", "saved", "ends_sha256").collect())
+
+
+def random_turns(seed, convs, longest, words):
+    r = random.Random(seed)
+    rows = [(c, t, r.choice(["user", "bot"]), "é" * r.randrange(words)) for c in range(convs) for t in range(r.randrange(1, longest))]
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed,convs,longest,words,walked", [(1, 60, 7, 2, 500_000), (2, 90, 20, 1, 12), (3, 40, 5, 900, 3)])
+def test_trie_against_brute_force(spark, seed, convs, longest, words, walked):
+    rows = random_turns(seed, convs, longest, words)
+    turns = tries.with_shared_heads(tries.numbered_turns(conversations(spark, rows).repartition(4)))
+    assert trie_rows(tries.prefix_trie(turns, walked)) == plain_trie(rows)
+
+
+def test_trie_of_odd_rows(spark):
+    rows = [
+        (7, 1, "a", "x"), (7, 1, "a", "x"), (7, None, None, None), (7, None, "", ""), (7, 0, "a", None), (-7, 1, "a", "x"), (-5, 0, "b", "y"), (-9, 3, "a", "z"), (None, 1, "a", "x"), (None, None, None, None),
+        (5, 2, "a", "w" * 100_000), (6, 2, "a", "w" * 100_000), (8, 1, "ab", "c"), (9, 1, "a", "bc"), (2**40, 5, "a", "x"),
+    ]
+    shared = tries.with_shared_heads(tries.numbered_turns(conversations(spark, rows)))
+    assert trie_rows(tries.prefix_trie(shared)) == plain_trie(rows)
+    plain = tries.with_roots(tries.numbered_turns(conversations(spark, rows)))
+    assert trie_rows(tries.prefix_trie(plain, 2)) == plain_trie(rows, share=False)
+    assert trie_rows(tries.prefix_trie(tries.with_shared_heads(tries.numbered_turns(conversations(spark, []))))) == []
+
+
+def test_trie_of_a_conversation_and_a_node_with_a_third_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(tries, "ROWS_A_TASK", 100)
+    monkeypatch.setattr(tries, "IDS_A_ROW", 7)
+    rows = [(3, t, "u", str(t % 3)) for t in range(600)] + [(c, t, "u", "same") for c in range(100, 400) for t in range(2)] + [(c, 0, "u", str(c)) for c in range(1000, 1400)]
+    turns = tries.with_roots(tries.numbered_turns(conversations(spark, rows)))
+    nodes = checkpoint(tries.trie_nodes(tries.prefixes(turns)))
+    tour = tries._sorted(nodes, ["conv", "depth"], nodes.count())
+    assert max(r["count"] for r in tour.groupBy("task").count().collect()) < 300
+    found = tries.trie_figures(nodes, 5)
+    assert trie_rows(found) == plain_trie(rows, share=False)
+    places = sorted(x for r in found.select("first", "last").collect() for x in r)
+    assert places == list(range(2 * found.count()))
