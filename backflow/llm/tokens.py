@@ -49,7 +49,7 @@ class WordTokenizer:
     """Ids of a text by the library of the vocabulary, put together from its white-space parts.
 
     The vocabulary splits at white space and drops it, so a text's ids are those of its parts in turn. Known parts come
-    from a cache, by a 64-bit hash; a new part is split into pre-tokens, where one that a proof has found to be a single token costs a
+    from a cache, by a 64-bit hash and their bytes; a new part is split into pre-tokens, where one that a proof has found to be a single token costs a
     lookup, and only the rest is merged. Parts outside the plain character range go to the library whole. The cache
     is emptied when full, which changes the speed and nothing else.
     """
@@ -68,7 +68,7 @@ class WordTokenizer:
         self.entries = entries
         self.whole = self.prove_whole()
         self.words: dict[str, bytes] = {}
-        self.parts: dict[int, bytes] = {}
+        self.parts: dict[int, tuple[bytes, bytes]] = {}
 
     def merged(self, word: str) -> list[int]:
         return [t.id for t in self.library.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.letters))]
@@ -147,13 +147,15 @@ class WordTokenizer:
         place, keys = pd.factorize(hashes)
         first = np.empty(len(keys), dtype=np.int64)
         first[place[::-1]] = np.arange(len(place))[::-1]
-        found = [self.parts.get(h) for h in keys.tolist()]
         if len(self.parts) > self.entries:
             self.parts.clear()
-        for k, ids in enumerate(found):
-            if ids is None:
-                at = first[k]
-                found[k] = self.parts[int(keys[k])] = self._new_part(data[starts[at] : ends[at]].decode("utf-8"))
+        found = []
+        for key, begin, end in zip(keys.tolist(), starts[first].tolist(), ends[first].tolist()):
+            part, held = data[begin:end], self.parts.get(key)
+            # A part that shares the hash of a known one is not taken for it.
+            if held is None or held[0] != part:
+                held = self.parts[key] = (part, self._new_part(part.decode("utf-8")))
+            found.append(held[1])
         pool = np.frombuffer(b"".join(found), dtype=self.dtype)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.width
         each = sizes[place]

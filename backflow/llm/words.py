@@ -1,7 +1,7 @@
 """Words of whole texts as 64-bit hashes, many texts at a time.
 
-A word's hash is a sum over its bytes of ``value[byte] * base ** position``, computed for all words of a chunk from one
-running sum, then moved to position 0 by the inverse power of the base (the base is odd, so it has one modulo 2**64).
+A word's hash is the sum over its bytes of ``value[byte] * key[place in the word]`` modulo 2**64, mixed. Values and keys are drawn once and
+independent of each other from place to place, so that no exchange of letters, as between powers of one base, leaves the sum as it is.
 """
 
 from __future__ import annotations
@@ -12,9 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 CHUNK_BYTES = 1 << 19
-BLOCK = 1 << 14
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+BLOCK = 1 << 15
 BYTE_VALUES = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 #: Bytes that part words. White space of ASCII; everything of ASCII but letters and digits.
@@ -25,10 +23,9 @@ NOT_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 
 @lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _keys(n: int) -> np.ndarray:
+    """One odd key for each of the first ``n`` places of a word; more places leave the first ones as they are."""
+    return np.random.PCG64(20240613).random_raw(n) | np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -41,19 +38,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def hashed(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, byte at which it starts, byte at which it ends)."""
     codes = np.frombuffer(data, dtype=np.uint8)
-    n = 1 << max(10, int(len(codes)).bit_length())
     inside = np.zeros(len(codes) + 2, dtype=np.int8)
     inside[1:-1] = ~separators[codes]
     turns = np.diff(inside)
     starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
-    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-    powers = _powers(BASE, n)
-    for at in range(0, len(codes), BLOCK):  # blocks that stay in the processor's cache
-        block = codes[at : at + BLOCK]
-        part = sums[at + 1 : at + 1 + len(block)]
-        np.cumsum(BYTE_VALUES[block] * powers[at : at + len(block)], out=part)
-        part += sums[at]
-    return mixed((sums[ends] - sums[starts]) * _powers(INVERSE, n)[starts]), starts, ends
+    lengths = ends - starts
+    sums = np.empty(len(starts), dtype=np.uint64)
+    keys = _keys(1 << max(6, int(lengths.max(initial=0)).bit_length()))
+    first = 0
+    while first < len(starts):  # runs of words that stay in the processor's cache
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + BLOCK, side="right")))
+        size = lengths[first:last]
+        begin = np.cumsum(size) - size
+        total = int(begin[-1] + size[-1])
+        place = np.arange(total) - np.repeat(begin, size)
+        spots = place + np.repeat(starts[first:last], size)
+        sums[first:last] = np.add.reduceat(BYTE_VALUES[codes[spots]] * keys[place], begin)
+        first = last
+    return mixed(sums), starts, ends
 
 
 def word_chunks(texts: list[str], separators: np.ndarray, chunk: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

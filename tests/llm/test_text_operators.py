@@ -66,6 +66,36 @@ def test_words_are_the_pattern_runs():
         assert counts == [len(x) for x in expected] and len(names) == len({w for x in expected for w in x})
 
 
+def twins(a, b, n):
+    """Two words that any polynomial modulo 2**64 confounds: letters by the parity of the ones in their place, and exchanged."""
+    flip = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[f] for f in flip), "".join((b, a)[f] for f in flip)
+
+
+@pytest.mark.parametrize("a,b,n", [("a", "b", 1024), ("a", "b", 2048), ("a", "c", 1024), ("x", "é", 4096)])
+def test_built_twins_are_told_apart(spark, library, a, b, n):
+    one, two = twins(a, b, n)
+    texts = {1: one, 2: two, 3: f"{one} {two}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert len({int(h) for _, _, hashes, _ in word_chunks([one, two], WHITE) for h in hashes}) == 2
+    counts = {r.doc_id: r.n_tokens for r in tokens.token_counts(docs).collect()}
+    ids = {k: library.encode(t, add_special_tokens=False).ids for k, t in texts.items()}
+    assert counts == {k: len(v) for k, v in ids.items()}
+    eot = {k: np.array([*v, 1], "<u4") for k, v in ids.items()}
+    pieces = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packing.pack_along_curve(docs, with_ids=False).collect())
+    assert pieces and all(zlib.crc32(eot[d][s : s + m].tobytes()) == c for d, s, m, c in pieces)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3}
+    items = spark.createDataFrame([("i", two)], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in decontam.contamination(docs, items).collect()} == {1: 0, 2: 1, 3: 1}
+
+
+def test_a_known_part_is_not_taken_for_another(monkeypatch, library):
+    monkeypatch.setattr(tokens, "hashed", lambda data, separators: (np.zeros(1, np.uint64), np.array([0]), np.array([len(data)])))
+    tokenizer = tokens.WordTokenizer(tokens.public_path(tokens.WORD_BPE))
+    for word in ("alpha", "beta", "alpha"):
+        assert next(tokenizer.encode([word]))[0].tolist() == library.encode(word, add_special_tokens=False).ids
+
+
 def test_counts_are_those_of_the_library(docs, texts, none, library):
     got = sorted(map(tuple, tokens.token_counts(docs, limit=50).collect()), key=key)
     sizes = [(k, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for k, t in texts]
