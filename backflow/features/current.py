@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from backflow.functions.expressions import (
     ID, banded, calendar_days, day_number, first_match, flag, guarded_corr, long_sum, or_zero, ratio, season, with_row,
 )
+from backflow.operators.blocks import near_pairs
 from backflow.operators.ordered import with_running
 from backflow.operators.quantiles import quantile_row, quantile_scalar
 from backflow.session import checkpoint
@@ -186,26 +187,22 @@ def category_intelligence(bronze: DataFrame) -> DataFrame:
 def adjacent_pairs(bronze: DataFrame, days: int = 14) -> DataFrame:
     """Ordered pairs of lines of one customer: other SKU, other instant, within ``days``.
 
-    Equi-join on (customer, day bucket) instead of on the customer alone; a
-    left row visits its own bucket and both neighbours, a right row sits in one
-    bucket, so a pair meets once. AQE splits a bucket that is still too large.
+    Equal lines fold to one row with their number; rows then meet by blocks of bounded size (:func:`near_pairs`), and each
+    pair comes out once for each direction and each pair of the lines behind it.
     """
-    rows = bronze.where(F.col("q_sku_id").isNotNull()).select(
+    rows = bronze.where(F.col("q_sku_id").isNotNull()).groupBy(
         ID,
         F.col("q_sku_id").alias("sku"),
         F.col("order_date").alias("at"),
         day_number(F.col("order_date")).alias("day"),
         flag(is_returned()).alias("returned"),
-    )
-    bucket = F.floor(F.col("day") / F.lit(days)).cast("int")
-    left = rows.select(ID, *[F.col(c).alias(f"{c}_a") for c in ("sku", "at", "day", "returned")], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    right = rows.select(ID, *[F.col(c).alias(f"{c}_b") for c in ("sku", "at", "day", "returned")], bucket.alias("bucket"))
-    gap = F.abs(F.col("day_a") - F.col("day_b"))
-    return (
-        left.join(right, [ID, "bucket"])
-        .where((F.col("sku_a") != F.col("sku_b")) & (F.col("at_a") != F.col("at_b")) & (gap <= days))
-        .select(ID, "sku_a", "sku_b", "at_a", "at_b", gap.cast("bigint").alias("days_between"), "returned_a", "returned_b")
-    )
+    ).agg(F.count(F.lit(1)).alias("n"))
+    pairs = near_pairs(rows, ID, "day", days, ["at", "sku", "returned"]).where((F.col("sku_a") != F.col("sku_b")) & (F.col("at_a") != F.col("at_b")))
+    gap = (F.col("day_b") - F.col("day_a")).cast("bigint").alias("days_between")
+    seen = lambda x, y: F.struct(*[F.col(f"{c}_{s}").alias(f"{c}_{o}") for c in ("sku", "at", "returned") for s, o in ((x, "a"), (y, "b"))])
+    both = F.flatten(F.array_repeat(F.array(seen("a", "b"), seen("b", "a")), (F.col("n_a") * F.col("n_b")).cast("int")))
+    out = pairs.select(ID, gap, F.explode(both).alias("pair"))
+    return out.select(ID, "pair.sku_a", "pair.sku_b", "pair.at_a", "pair.at_b", "days_between", "pair.returned_a", "pair.returned_b")
 
 
 def _near_sums(counts: DataFrame, keys: list[str], days: int) -> DataFrame:
@@ -237,24 +234,18 @@ def _distinct_sku_pairs(rows: DataFrame, days: int) -> DataFrame:
     Lines fold to (customer, bucket, SKU) with first and last instant. In one
     bucket any two SKUs are near (unless both only have the same instant); in
     neighbouring buckets the closest days decide. The relation is symmetric, so
-    unordered pairs are counted and doubled.
+    unordered pairs are counted and doubled. Folded rows meet by blocks.
     """
     folded = (
         rows.withColumn("bucket", F.floor(F.col("day") / F.lit(days)).cast("int"))
         .groupBy(ID, "bucket", "sku")
         .agg(F.min("day").alias("d0"), F.max("day").alias("d1"), F.min("at").alias("t0"), F.max("at").alias("t1"))
     )
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("sku", "bucket", "d0", "d1", "t0", "t1")]
-    lo = folded.select(ID, *side("a"), F.explode(F.expr("array(bucket - 1, bucket, bucket + 1)")).alias("meet"))
-    hi = folded.select(ID, *side("b"), F.col("bucket").alias("meet"))
     same_instant = (F.col("t0_a") == F.col("t1_a")) & (F.col("t0_b") == F.col("t1_b")) & (F.col("t0_a") == F.col("t0_b"))
-    near = (
-        ((F.col("bucket_a") == F.col("bucket_b")) & ~same_instant)
-        | ((F.col("bucket_a") < F.col("bucket_b")) & (F.col("d0_b") - F.col("d1_a") <= days))
-        | ((F.col("bucket_a") > F.col("bucket_b")) & (F.col("d0_a") - F.col("d1_b") <= days))
-    )
-    pairs = lo.join(hi, [ID, "meet"]).where((F.col("sku_a") < F.col("sku_b")) & near)
-    return pairs.select(ID, "sku_a", "sku_b").distinct().groupBy(ID).agg((2 * F.count(F.lit(1))).alias("sku_adjacency_orders"))
+    near = ((F.col("bucket_a") == F.col("bucket_b")) & ~same_instant) | ((F.col("bucket_a") < F.col("bucket_b")) & (F.col("d0_b") - F.col("d1_a") <= days))
+    pairs = near_pairs(folded, ID, "bucket", 1, ["sku"]).where((F.col("sku_a") != F.col("sku_b")) & near)
+    unordered = pairs.select(ID, F.least("sku_a", "sku_b").alias("sku_a"), F.greatest("sku_a", "sku_b").alias("sku_b")).distinct()
+    return unordered.groupBy(ID).agg((2 * F.count(F.lit(1))).alias("sku_adjacency_orders"))
 
 
 def adjacency(bronze: DataFrame, days: int = 14) -> DataFrame:

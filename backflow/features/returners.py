@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from backflow.features.current import is_returned, recent_cutoff
-from backflow.functions.expressions import ID, first_match, flag, or_zero, ratio, round_to, whole_days, with_row
+from backflow.functions.expressions import ID, first_match, flag, ratio, round_to, whole_days, with_row
+from backflow.operators.ordered import with_running
 
 # Columns used for segmenting in this variant.
 CLUSTER_FEATURES = [
@@ -74,18 +75,9 @@ def recent_vs_avg(lines: DataFrame, min_orders: int = 10) -> DataFrame:
 
 
 def _last_orders(orders: DataFrame) -> DataFrame:
-    """Rank from the newest order, in two steps so that no customer is sorted whole."""
-    work = orders.withColumn("_day", F.to_date("seen"))
-    inside = Window.partitionBy(ID, "_day").orderBy(F.desc("seen"), F.desc("sales_order_no"))
-    local = work.withColumn("_pos", F.row_number().over(inside))
-    days = Window.partitionBy(ID).orderBy(F.desc("_day"))
-    later = (
-        local.groupBy(ID, "_day").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_after", or_zero(F.sum("_n").over(days.rowsBetween(Window.unboundedPreceding, -1))))
-        .withColumn("orders", F.sum("_n").over(Window.partitionBy(ID)))
-        .drop("_n")
-    )
-    return local.join(later, [ID, "_day"]).withColumn("newest", F.col("_after") + F.col("_pos")).drop("_day", "_pos", "_after")
+    """Rank from the newest order, by blocks of bounded size however many orders a customer has."""
+    ranked = with_running(orders, ID, "seen", ["sales_order_no"], row_number="_oldest", size="orders")
+    return ranked.withColumn("newest", F.col("orders") - F.col("_oldest") + 1).drop("_oldest")
 
 
 def return_timing_stats(lines: DataFrame) -> DataFrame:

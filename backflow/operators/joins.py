@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from backflow.functions.expressions import ID
+from backflow.functions.expressions import ID, with_row
 from backflow.operators.clean import dedupe_keep_last
 
 
@@ -77,48 +77,69 @@ def key_overlap(batch: DataFrame, base: DataFrame, key: str = ID) -> DataFrame:
 # --- similar ids --------------------------------------------------------------------
 
 
+GRAMS = 512
+
+
+def _gram(at: Column) -> Column:
+    """Two characters of ``w`` from place ``at`` (from 0) on; one at its end."""
+    return F.substring(F.col("w"), at + 1, F.lit(2))
+
+
+def rare_segments(words: DataFrame, most: int = GRAMS) -> DataFrame:
+    """(w, len, e, i, pos, seg): ``e + 1`` segments, i from 0, of each ``w`` that do not overlap, each around a rare pair of characters.
+
+    How frequent a pair is says the table itself: the ``most`` frequent pairs go by their counts, all others come before them. The limit is the
+    least level up to which an id has e + 1 pairs that do not overlap, so what a large share of the ids has in common
+    names no segment while there is room for all segments in the rest. An id too short for that takes its rarest single places. A segment
+    reaches half way to the next one and is no longer than an even share of the id.
+    """
+    counts = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda p: _gram(p))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # One row of at most ``most`` pairs.
+    frequent = counts.orderBy(F.desc("n"), "g").limit(most).agg(F.map_from_entries(F.collect_list(F.struct("g", "n"))).alias("known"))
+    # Pairs as frequent as each other within a factor of two are on one level.
+    level = lambda p: F.floor(F.log2(F.coalesce(F.try_element_at(F.col("_f.known"), _gram(p)), F.lit(0)) + 1)).cast("int")
+    ranked = with_row(words, frequent, "_f").withColumn("places", F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda p: F.struct(level(p).alias("n"), p.alias("p")))).drop("_f")
+    # Left to right, each pair that is rare enough and does not overlap the last one taken: as many as can be.
+    taken = "aggregate(places, array(named_struct('n', -1, 'p', -2)), (a, x) -> CASE WHEN x.n <= t AND x.p >= a[size(a) - 1].p + 2 AND x.p < len - 1 THEN concat(a, array(x)) ELSE a END)"
+    levels = ranked.withColumn("levels", F.expr("array_sort(array_distinct(transform(places, x -> x.n)))"))
+    first = levels.withColumn("first", F.expr(f"get(filter(transform(levels, t -> {taken}), a -> size(a) > e + 1), 0)"))
+    rarest = first.withColumn("rarest", F.expr("slice(array_sort(coalesce(slice(first, 2, len), places)), 1, e + 1)"))
+    picked = rarest.withColumn("at", F.expr("array_sort(transform(rarest, x -> x.p))")).drop("places", "levels", "first", "rarest")
+    edges = "concat(array(0), transform(sequence(1, e), k -> int((at[k - 1] + 2 + at[k]) DIV 2)), array(len))"
+    cut = picked.withColumn("edges", F.when(F.col("e") > 0, F.expr(edges)).otherwise(F.array(F.lit(0), F.col("len"))))
+    cut = cut.withColumn("cap", F.greatest(F.lit(2), F.ceil(F.col("len") / (F.col("e") + 1))).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("e"))))
+    spans = cut.select("w", "len", "e", "i", "cap", F.expr("edges[i]").alias("lo"), F.expr("edges[i + 1]").alias("hi"), F.expr("at[i]").alias("p"))
+    begin = F.greatest("lo", F.least(F.col("p") - F.floor((F.col("cap") - 2) / 2), F.col("hi") - F.col("cap"))).cast("int")
+    return spans.withColumn("pos", begin).select("w", "len", "e", "i", "pos", F.expr("substring(w, pos + 1, least(cap, hi - pos))").alias("seg"))
+
+
 def similar_ids(ids: DataFrame, col: str = ID, threshold: float = 0.8) -> DataFrame:
-    """Pairs of distinct ids with 1 - levenshtein / longer length >= threshold.
-
-    Exact segment join instead of all pairs. With at most ``e`` edits allowed for
-    the longer id, the local part (before the last '@') of the shorter is cut
-    into e+1 segments. If the domains are equal all edits fall on the local part;
-    if they differ at least one edit is spent on the domain. Either way one
-    segment survives unchanged in the other id, shifted by at most ``e``. Shared
-    domains therefore never bring two ids together; the distance is checked with
-    its bound, and only real matches are deduplicated.
+    """Pairs of distinct ids with 1 - levenshtein / longer length >= threshold, for thresholds above 0.5.
+
+    Exact segment join instead of all pairs. With at most ``e`` edits allowed for the longer id, the shorter is cut into
+    e + 1 segments, none empty. One of them, the first before whose end fewer edits lie than segments, survives unchanged in the longer id,
+    with exactly as many edits before it as segments; so segment i moves by at most i places, and what follows by at most e - i. The segments lie around
+    rare places of the id (:func:`rare_segments`), so that neither a shared domain nor a stem of many ids brings two
+    together. The distance is checked with its bound, and only real matches are deduplicated. An empty id is in no pair.
     """
+    if not 0.5 < threshold <= 1:
+        raise ValueError("at a threshold of 0.5 or less ids need not share a single character")
     gap = 1.0 - threshold
     edits = lambda length: F.floor(length * F.lit(gap) + F.lit(1e-9)).cast("int")
-    words = ids.select(F.col(col).alias("w")).where("w IS NOT NULL").distinct().select(
-        "w", F.length("w").alias("len"),
-        F.when(F.instr("w", "@") > 0, F.length("w") - F.length(F.substring_index("w", "@", -1)) - 1).otherwise(F.length("w")).alias("local"),
-    )
-    # Shorter side: one row per edit bound its possible partners can have, per segment.
+    words = ids.select(F.col(col).alias("w")).where("w <> ''").distinct().withColumn("len", F.length("w"))
+    # Shorter side: once per edit bound its possible partners can have.
     longest = F.floor(F.col("len") / F.lit(threshold) + F.lit(1e-9)).cast("int")
-    short = (
-        words.withColumn("e", F.explode(F.sequence(edits(F.col("len")), edits(longest))))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("e"))))
-        .withColumns({
-            "from": F.floor(F.col("local") * F.col("i") / (F.col("e") + 1)).cast("int"),
-            "to": F.floor(F.col("local") * (F.col("i") + 1) / (F.col("e") + 1)).cast("int"),
-        })
-        .select("w", "len", "e", F.col("from").alias("pos"), F.expr("substring(w, from + 1, to - from)").alias("seg"))
-        # A segment moves by at most e, so its partner lies in the same or a neighbouring stretch of e + 1 places.
-        .withColumn("stretch", F.explode(F.expr("CASE WHEN seg = '' THEN array(0L) ELSE transform(array(-1, 0, 1), d -> floor(pos / (e + 1)) + d) END")))
-    )
+    segments = rare_segments(words.withColumn("e", F.explode(F.sequence(edits(F.col("len")), edits(longest)))))
+    short = segments.withColumn("move", F.explode(F.expr("sequence(-i, i)"))).withColumn("pos2", F.col("pos") + F.col("move")).where("pos2 >= 0")
     # Longer side: its own edit bound; substrings of every length such a segment can have.
     long = (
         words.withColumn("e", edits(F.col("len")))
-        .withColumn("size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("len") / (F.col("e") + 1)).cast("int"))))
-        .withColumn("pos", F.explode(F.expr("CASE WHEN size = 0 THEN array(0) ELSE filter(sequence(0, len), p -> p + size <= len) END")))
-        .select(F.col("w").alias("w2"), F.col("len").alias("len2"), "e", F.col("pos").alias("pos2"), F.expr("substring(w, pos + 1, size)").alias("seg"))
-        .withColumn("stretch", F.expr("CASE WHEN seg = '' THEN 0L ELSE floor(pos2 / (e + 1)) END"))
+        .withColumn("size", F.explode(F.sequence(F.lit(1), F.least("len", F.greatest(F.lit(2), F.ceil(F.col("len") / (F.col("e") + 1)))).cast("int"))))
+        .withColumn("pos2", F.explode(F.expr("sequence(0, len - size)")))
+        .select(F.col("w").alias("w2"), F.col("len").alias("len2"), "e", "pos2", F.expr("substring(w, pos2 + 1, size)").alias("seg"))
     )
-    near = (F.col("len") <= F.col("len2")) & (F.col("w") != F.col("w2"))
-    placed = (F.col("seg") == "") | (F.abs(F.col("pos") - F.col("pos2")) <= F.col("e"))
-    fits = F.levenshtein("w", "w2") <= F.col("e")
-    pairs = short.join(long, ["e", "seg", "stretch"]).where(near & placed).where(fits)
+    near = (F.col("len") <= F.col("len2")) & (F.col("w") != F.col("w2")) & (F.abs(F.col("len2") - F.col("len") - F.col("move")) <= F.col("e") - F.col("i"))
+    pairs = short.join(long, ["e", "seg", "pos2"]).where(near).where("levenshtein(w, w2, e) >= 0")
     named = pairs.select(F.least("w", "w2").alias("email1"), F.greatest("w", "w2").alias("email2")).distinct()
     score = 1.0 - F.try_divide(F.levenshtein("email1", "email2").cast("double"), F.greatest(F.length("email1"), F.length("email2")))
     return named.withColumn("similarity", score).where(F.col("similarity") >= threshold)

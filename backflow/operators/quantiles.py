@@ -4,9 +4,11 @@
 not hold for a global quantile over a large table. Here values fall into buckets
 by exponent and leading mantissa bits, an order-preserving function of the value
 alone. Bucket totals combine on the map side (their number is bounded by the
-double format, not by the data) and tell which bucket holds a wanted rank. Only
-the values of those buckets are shuffled, equal ones folded into counts first,
-so a value held by a third of all rows is one row per task.
+double format, not by the data) and tell which bucket holds a wanted rank. A bucket
+that holds more rows than one task should sort is cut again, evenly between its least and
+greatest value, until what holds the rank is small or one value; each cut leaves a
+thousandth of the range. Only the values of the last buckets are shuffled, equal ones
+folded into counts first, so a value held by a third of all rows is one row per task.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from backflow.session import checkpoint
 STEPS = 1024
 SHIFT = 1100
 LAST = 10_000_000
+# Rows of a bucket that one task may sort.
+BOUND = 1_000_000
 
 
 def value_bucket(v: Column) -> Column:
@@ -42,12 +46,14 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     discrete: bool = False,
+    bound: int = BOUND,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs``.
 
     Continuous quantiles interpolate linearly between neighbours; discrete ones
     return the first value whose cumulative share reaches the probability.
-    NULLs are ignored; a group of NULLs only gives no row.
+    NULLs are ignored; a group of NULLs only gives no row. No more than ``bound`` rows of
+    different value are sorted together.
     """
     keys = groups or ["_all"]
     base = df if groups else df.withColumn("_all", F.lit(0))
@@ -67,18 +73,27 @@ def exact_quantiles(
     def holds(start: Column, count: Column, rank: Column) -> Column:
         return (start <= rank) & (rank < start + count)
 
-    ordered = Window.partitionBy(*keys).orderBy("_bucket")
-    hit = (
-        valued.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_before", F.coalesce(F.sum("_size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_total", F.sum("_size").over(Window.partitionBy(*keys)))
-        .where(any_of([holds(F.col("_before"), F.col("_size"), r) for r in ranks.values()]))
-        .drop("_size")
-    )
+    def hits(totals: DataFrame, within: list[str], part: str, first: Column, total: Column) -> DataFrame:
+        """Parts that hold a wanted rank, with the rows before them; ``first`` counts those before all parts of one ``within``."""
+        upto = Window.partitionBy(*within).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        placed = totals.withColumns({"_before": first + F.coalesce(F.sum("_size").over(upto), F.lit(0)), "_total": total})
+        return placed.where(any_of([holds(F.col("_before"), F.col("_size"), r) for r in ranks.values()]))
+
+    measures = [F.count(F.lit(1)).alias("_size"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    hit = checkpoint(hits(valued.groupBy(*keys, "_bucket").agg(*measures), keys, "_bucket", F.lit(0), F.sum("_size").over(Window.partitionBy(*keys))))
     # At most two buckets per probability and group; the number of groups is the caller's, so the planner chooses the join.
-    folded = valued.join(hit, [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_before", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    held = valued.join(hit, [*keys, "_bucket"]).drop("_bucket")
+    wide = (F.col("_size") > bound) & (F.col("_low") < F.col("_high"))
+    while not hit.where(wide).isEmpty():
+        # Differences, quotients and floors keep the order, so equal parts of the range are in order too. The ends fall into different ones.
+        part = F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * STEPS), F.lit(STEPS - 1))
+        cut = held.withColumn("_part", F.when(wide, part).otherwise(F.lit(0)).cast("int"))
+        totals = cut.groupBy(*keys, F.col("_low").alias("_from"), "_part").agg(*measures, F.max("_before").alias("_first"), F.max("_total").alias("_total"))
+        hit = checkpoint(hits(totals, [*keys, "_from"], "_part", F.col("_first"), F.col("_total")).drop("_first"))
+        kept = cut.select(*keys, "_v", F.col("_low").alias("_from"), "_part")
+        held = checkpoint(kept.join(hit, [*keys, "_from", "_part"]).drop("_from", "_part"))
+    folded = held.groupBy(*keys, "_low", "_before", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy(*keys, "_low").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = folded.withColumn("_start", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))
     picked = placed.groupBy(*keys).agg(
         F.max("_total").alias("_total"),

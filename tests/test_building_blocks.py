@@ -167,3 +167,91 @@ def test_source_gates(spark):
     df = spark.createDataFrame([("a", None), ("b", "x")], "sku string, note string")
     got = {r["gate"]: r["passed"] for r in readers.validate_source(df, ["SKU", "note", "gone"]).collect()}
     assert got == {"required_columns": False, "row_count": True, "missing_sku": True, "missing_note": False}
+
+
+# --- hot keys: no task above a stated bound -----------------------------------------------
+
+
+def test_pairs_of_a_hot_customer_meet_by_bounded_blocks(spark):
+    from backflow.operators.blocks import BLOCK, in_blocks, near_pairs
+
+    rng = random.Random(21)
+    data = {(("hot" if i % 3 else f"c{rng.randrange(30)}"), rng.choice([5, 5, 5, rng.randrange(60)]), i) for i in range(600)}
+    df = spark.createDataFrame(sorted(data), "k string, day int, i int").repartition(3)
+    held = in_blocks(df, ["k", "day", "i"], 4)
+    assert held.groupBy("k", BLOCK).count().agg(F.max("count")).first()[0] <= 16
+    assert held.groupBy("k").agg(F.countDistinct(BLOCK).alias("n")).where("k = 'hot'").first()["n"] >= 400 // 16
+    for reach in (0, 3, 14):
+        got = sorted((r["k"], r["i_a"], r["i_b"]) for r in near_pairs(df, "k", "day", reach, ["i"], bits=4).collect())
+        by_key = {}
+        for k, day, i in data:
+            by_key.setdefault(k, []).append((day, i))
+        expected = sorted((k, a[1], b[1]) for k, v in by_key.items() for n, a in enumerate(sorted(v)) for b in sorted(v)[n + 1 :] if b[0] - a[0] <= reach)
+        assert got == expected
+
+
+def test_adjacent_pairs_and_their_counts_with_a_hot_customer(spark, make_lines, monkeypatch):
+    from backflow.features import current
+    from backflow.operators import blocks
+
+    monkeypatch.setattr(current, "near_pairs", lambda *a: blocks.near_pairs(*a, bits=3))
+    rng = random.Random(22)
+    items = [{"c": rng.choice(["hot", "hot", "x", "y"]), "sku": f"s{rng.randrange(6)}", "at": f"2024-0{rng.randrange(1, 3)}-{rng.randrange(1, 28):02d}", "back": rng.randrange(2)} for _ in range(90)]
+    items += [dict(items[0])] * 5
+    lines = make_lines(items)
+    kept = [(r["customer_emailid"], r["q_sku_id"], r["order_date"], r["return_qty"] > 0) for r in lines.collect()]
+    near = [(a, b) for a in kept for b in kept if a[0] == b[0] and a[1] != b[1] and a[2] != b[2] and abs((a[2] - b[2]).days) <= 14]
+    got = sorted(map(str, current.adjacent_pairs(lines).collect()))
+    assert len(got) == len(near)
+    assert sorted((r["sku_a"], r["sku_b"], r["at_a"], r["at_b"], r["days_between"], r["returned_a"], r["returned_b"]) for r in current.adjacent_pairs(lines).collect()) == sorted(
+        (a[1], b[1], a[2], b[2], abs((a[2] - b[2]).days), int(a[3]), int(b[3])) for a, b in near
+    )
+    skus = {r["customer_emailid"]: r["sku_adjacency_orders"] for r in current.adjacency(lines).collect()}
+    assert skus == {c: len({(a[1], b[1]) for a, b in near if a[0] == c}) for c in {k[0] for k in kept}}
+
+
+def test_ordered_columns_with_all_rows_at_one_instant(spark):
+    rng = random.Random(23)
+    data = [(None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 7}", datetime(2024, 1, 1), i, rng.randrange(5)) for i in range(900)]
+    df = spark.createDataFrame(data, "k string, t timestamp_ntz, i int, v int").repartition(4)
+    out = with_running(df, "k", "t", ["i"], {"total": "v"}, {"prev": "v"}, "n", "size", bits=5)
+    got = {r["i"]: (r["total"], r["prev"], r["n"], r["size"]) for r in out.collect()}
+    for key in {r[0] for r in data}:
+        rows_of, total, prev = [r for r in data if r[0] == key], 0, None
+        for n, row in enumerate(rows_of, 1):
+            total += row[3]
+            assert got[row[2]] == (total, prev, n, len(rows_of))
+            prev = row[3]
+
+
+@pytest.mark.parametrize("spread", [0.0005, 1e-13, 0.0])
+def test_quantiles_of_values_next_to_each_other_cut_their_bucket(spark, spread):
+    rng = np.random.default_rng(24)
+    values = 1.5 + spread * rng.random(4000)
+    df = spark.createDataFrame([("g", float(v)) for v in values] + [("h", float(v)) for v in (1, 2, float("inf"))], "g string, x double")
+    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.995, "e": 1.0}
+    got = {r["g"]: [r[p] for p in probs] for r in exact_quantiles(df, ["g"], "x", probs, bound=40).collect()}
+    assert got["g"] == pytest.approx(np.quantile(values, list(probs.values())).tolist(), rel=1e-15)
+    assert got["h"][2] == 2 and exact_quantiles(df, ["g"], "x", {"q": 1.0}, discrete=True).where("g = 'h'").first()["q"] == float("inf")
+    exact = exact_quantiles(df, ["g"], "x", {"q": 0.37}, discrete=True, bound=3).where("g = 'g'").first()["q"]
+    assert exact == sorted(values)[int(np.ceil(4000 * 0.37)) - 1]
+
+
+def test_a_stem_of_a_third_of_the_ids_names_no_segment(spark):
+    rng = random.Random(25)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    ids = ["customer.number." + "".join(rng.choice(letters) for _ in range(14)) + "@mail.com" for _ in range(400)]
+    ids += ["".join(rng.choice(letters) for _ in range(rng.randrange(8, 30))) + rng.choice(["@mail.com", "@web.org"]) for _ in range(700)]
+    ids += [i[:20] + "q" + i[21:] for i in ids[:40]] + [i[1:] for i in ids[500:540]]
+    words = spark.createDataFrame([(i,) for i in sorted(set(ids))], "w string").withColumn("len", F.length("w"))
+    cut = joins.rare_segments(words.withColumn("e", F.floor(F.col("len") * 0.15).cast("int"))).cache()
+    assert cut.groupBy("w").agg(F.count("*").alias("n"), F.first("e").alias("e"), F.min(F.length("seg")).alias("s")).where("n <> e + 1 OR s < 1").count() == 0
+    assert cut.where(F.expr("substring(w, pos + 1, length(seg))") != F.col("seg")).count() == 0
+    largest = cut.groupBy("e", "seg").count().agg(F.max("count")).first()[0]
+    assert largest < 40  # of 400 ids with one stem
+    got = {(r[0], r[1]) for r in joins.similar_ids(words, "w", 0.85).collect()}
+    ids = sorted(set(ids))
+    expected = {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if abs(len(a) - len(b)) <= 0.15 * max(len(a), len(b)) and 1.0 - edit_distance(a, b) / max(len(a), len(b)) >= 0.85}
+    assert got == expected and len(got) > 70
+    with pytest.raises(ValueError):
+        joins.similar_ids(words, "w", 0.5)
