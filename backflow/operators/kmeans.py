@@ -23,18 +23,74 @@ def _features(df: DataFrame, vec: str = "v") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vec)))
 
 
-SAMPLE_ROWS = 5_000
+# Rows drawn in a round for each centre of the largest k, and rounds; the first draws evenly.
+DRAWN = 32
+ROUNDS = 4
 
 
-def _starts(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k centres out of the sample, each drawn with its squared distance to those before it as weight."""
-    picked = [sample[rng.integers(len(sample))]]
-    gaps = ((sample - picked[0]) ** 2).sum(axis=1)
+def _starts(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator, steps: int = 10) -> np.ndarray:
+    """k centres out of weighted points, each drawn with weight times squared distance to those before it, then moved among the points."""
+    picked = [points[rng.choice(len(points), p=weights / weights.sum())]]
+    gaps = ((points - picked[0]) ** 2).sum(axis=1)
     while len(picked) < k:
-        at = rng.choice(len(sample), p=gaps / gaps.sum()) if gaps.sum() > 0 else rng.integers(len(sample))
-        picked.append(sample[at])
-        gaps = np.minimum(gaps, ((sample - picked[-1]) ** 2).sum(axis=1))
-    return np.array(picked)
+        pull = gaps * weights
+        at = rng.choice(len(points), p=pull / pull.sum()) if pull.sum() > 0 else rng.integers(len(points))
+        picked.append(points[at])
+        gaps = np.minimum(gaps, ((points - picked[-1]) ** 2).sum(axis=1))
+    centers = np.array(picked)
+    for _ in range(steps):
+        one = np.zeros((k, len(points)))
+        one[_nearest(points, centers)[0], np.arange(len(points))] = weights
+        mass = one.sum(axis=1)
+        centers = np.where(mass[:, None] > 0, one @ points / np.maximum(mass, 1e-300)[:, None], centers)
+    return centers
+
+
+def _rows(batches):
+    for batch in batches:
+        x = np.array(batch.column(0).to_pylist(), dtype=float)
+        if len(x):
+            yield batch, x
+
+
+def _drawn_points(df: DataFrame, most: int, seed: int, vec: str) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most * ROUNDS`` rows drawn from all, and how many rows are nearest to each.
+
+    Each round draws ``most`` rows, a row with its squared distance to those drawn before as weight: of -log(u) / weight, u drawn by a
+    hash of the row, the smallest values win. A task keeps its ``most`` smallest, so no round brings more to the driver, and
+    copies of a drawn row weigh nothing in the next one.
+    """
+    points = np.zeros((0, 0))
+    for step in range(ROUNDS):
+        known = points
+
+        def race(batches):
+            best, rows = np.zeros(0), []
+            for batch, x in _rows(batches):
+                u = ((batch.column(1).to_numpy().astype(np.uint64) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+                gaps = _nearest(x, known)[1] if len(known) else np.ones(len(x))
+                with np.errstate(divide="ignore"):
+                    best, rows = np.concatenate([best, -np.log(u) / gaps]), rows + x.tolist()
+                first = np.argsort(best, kind="stable")[:most]
+                first = first[np.isfinite(best[first])]
+                best, rows = best[first], [rows[j] for j in first]
+            yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(rows, pa.list_(pa.float64()))], names=["r", "v"])
+
+        named = df.select(vec, F.xxhash64(*[F.col(c) for c in df.columns], F.lit(seed), F.lit(step)).alias("h"))
+        drawn = [r["v"] for r in named.mapInArrow(race, "r double, v array<double>").orderBy("r", "v").limit(most).collect()]
+        if not drawn:
+            break
+        points = np.unique(np.concatenate([points.reshape(-1, len(drawn[0])), np.array(drawn)]), axis=0)
+    final = points
+
+    def count(batches):
+        total = np.zeros(len(final))
+        for _, x in _rows(batches):
+            total += np.bincount(_nearest(x, final)[0], minlength=len(final))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    mass = df.select(vec).mapInArrow(count, "s array<double>").agg(Summarizer.sum(array_to_vector("s"))).first()[0]
+    return points, mass.toArray()
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,11 +104,11 @@ def fit_kmeans(df: DataFrame, ks: list[int], n_init: int = 20, max_iter: int = 5
     """Per k the inertia and centres of the cheapest of ``n_init`` starts.
 
     All starts of all k move together: a pass over the rows gives each task's sums per centre of every start that still
-    moves, which are added up by start, so the number of passes is that of the slowest start and not the sum over all. Starts are
-    drawn from at most ``SAMPLE_ROWS`` rows, the first by a hash. A start ends when no centre moves more than ``tol``.
+    moves, which are added up by start, so the number of passes is that of the slowest start and not the sum over all. Starts come
+    from rows drawn over several rounds from all rows, weighted by the rows near them. A start ends when no centre moves more than ``tol``.
     """
-    sample = np.array([r[0] for r in df.select(vec).orderBy(F.xxhash64(vec), vec).limit(SAMPLE_ROWS).collect()], dtype=float)
-    runs = {(k, i): _starts(sample, k, np.random.default_rng([seed, k, i])) for k in ks for i in range(n_init)}
+    points, weights = _drawn_points(df, DRAWN * max(ks), seed, vec)
+    runs = {(k, i): _starts(points, weights, k, np.random.default_rng([seed, k, i])) for k in ks for i in range(n_init)}
     costs: dict[tuple[int, int], float] = {}
     moving = dict(runs)
     context = df.sparkSession.sparkContext

@@ -192,3 +192,25 @@ def test_imputation_rules(spark):
     assert pre.mean_fill(df, ["x_score"]).where("customer_emailid = 'a'").first()["x_score"] == 3.0
     flags = pre.imputation_flags(df, ["x_score", "return_rate"]).orderBy("customer_emailid").first()
     assert (flags["imputed_columns"], flags["imputed_count"]) == ("x_score,return_rate", 2)
+
+
+def test_starts_are_drawn_from_all_rows_and_weighted(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from backflow.operators import kmeans
+
+    # A third of the rows are copies of one point; one far point stands after 9,000 others.
+    df = spark.range(9001).select("id", F.when(F.col("id") == 9000, F.array(F.lit(1e3), F.lit(1e3))).when(F.col("id") % 3 == 0, F.array(F.lit(5.0), F.lit(5.0)))
+                                  .otherwise(F.array((F.col("id") % 97) / 97.0, (F.col("id") % 89) / 89.0)).alias("v")).repartition(5)
+    points, weights = kmeans._drawn_points(df, 20, 7, "v")
+    assert len(points) <= 20 * kmeans.ROUNDS and weights.sum() == 9001
+    assert len(np.unique(points, axis=0)) == len(points)
+    at = {tuple(p): w for p, w in zip(points.tolist(), weights)}
+    assert at[1e3, 1e3] == 1 and at[5.0, 5.0] == 3000
+    again = kmeans._drawn_points(df.repartition(2), 20, 7, "v")
+    assert np.array_equal(points, again[0]) and np.array_equal(weights, again[1])
+    inertia, centers = kmeans.fit_kmeans(df, [3], n_init=3)[3]
+    assert sorted(np.round(centers[:, 0], 1).tolist()) == [0.5, 5.0, 1000.0] and inertia < 1000
+    same = spark.range(50).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    assert kmeans.fit_kmeans(same, [2], n_init=2)[2][0] == 0.0
