@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["feature_queries", "variant_queries", "relational_queries", "quality_queries", "segment_queries", "build_queries"]
+MODULES = ["feature_queries", "variant_queries", "relational_queries", "quality_queries", "segment_queries", "build_queries", "increment_queries"]
 
 
 def _merged(attribute: str) -> dict:

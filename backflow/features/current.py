@@ -163,6 +163,11 @@ def category_intelligence(bronze: DataFrame) -> DataFrame:
         .groupBy(ID, "q_cls_id")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("return_qty").alias("back"), F.sum("sales_qty").alias("sold"))
     )
+    return category_scores(per_category, class_count(bronze))
+
+
+def category_scores(per_category: DataFrame, classes: Column) -> DataFrame:
+    """Category scores from one row per (customer, category) with lines ``n``, ``back`` and ``sold``."""
     # sum((n_i / N)^2) needs only sum(n^2) and N, so no join back to totals.
     square = F.col("n").cast("double") * F.col("n")
     category_rate = F.when(F.col("sold") > 0, F.col("back").cast("double") / F.col("sold")).otherwise(0.0)
@@ -173,7 +178,7 @@ def category_intelligence(bronze: DataFrame) -> DataFrame:
         F.avg(category_rate).alias("rate"),
     )
     rate = F.col("rate")
-    return sums.withColumn("classes", class_count(bronze)).select(
+    return sums.withColumn("classes", classes).select(
         ID,
         ratio(F.col("categories"), F.col("classes")).alias("category_diversity_score"),
         ratio(F.col("squares"), F.col("total").cast("double") * F.col("total")).alias("category_loyalty_score"),
@@ -259,7 +264,11 @@ def adjacency(bronze: DataFrame, days: int = 14) -> DataFrame:
         day_number(F.col("order_date")).alias("day"), flag(is_returned()).alias("r"),
     )
     # The fold that all branches start from, worked out once. Lines without a SKU only tell that the customer exists.
-    every = checkpoint(rows.groupBy(ID, "sku", "at", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r")))
+    return adjacency_scores(checkpoint(rows.groupBy(ID, "sku", "at", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r"))), days)
+
+
+def adjacency_scores(every: DataFrame, days: int = 14) -> DataFrame:
+    """Adjacency from one row per (customer, SKU, instant) with its day, lines ``n`` and returned lines ``r``."""
     counts = every.where(F.col("sku").isNotNull())
     square = lambda c: F.sum(F.col(c).cast("double") * F.col(c))
     per_sku = _near_sums(counts, [ID, "sku"], days).groupBy(ID).agg(
@@ -294,6 +303,11 @@ def seasonal(bronze: DataFrame, min_days: int = 730, min_seasons: int = 3) -> Da
         F.min("order_date").alias("first"),
         F.max("order_date").alias("last"),
     )
+    return season_scores(per_season, min_days, min_seasons)
+
+
+def season_scores(per_season: DataFrame, min_days: int = 730, min_seasons: int = 3) -> DataFrame:
+    """Seasonal variation from one row per (customer, season) with lines ``n``, ``back``, ``first`` and ``last`` instant."""
     # The customer's span comes from the season rows: no second pass over lines.
     variation = lambda c: ratio(F.stddev_samp(F.col(c).cast("double")), F.avg(c))
     stats = per_season.groupBy(ID).agg(
@@ -317,9 +331,14 @@ def trend(bronze: DataFrame, min_points: int = 6) -> DataFrame:
         .groupBy(ID, "q_cls_id", month)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("return_qty").alias("back"))
     )
+    return on_every_customer(bronze, trend_scores(mine, min_points))
+
+
+def trend_scores(mine: DataFrame, min_points: int = 6) -> DataFrame:
+    """Correlations with the market from one row per (customer, category, month) with lines ``n`` and ``back``."""
     # Category totals are sums of the customers' own rows: lines are read once.
     market = mine.groupBy("q_cls_id", "month").agg(F.sum("n").alias("all_n"), F.sum("back").alias("all_back"))
-    scored = (
+    return (
         mine.join(market, ["q_cls_id", "month"])
         .groupBy(ID)
         .agg(
@@ -334,7 +353,6 @@ def trend(bronze: DataFrame, min_points: int = 6) -> DataFrame:
             F.col("returns").alias("trend_product_category_return_rate"),
         )
     )
-    return on_every_customer(bronze, scored)
 
 
 def monetary_raw(bronze: DataFrame) -> DataFrame:
@@ -463,11 +481,20 @@ CORE_GROUPS = {
 
 def core_table(bronze: DataFrame, days: int = RECENT_DAYS, money: bool = True) -> DataFrame:
     """The core groups side by side, one row per customer, from :func:`core_metrics`."""
+    # Customers without any price have no monetary values.
+    priced = [F.when(F.col("value").isNotNull(), c).alias(name) for c, name in zip(_monetary_columns("priced", "priced_back"), CORE_GROUPS["monetary"])] if money else []
+    table = core_metrics(bronze, days, money).select(ID, *core_columns(days), *priced)
+    # The clip limits need the finished values: the customer rows are cut off
+    # here, or the lines would be read and aggregated a second time.
+    return clip_scale_0_100(checkpoint(table), ["avg_order_value", "avg_return_value"]) if money else table
+
+
+def core_columns(days: int = RECENT_DAYS) -> list[Column]:
+    """The core groups but the monetary one as expressions over the sums of :func:`core_metrics`."""
     n, s, q = F.col("gaps"), F.col("gap_sum"), F.col("gap_squares")
     variance = F.try_divide(q - s * s.cast("double") / n, (n - 1).cast("double"))
     spread = F.coalesce(F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))), F.lit(0.0))
-    table = core_metrics(bronze, days, money).select(
-        ID,
+    return [
         F.col("orders").alias("sales_order_no_nunique"),
         F.col("skus").alias("sku_nunique"),
         F.col("ret_items").alias("items_returned_count"),
@@ -477,18 +504,13 @@ def core_table(bronze: DataFrame, days: int = RECENT_DAYS, money: bool = True) -
         F.col("life").alias("customer_lifetime_days"),
         F.coalesce(ratio(s, n), F.lit(0.0)).alias("avg_days_to_return"),
         spread.alias("return_timing_spread"),
-        "first_order_date",
-        "last_order_date",
+        F.col("first_order_date"),
+        F.col("last_order_date"),
         banded(F.col("life"), TENURE_BANDS, "Veteran").alias("customer_tenure_stage"),
         *_recency_columns(days),
         F.col("sold").alias("total_sales_qty"),
         F.col("back").alias("total_return_qty"),
-        # Customers without any price have no monetary values.
-        *([F.when(F.col("value").isNotNull(), c).alias(name) for c, name in zip(_monetary_columns("priced", "priced_back"), CORE_GROUPS["monetary"])] if money else []),
-    )
-    # The clip limits need the finished values: the customer rows are cut off
-    # here, or the lines would be read and aggregated a second time.
-    return clip_scale_0_100(checkpoint(table), ["avg_order_value", "avg_return_value"]) if money else table
+    ]
 
 
 def core_features(bronze: DataFrame, days: int = RECENT_DAYS) -> dict[str, DataFrame]:
