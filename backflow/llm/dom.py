@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math".split())
 BLOCKS = frozenset(
@@ -32,20 +34,23 @@ _NAMED = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*
 
 # A skeleton has brackets and stars of its own.
 _BRACKETS = str.maketrans("()*", "___")
+_NUMBER = re.compile(r"\d")
 
 
 @dataclass(eq=False)
 class Node:
     tag: str
     name: str = ""  # class and id, lower-cased
+    classes: str = ""
     role: str = ""
     children: list = field(default_factory=list)
     holds: bool = False  # an article or main element lies inside
 
     @property
     def label(self) -> str:
-        label = f"{self.tag}.{self.name}" if self.name else self.tag
-        return label.translate(_BRACKETS)
+        """The tag and its class words. An id, or a word with a number, names the page or the entry, not its place in the wrapper."""
+        words = [w for w in self.classes.split() if not _NUMBER.search(w)]
+        return ".".join([self.tag, *words]).translate(_BRACKETS)
 
     def apart(self, inside: bool) -> bool:
         """Is it no part of an article? A header inside one is."""
@@ -93,6 +98,8 @@ def parse(html: str) -> Node:
                     node.role = node.role or "hidden"
                 else:
                     node.name = f"{node.name} {value}".strip()
+                    if key.lower() == "class":
+                        node.classes = value
         if tag in BLOCKS:
             _close(stack, {"p"}, BLOCKS - {"p"})
         if tag in CLOSES:
@@ -265,27 +272,108 @@ def ways(skeleton: str) -> list[tuple[int, str, int]]:
     return out
 
 
-def tree_match(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: size of the largest order-keeping match of two trees and the matched node numbers.
+def tree_match(a: Shape, b: Shape) -> tuple[float, list[tuple[int, int]]]:
+    """Simple tree matching: weight of the heaviest match of two trees that keeps order and levels, and the matched node numbers.
 
-    Roots must have one label; children are aligned by dynamic programming over the matches of their subtrees.
+    Nodes match if their tags are equal; a match weighs 1 with equal class words and 0.5 with others, so that words seen on one page only
+    do not keep it from the wrapper. Like subtrees match as they are; of two lists of children the like heads and tails are
+    set aside, and the rest is aligned row by row over the weights of their subtrees.
     """
-    if a.label != b.label:
+    if _tag(a) != _tag(b):
         return 0, []
-    m, n = len(a.children), len(b.children)
-    pairs = {(i, j): tree_match(x, y) for i, x in enumerate(a.children) for j, y in enumerate(b.children) if x.label == y.label}
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            with_both = best[i - 1][j - 1] + pairs[i - 1, j - 1][0] if (i - 1, j - 1) in pairs else 0
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], with_both)
-    out, i, j = [(a.number, b.number)], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            out += pairs[i - 1, j - 1][1]
-            i, j = i - 1, j - 1
-    return best[m][n] + 1, out
+    return _Matcher().match(a, b)
+
+
+def _tag(shape: Shape) -> str:
+    return shape.label.partition(".")[0]
+
+
+class _Matcher:
+    """Weights and alignments of subtrees, each worked out once for two kinds of subtree."""
+
+    def __init__(self) -> None:
+        self.kinds: dict[tuple, int] = {}
+        self.kind: dict[int, int] = {}  # of a node, by its id()
+        self.size: list[int] = []
+        self.known: dict[tuple[int, int], tuple[float, list[tuple[int, int]]]] = {}
+
+    def _name(self, root: Shape) -> None:
+        """Number the kinds of all subtrees, the deepest first: label and kinds of the children."""
+        order, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack.extend(node.children)
+        for node in reversed(order):
+            below = tuple(self.kind[id(c)] for c in node.children)
+            kind = self.kinds.setdefault((node.label, below), len(self.kinds))
+            if kind == len(self.size):
+                self.size.append(1 + sum(self.size[k] for k in below))
+            self.kind[id(node)] = kind
+
+    def match(self, a: Shape, b: Shape) -> tuple[float, list[tuple[int, int]]]:
+        self._name(a)
+        self._name(b)
+        weight = self.weight(a, b)
+        out, stack = [], [(a, b)]
+        while stack:
+            x, y = stack.pop()
+            out.append((x.number, y.number))
+            if self.kind[id(x)] == self.kind[id(y)]:
+                stack.extend(zip(x.children, y.children))
+            else:
+                stack.extend((x.children[i], y.children[j]) for i, j in self.aligned(x, y)[1])
+        return weight, out
+
+    def weight(self, x: Shape, y: Shape) -> float:
+        kind = self.kind[id(x)]
+        if kind == self.kind[id(y)]:
+            return self.size[kind]
+        if _tag(x) != _tag(y):
+            return 0
+        return (1 if x.label == y.label else 0.5) + (self.aligned(x, y)[0] if x.children and y.children else 0)
+
+    def aligned(self, x: Shape, y: Shape) -> tuple[float, list[tuple[int, int]]]:
+        """Weight and places of the best alignment of the children of two nodes."""
+        key = (self.kind[id(x)], self.kind[id(y)])
+        if key not in self.known:
+            self.known[key] = self._align(x.children, y.children)
+        return self.known[key]
+
+    def _align(self, xs: list[Shape], ys: list[Shape]) -> tuple[float, list[tuple[int, int]]]:
+        first, second = [self.kind[id(c)] for c in xs], [self.kind[id(c)] for c in ys]
+        head, tail, least = 0, 0, min(len(xs), len(ys))
+        while head < least and first[head] == second[head]:
+            head += 1
+        while tail < least - head and first[-1 - tail] == second[-1 - tail]:
+            tail += 1
+        m, n = len(xs) - tail, len(ys) - tail
+        total = sum(self.size[k] for k in first[:head]) + sum(self.size[k] for k in first[m:])
+        pairs = [(k, k) for k in range(head)] + [(m + k, n + k) for k in range(tail)]
+        if m == head or n == head:
+            return total, pairs
+        # The weights of one kind of child against all children of the other side, worked out once for each kind.
+        kinds, columns = np.unique(second[head:n], return_inverse=True)
+        sample = {k: c for k, c in zip(second[head:n], ys[head:n])}
+        weights: dict[int, np.ndarray] = {}
+        # Of each cell, whether its value is that of the cell above, and that of the cell before, as bits.
+        above, before, last = [], [], np.zeros(n - head + 1)
+        for kind, child in zip(first[head:m], xs[head:m]):
+            if kind not in weights:
+                weights[kind] = np.array([self.weight(child, sample[k]) for k in kinds.tolist()])
+            row = np.zeros_like(last)
+            row[1:] = np.maximum.accumulate(np.maximum(last[1:], last[:-1] + weights[kind][columns]))
+            above.append(np.packbits(row[1:] == last[1:]))
+            before.append(np.packbits(row[1:] == row[:-1]))
+            last = row
+        bit = lambda rows, i, j: rows[i][j >> 3] >> (7 - (j & 7)) & 1
+        i, j = m - head, n - head
+        while i and j:
+            if bit(above, i - 1, j - 1):
+                i -= 1
+            elif bit(before, i - 1, j - 1):
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((head + i, head + j))
+        return total + float(last[-1]), pairs

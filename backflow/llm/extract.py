@@ -1,6 +1,6 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-Each page gives a skeleton (its block elements) and the text blocks of its article. The most frequent skeleton of a host is
+Each page gives a skeleton (its block elements, by tag and class words) and the text blocks of its article. The most frequent skeleton of a host is
 its reference; the other skeletons are aligned with it by simple tree matching, so that nodes at one place of the
 wrapper have one slot number. A text that stands in the same slot in half of the host's different articles that have the
 slot, or in half of those with one skeleton, is template and goes from this slot; what varies is content. Elements that by their kind or name are menus, footers, adverts and so on are
@@ -66,6 +66,8 @@ def slots_of(skeleton: str, reference: str) -> list[int]:
     A node that the reference lacks has a slot named by its way from the nearest aligned node, so that like places of the
     host's other layouts are one slot, and unlike ones are not.
     """
+    if skeleton == reference:
+        return list(range(len(ways(skeleton))))
     matched = dict(tree_match(shapes(skeleton), shapes(reference))[1])
     slots: list[int] = []
     for k, (parent, label, place) in enumerate(ways(skeleton)):
