@@ -1,6 +1,6 @@
 """Secret scan by a trigram inverted index, in DataFrame functions alone.
 
-Each rule's regex implies a Boolean query over trigrams: some alternative's literals must occur, so all trigrams of
+Each rule's regex implies a Boolean query over trigrams, derived from its parsed form (``regexterms``): some alternative's literals must occur, so all trigrams of
 that alternative must. The index holds the postings of these trigrams only, over lower-cased whole texts. Postings
 are intersected per alternative; a document that meets one of a rule's alternatives is a candidate, and only
 candidates are searched with the rule's regex. A rule that no trigram is mandatory for is searched everywhere.
@@ -13,14 +13,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from backflow.llm.regexterms import mandatory
+
 
 @dataclass(frozen=True)
 class Rule:
-    """``literals``: of each alternative, the literal runs that any match must hold, lower-cased. ``least``: characters that ``group`` must have."""
+    """``least``: characters that ``group`` must have."""
 
     kind: str
     pattern: str
-    literals: tuple[tuple[str, ...], ...] = ()
     group: int = 0
     least: int = 0
     base: bool = True
@@ -30,30 +31,21 @@ class Rule:
 RULES = (
     Rule(
         "assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        (("password",), ("passwd",), ("secret",), ("token",), ("api", "key")), group=2, least=8,
+        group=2, least=8,
     ),
-    Rule("access", r"AKIA[A-Z0-9]+", (("akia",),), least=16),
+    Rule("access", r"AKIA[A-Z0-9]+", least=16),
     Rule("hex", r"[0-9a-f]{32,}", least=32),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",)), base=False),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", (("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",)), base=False),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", (("-----begin ", "private key-----"),), base=False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", (("eyj", ".eyj"),), base=False),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", base=False),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", base=False),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", base=False),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", base=False),
 )
 
 
-def trigrams(literals: tuple[str, ...]) -> tuple[str, ...]:
-    """The distinct trigrams of some literals; literals shorter than three characters give none."""
-    return tuple(sorted({text[k : k + 3] for text in literals for k in range(len(text) - 2)}))
-
-
 def queries(rules: tuple[Rule, ...] = RULES) -> dict[int, list[tuple[str, ...]]]:
-    """Per rule number, its alternatives as trigram conjunctions; rules with an alternative without trigrams are left out."""
-    out = {}
-    for number, rule in enumerate(rules):
-        found = [trigrams(x) for x in rule.literals]
-        if found and all(found):
-            out[number] = found
-    return out
+    """Per rule number, its alternatives as trigram conjunctions; rules that no trigram is mandatory for are left out."""
+    found = {number: mandatory(rule.pattern) for number, rule in enumerate(rules)}
+    return {number: alternatives for number, alternatives in found.items() if alternatives}
 
 
 def _with(value: Column, use) -> Column:
@@ -78,6 +70,31 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col:
     return met.groupBy("id").agg(F.collect_set("term.rule").alias("rules"))
 
 
+def _running(values: Column, start: Column, add) -> Column:
+    """``start`` and what ``add`` makes of it and the values so far, before each value of an array.
+
+    An array that grows by one is copied each time, so values go by blocks of about the square root of their number: first what each block adds to
+    what is before it, then the values of each block.
+    """
+
+    def before(part: Column, begin: Column) -> Column:
+        empty = F.filter(F.array(begin), lambda x: F.lit(False))
+        step = lambda state, x: F.struct(add(state["at"], x).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+        return F.aggregate(part, F.struct(begin.alias("at"), empty.alias("out")), step, lambda state: state["out"])
+
+    def blocked(values: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(values))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / width).cast("int")), lambda k: F.slice(values, k * width + 1, width))
+
+        def joined(blocks: Column) -> Column:
+            whole = F.transform(blocks, lambda block: F.aggregate(block, start, add))
+            return F.flatten(F.zip_with(blocks, before(whole, start), before))
+
+        return F.when(F.size(values) < 64, before(values, start)).otherwise(_with(blocks, joined))
+
+    return _with(values, blocked)
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """All matches of a rule in a text, leftmost and not overlapping, as structs of start, order, end (code points).
 
@@ -89,20 +106,15 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         *([lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))).alias("judged")] if rule.group else []),
     )
     kind = "array<struct<start:int,order:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        begin = state["at"] + row["gap"]
-        end = begin + row["size"]
-        one = F.array(F.struct(begin.alias("start"), F.lit(order).alias("order"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(row["judged"] >= rule.least, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
 
-    def walked(m: Column) -> Column:
+    def placed(m: Column) -> Column:
         judged = m["judged"] if rule.group else m["sizes"]
-        rows = F.arrays_zip(F.slice(m["gaps"], 1, F.size(m["sizes"])).alias("gap"), m["sizes"].alias("size"), judged.alias("judged"))
-        return F.aggregate(rows, start, step, lambda state: state["out"])
+        both = F.zip_with(F.slice(m["gaps"], 1, F.size(m["sizes"])), m["sizes"], lambda gap, size: gap + size)
+        rows = F.arrays_zip(_running(both, F.lit(0), lambda at, x: at + x).alias("at"), m["gaps"].alias("gap"), m["sizes"].alias("size"), judged.alias("judged"))
+        kept = F.filter(F.slice(rows, 1, F.size(m["sizes"])), lambda row: row["judged"] >= rule.least)
+        return F.transform(kept, lambda row: F.struct((row["at"] + row["gap"]).alias("start"), F.lit(order).alias("order"), (row["at"] + row["gap"] + row["size"]).alias("end")))
 
-    return F.when(text.rlike(rule.pattern), _with(found, walked)).otherwise(F.array().cast(kind))
+    return F.when(text.rlike(rule.pattern), _with(found, placed)).otherwise(F.array().cast(kind))
 
 
 def found_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,18 +154,42 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every match replaced by ``mark``; overlapping matches count as one. Texts without a match, null among them, stay as they are."""
     rows = found_secrets(docs, rules, id_col, text_col)
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    changed = F.when(F.size("_found") > 0, _with(F.struct(F.col(text_col).alias("text"), F.col("_found").alias("found")), lambda row: _marked(row["text"], row["found"], mark))).otherwise(F.col(text_col))
+    return rows.withColumn(text_col, changed).select(*[F.col(f"`{c}`") for c in docs.columns])
 
-    def step(state: Column, span: Column) -> Column:
-        # A match that begins before the last one ended only moves the end on.
-        apart = span["start"] >= state["at"]
-        kept = F.concat(state["out"], text.substr(state["at"] + 1, span["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(apart, kept).otherwise(state["out"]).alias("out"))
 
-    rest = lambda state: F.concat(state["out"], text.substr(state["at"] + 1, F.char_length(text)))
-    changed = F.when(F.size("_found") > 0, F.aggregate("_found", start, step, rest)).otherwise(text)
-    return rows.withColumn(text_col, changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+def _marked(text: Column, found: Column, mark: str) -> Column:
+    """The text with a mark in place of each stretch of ``found``, which is sorted.
+
+    A place in a text is found by counting from its start, so the pieces are taken from cuts of the text, short enough for
+    many matches and long enough for few.
+    """
+    covered = _running(F.transform(found, lambda s: s["end"]), F.lit(0), lambda at, end: F.greatest(at, end))
+    spans = F.arrays_zip(covered.alias("at"), F.transform(found, lambda s: s["start"]).alias("start"))
+    # A match that begins before the last one ended only moves the end on.
+    apart = F.filter(spans, lambda s: s["start"] >= s["at"])
+    end, length = F.array_max(F.transform(found, lambda s: s["end"])), F.char_length(text)
+    width = F.greatest(F.lit(256), (length / F.sqrt(F.size(found))).cast("int"))
+    known = F.struct(text.alias("text"), width.alias("width"), F.concat(apart, F.array(F.struct(end.alias("at"), length.alias("start")))).alias("gaps"))
+
+    def cut(row: Column) -> Column:
+        cuts = F.transform(F.sequence(F.lit(0), ((F.char_length(row["text"]) - 1) / row["width"]).cast("int")), lambda k: F.substr(row["text"], k * row["width"] + 1, row["width"]))
+        return F.struct(cuts.alias("cuts"), row["width"].alias("width"), row["gaps"].alias("gaps"))
+
+    def joined(row: Column) -> Column:
+        width = row["width"]
+
+        def piece(gap: Column) -> Column:
+            def within(k: Column) -> Column:
+                begin = F.greatest(gap["at"] - k * width, F.lit(0))
+                return F.substr(F.get(row["cuts"], k), begin + 1, F.least(gap["start"] - k * width, width) - begin)
+
+            some = F.sequence((gap["at"] / width).cast("int"), ((gap["start"] - 1) / width).cast("int"))
+            return F.when(gap["start"] > gap["at"], F.array_join(F.transform(some, within), "")).otherwise("")
+
+        return F.array_join(F.transform(row["gaps"], piece), mark)
+
+    return _with(_with(known, cut), joined)
 
 
 def _spelled(pattern: str) -> str:
