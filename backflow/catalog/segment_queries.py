@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from backflow.catalog import common, quality_queries  # noqa: F401
@@ -206,8 +207,55 @@ on_segments("fs_11_cluster_feature_matrix", lambda s: pre.cluster_feature_matrix
 on_segments("fs_12_between_within_ratio", lambda s: pre.between_within_ratio(s, _DISC), U.join(f"""
 SELECT '{c}' AS feature, {r6('b / w', 'importance_score')}, {r6('b', 'between_cluster_variance')}, {r6('w', 'within_cluster_variance')}, {r6('gm', 'overall_mean')}, {r6('sd', 'overall_std')}
 FROM (SELECT avg(pow(m - gm, 2)) AS b FROM (SELECT avg({c}) AS m FROM labelled GROUP BY cluster), (SELECT avg({c}) AS gm FROM labelled)), (SELECT var_samp({c}) AS w, avg({c}) AS gm, stddev_samp({c}) AS sd FROM labelled)""" for c in _DISC))
-on_base("out_01_isolation_forest", lambda s: outliers.isolation_forest(s, SCALED + ["return_intensity"]).select(ID, "outlier_score", "outlier_flag"))
-on_base("out_01_describe_outliers", lambda s: outliers.describe_outliers(outliers.isolation_forest(s, SCALED + ["return_intensity"])))
+# The forest on the twin side: rows drawn by the same names, then grown and walked level by level.
+TREES, SAMPLE, DEPTH, SEED = 100, 256, 8, 42
+_u = lambda what: f"CAST('0x' || substr(md5(concat('{SEED}:', tree, ':', node, ':{what}')), 1, 13) AS BIGINT) / 4503599627370496e0"
+_mean_path = lambda n: f"CASE WHEN {n} <= 1 THEN 0e0 WHEN {n} = 2 THEN 1e0 ELSE 2e0 * (ln({n} - 1e0) + {np.euler_gamma!r}) - 2e0 * ({n} - 1e0) / {n} END"
+
+
+def _level(k: int) -> None:
+    """CTEs of depth ``k``: size and bounds of its nodes, their axis and cut, and the rows handed down."""
+    cte(f"if_box{k}", "SELECT tree, node, count(*) AS n, [" + ", ".join(f"min(v[{i + 1}])" for i in range(len(NUMERIC))) + "] AS lo, ["
+        + ", ".join(f"max(v[{i + 1}])" for i in range(len(NUMERIC))) + f"] AS hi FROM if_rows{k} GROUP BY tree, node")
+    cte(f"if_axis{k}", f"""SELECT *, CASE WHEN n > 1 AND {k} < depth AND len(open) > 0 THEN open[1 + CAST(floor({_u('axis')} * len(open)) AS INT)] END AS axis
+ FROM (SELECT *, list_filter(range(1, {len(NUMERIC) + 1}), lambda i: hi[i] > lo[i]) AS open FROM if_box{k}), if_size""")
+    cte(f"if_node{k}", f"""SELECT tree, node, CASE WHEN cut > lo[axis] THEN axis END AS axis, cut, {k} + {_mean_path('n')} AS path
+ FROM (SELECT *, lo[axis] + {_u('cut')} * (hi[axis] - lo[axis]) AS cut FROM if_axis{k})""")
+    cte(f"if_rows{k + 1}", f"SELECT r.tree, r.id, r.v, CASE WHEN r.v[axis] < cut THEN 2 * r.node ELSE 2 * r.node + 1 END AS node FROM if_rows{k} r JOIN if_node{k} n ON r.tree = n.tree AND r.node = n.node WHERE axis IS NOT NULL")
+    cte(f"if_walk{k + 1}", f"SELECT r.tree, r.id, r.v, CASE WHEN axis IS NULL THEN n.path END AS path, CASE WHEN r.v[axis] < cut THEN 2 * r.node ELSE 2 * r.node + 1 END AS node FROM if_walk{k} r JOIN if_node{k} n ON r.tree = n.tree AND r.node = n.node WHERE r.path IS NULL")
+
+
+cte("if_points", "SELECT customer_emailid AS id, [" + ", ".join(f"coalesce(round(CAST({c} AS DOUBLE), 6), 0e0)" for c in NUMERIC) + "] AS v FROM base")
+cte("if_size", f"SELECT least({SAMPLE}, count(*)) AS size, ceil(log2(greatest(2, least({SAMPLE}, count(*))))) AS depth FROM if_points")
+cte("if_pool", f"SELECT id, v, md5(concat('{SEED}:', id)) AS h FROM if_points ORDER BY h, v LIMIT (SELECT 64 * size FROM if_size)")
+cte("if_rows0", f"""SELECT tree, id, v, 1 AS node FROM (SELECT tree, id, v, row_number() OVER (PARTITION BY tree ORDER BY md5(concat(tree, ':', h)), v) AS k
+ FROM if_pool, (SELECT unnest(range({TREES})) AS tree)), if_size WHERE k <= size""")
+cte("if_walk0", f"SELECT tree, id, v, CAST(NULL AS DOUBLE) AS path, 1 AS node FROM if_points, (SELECT unnest(range({TREES})) AS tree)")
+for _k in range(DEPTH + 1):
+    _level(_k)
+cte("if_paths", U.join(f"SELECT id, path FROM if_walk{k + 1} WHERE path IS NOT NULL" for k in range(DEPTH + 1)))
+cte("if_scores", f"SELECT id AS customer_emailid, round(-pow(2e0, -(sum(path) / {TREES}) / any_value({_mean_path('size')})), 12) AS outlier_score FROM if_paths, if_size GROUP BY id")
+cte("if_flags", "SELECT *, outlier_score < (SELECT quantile_cont(outlier_score, 0.05) FROM if_scores) AS outlier_flag FROM if_scores")
+
+
+def _forest(s):
+    return outliers.isolation_forest(rounded(s.withColumns({c: F.col(c).cast("double") for c in NUMERIC}), only=NUMERIC), NUMERIC, trees=TREES, sample=SAMPLE, seed=SEED)
+
+
+def _replayed(s):
+    """Scores of the stored nodes walked by joins."""
+    fixed = checkpoint(rounded(s.select(ID, *[F.col(c).cast("double") for c in NUMERIC]), only=NUMERIC))
+    total = fixed.count()
+    size = max(min(SAMPLE, total), 1)
+    nodes = checkpoint(outliers.fit_forest(fixed, NUMERIC, ID, TREES, size, SEED, total))
+    return outliers.replay_forest(fixed, nodes, NUMERIC, size)
+
+
+on_base("out_01_isolation_forest", lambda s: _forest(s).select(ID, "outlier_score", "outlier_flag"), f"SELECT customer_emailid, {r6('outlier_score', 'outlier_score')}, outlier_flag FROM if_flags")
+on_base("out_01_forest_replay", _replayed, f"SELECT customer_emailid, {r6('outlier_score', 'outlier_score')} FROM if_scores")
+on_base("out_01_describe_outliers", lambda s: outliers.describe_outliers(_forest(s)), f"""
+SELECT outlier_flag, count(*) AS customers, {r6('avg(round(return_rate, 6))', 'avg_return_rate')}, {r6('avg(sales_order_no_nunique)', 'avg_order_count')}, {r6('avg(round(customer_lifetime_days, 6))', 'avg_lifetime_days')}
+FROM base JOIN if_flags USING (customer_emailid) GROUP BY outlier_flag""")
 
 # --- clustering ------------------------------------------------------------------------------------------
 

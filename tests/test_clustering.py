@@ -1,5 +1,7 @@
 """Clustering operators against plain numpy."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +155,39 @@ def test_tree_samples_are_bounded(spark):
     assert sizes == [64] * 10
 
 
+def test_tree_samples_take_the_smallest_names_of_all_rows(spark):
+    """The threshold loses none of the wanted candidates: same draw as sorting all rows."""
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    ids = [f"k{i}" for i in range(3000)]
+    df = spark.createDataFrame([(k, float(i)) for i, k in enumerate(ids)], "customer_emailid string, a double")
+    got = {}
+    for r in outliers.tree_samples(df, ["a"], "customer_emailid", 5, 8, 7, spread=16).collect():
+        got.setdefault(r["tree"], set()).add(int(r["v"][0]))
+    pool = sorted((md5(f"7:{k}"), i) for i, k in enumerate(ids))[:16 * 8]
+    assert got == {t: {i for _, i in sorted((md5(f"{t}:{h}"), i) for h, i in pool)[:8]} for t in range(5)}
+
+
+def test_stored_forest_replays_by_joins(spark):
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(300, 2)), 1)
+    rows = [(str(i), *map(float, p)) for i, p in enumerate(x)] + [("copy", *map(float, x[0])), ("hole", None, 0.3)]
+    df = spark.createDataFrame(rows, "customer_emailid string, a double, b double")
+    forest = outliers.fit_forest(df, ["a", "b"], trees=12, sample=32).cache()
+    fast = {r[0]: r["outlier_score"] for r in outliers.score_forest(df, forest, ["a", "b"], 32).collect()}
+    slow = {r[0]: r["outlier_score"] for r in outliers.replay_forest(df, forest, ["a", "b"], 32).collect()}
+    assert fast.keys() == slow.keys() and max(abs(fast[k] - slow[k]) for k in fast) < 1e-11
+    assert fast["copy"] == fast["0"]
+
+
+def test_isolation_forest_of_no_one_and_like_rows(spark):
+    schema = "customer_emailid string, a double, outlier_flags string"
+    assert outliers.isolation_forest(spark.createDataFrame([], schema), ["a"]).collect() == []
+    same = outliers.isolation_forest(spark.createDataFrame([(str(i), 2.0, "x") for i in range(40)], schema), ["a"], trees=5).collect()
+    assert len({r["outlier_score"] for r in same}) == 1 and not any(r["outlier_flag"] for r in same)
+    one = outliers.isolation_forest(spark.createDataFrame([(None, None, "x")], schema), ["a"], trees=3).collect()
+    assert len(one) == 1 and one[0]["outlier_score"] == -1.0
+
+
 def numbers(spark, cols):
     n = len(next(iter(cols.values())))
     data = [(str(i), *[float(v[i]) for v in cols.values()]) for i in range(n)]
