@@ -17,8 +17,11 @@ def _grid_dims(df: DataFrame, vec: str, dims: int) -> list[int]:
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
-    spread = df.agg(Summarizer.variance(array_to_vector(F.col(vec))).alias("s")).first()["s"]
-    return [int(i) for i in np.argsort(-spread.toArray(), kind="stable")[:dims]] if spread is not None else [0]
+    held = df.where(F.col(vec).isNotNull())
+    if held.isEmpty():
+        return [0]
+    spread = held.agg(Summarizer.variance(array_to_vector(F.col(vec))).alias("s")).first()["s"]
+    return [int(i) for i in np.argsort(-spread.toArray(), kind="stable")[:dims]]
 
 
 def dense_index(df: DataFrame, order: str, name: str) -> DataFrame:
@@ -56,36 +59,110 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _tasks(points: DataFrame, block_rows: int, axes: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Points with their block, and block pairs of equal or touching cells (each pair once)."""
-    where = ["grp", *axes]
-    cells = points.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("int").alias("blocks"))
-    placed = points.join(cells, where).withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
+def pick_pivots(df: DataFrame, vec: str, pivots: int, sample: int = 2048) -> np.ndarray:
+    """Far-apart vectors of a sample bounded by ``sample`` rows (the smallest hashes): each next one is farthest from those before.
+
+    The sample decides how tight the bounds are, never which pairs are found.
+    """
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(vec).alias("v"), F.xxhash64(vec).alias("h")).orderBy("h", "v").limit(sample).collect()
+    x = np.array([r["v"] for r in rows], dtype=float)
+    if not len(x):
+        return np.zeros((0, 0))
+    chosen, gap = [0], np.sqrt(((x - x[0]) ** 2).sum(axis=1))
+    while len(chosen) < min(pivots, len(x)) and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, np.sqrt(((x - x[chosen[-1]]) ** 2).sum(axis=1)))
+    return x[chosen]
+
+
+def _pivot_gaps(pivots: np.ndarray):
+    """Column function: distances of a vector to all pivots."""
+
+    def gaps(v: pd.Series) -> pd.Series:
+        x = np.array(v.tolist(), dtype=float)
+        if not len(x):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)))
+
+    return F.pandas_udf(gaps, "array<double>")
+
+
+def _tasks(points: DataFrame, block_rows: int, axes: list[str], pivots: int, eps: float) -> tuple[DataFrame, DataFrame]:
+    """Points with their block, and block pairs that can hold neighbours (each pair once).
+
+    A cell is a grid cell, cut by nearest pivot where it has more rows than a block. Two cells can hold neighbours where their grid cells are
+    equal or touch and, by the triangle inequality, their ranges of distances to each pivot are no further apart than
+    ``eps``. Cells meet by grid cell, at most ``pivots`` squared pairs for each two of those, whatever the rows.
+    """
+    where = ["grp", *axes, "region"]
+    least = F.array(*[F.min(F.get("gaps", F.lit(i))) for i in range(pivots)])
+    most = F.array(*[F.max(F.get("gaps", F.lit(i))) for i in range(pivots)])
+    cells = points.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("int").alias("blocks"), least.alias("lo"), most.alias("hi"))
+    cells = checkpoint(cells)
+    placed = points.drop("gaps").join(cells.select(*where, "blocks"), where).withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
     # Half of the neighbourhood: every unordered cell pair appears once.
     steps = [s for s in product((-1, 0, 1), repeat=len(axes)) if s >= (0,) * len(axes)]
     offsets = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"s{i}") for i, x in enumerate(s)]) for s in steps]))
     left = cells.withColumn("s", offsets).select(
-        *where, F.col("blocks").alias("ba"), *[(F.col(a) + F.col(f"s.s{i}")).alias(f"n_{a}") for i, a in enumerate(axes)]
+        *where, F.col("blocks").alias("ba"), F.col("lo").alias("la"), F.col("hi").alias("ha"), *[(F.col(a) + F.col(f"s.s{i}")).alias(f"n_{a}") for i, a in enumerate(axes)]
     )
-    right = cells.select(F.col("grp").alias("g2"), *[F.col(a).alias(f"r_{a}") for a in axes], F.col("blocks").alias("bb"))
+    right = cells.select(F.col("grp").alias("g2"), *[F.col(a).alias(f"r_{a}") for a in [*axes, "region"]], F.col("blocks").alias("bb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
     touch = reduce(lambda x, y: x & y, [F.col(f"n_{a}") == F.col(f"r_{a}") for a in axes], F.col("grp") == F.col("g2"))
-    same = reduce(lambda x, y: x & y, [F.col(a) == F.col(f"r_{a}") for a in axes], F.lit(True))
+    same_grid = reduce(lambda x, y: x & y, [F.col(a) == F.col(f"r_{a}") for a in axes], F.lit(True))
+    same = same_grid & (F.col("region") == F.col("r_region"))
+    # Rounding of the distances is allowed for.
+    limit = lambda far: F.lit(float(eps)) + F.lit(1e-9) * (F.lit(1.0) + far)
+    apart = lambda low, high: F.exists(F.zip_with(low, high, lambda x, y: x - y > limit(x)), lambda out: out)
     pairs = (
         left.join(right, touch)
+        .where(~same_grid | (F.col("region") <= F.col("r_region")))
+        .where(~apart(F.col("lb"), F.col("ha")) & ~apart(F.col("la"), F.col("hb")))
         .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("ba") - 1)))
         .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("bb") - 1)))
         .where(~same | (F.col("x") <= F.col("y")))
-        .withColumn("task", F.concat_ws("|", *[F.col(c).cast("string") for c in ("grp", *axes, "x", *[f"r_{a}" for a in axes], "y")]))
+        .withColumn("task", F.concat_ws("|", *[F.col(c).cast("string") for c in ("grp", *axes, "region", "x", *[f"r_{a}" for a in axes], "r_region", "y")]))
         .withColumn("alone", same & (F.col("x") == F.col("y")))
     )
-    sides = pairs.select("task", "alone", "grp", *axes, F.col("x").alias("blk"), F.lit(0).alias("role")).unionByName(
-        pairs.where(~F.col("alone")).select("task", "alone", "grp", *[F.col(f"r_{a}").alias(a) for a in axes], F.col("y").alias("blk"), F.lit(1).alias("role"))
+    sides = pairs.select("task", "alone", *where, F.col("x").alias("blk"), F.lit(0).alias("role")).unionByName(
+        pairs.where(~F.col("alone")).select("task", "alone", "grp", *[F.col(f"r_{a}").alias(a) for a in [*axes, "region"]], F.col("y").alias("blk"), F.lit(1).alias("role"))
     )
     return placed, sides
 
 
+def _located(df: DataFrame, folded: DataFrame, eps: float, vec: str, grid_dims: int, block_rows: int, pivots: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    dims = _grid_dims(df, vec, grid_dims)
+    axes = [f"c{i}" for i in range(len(dims))]
+    cell = {a: F.floor(F.element_at("v", d + 1) / F.lit(float(eps))).cast("bigint") for a, d in zip(axes, dims)}
+    chosen = pick_pivots(df, vec, pivots)
+    gaps = _pivot_gaps(chosen)(F.col("v")) if len(chosen) else F.array(F.lit(0.0))
+    points = checkpoint(folded.withColumns(cell).withColumn("gaps", gaps))
+    # As many regions as a grid cell has blocks; the first pivots lie farthest apart.
+    cuts = F.least(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))), F.lit(max(len(chosen), 1))).cast("int").alias("cuts")
+    open_to = F.slice("gaps", F.lit(1), F.col("cuts"))
+    near = F.array_position(open_to, F.array_min(open_to)).cast("int") - 1
+    cut = points.join(points.groupBy("grp", *axes).agg(cuts), ["grp", *axes]).withColumn("region", near).drop("cuts")
+    placed, sides = _tasks(checkpoint(cut), block_rows, axes, max(len(chosen), 1), eps)
+    return checkpoint(placed), checkpoint(sides), ["grp", *axes, "region", "blk"]
+
+
+def compared_pairs(df: DataFrame, eps: float = 0.5, vec: str = "v", grid_dims: int = 2, block_rows: int = 1000, pivots: int = 32) -> DataFrame:
+    """One row (points, compared, all_pairs): pairs of different vectors that :func:`dbscan` measures, and how many there are."""
+    folded = df.where(F.col(vec).isNotNull()).select(F.lit(0).alias("grp"), F.col(vec).alias("v")).distinct().withColumn("key", F.xxhash64("v")).withColumn("w", F.lit(1.0))
+    located, sides, join_on = _located(df, folded, eps, vec, grid_dims, block_rows, pivots)
+    sizes = located.groupBy(*join_on).agg(F.count(F.lit(1)).alias("n"))
+    of = lambda role: F.coalesce(F.max(F.when(F.col("role") == role, F.col("n"))), F.lit(0))
+    per_task = sides.join(sizes, join_on).groupBy("task", "alone").agg(of(0).alias("a"), of(1).alias("b"))
+    one = F.when(F.col("alone"), F.col("a") * (F.col("a") - 1) / 2).otherwise(F.col("a") * F.col("b")).cast("bigint")
+    n = sizes.select(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    return per_task.agg(F.coalesce(F.sum(one), F.lit(0)).alias("compared")).select(n.alias("points"), "compared", (n * (n - 1) / 2).cast("bigint").alias("all_pairs"))
+
+
 def _pairwise(pdf: pd.DataFrame, eps: float):
-    """Rows of both sides of a task and the (i, j) index pairs within ``eps``."""
+    """Rows of both sides of a task and the (i, j) index pairs within ``eps``.
+
+    Inner products by matrix product name the candidates with room for rounding; distances of
+    those near the limit are then taken coordinate by coordinate, which decides.
+    """
     a = pdf[pdf["role"] == 0].sort_values("key", ignore_index=True)
     b = pdf[pdf["role"] == 1].sort_values("key", ignore_index=True)
     alone = bool(pdf["alone"].iloc[0])
@@ -95,10 +172,20 @@ def _pairwise(pdf: pd.DataFrame, eps: float):
         # A block can stay without points; its pair then has no hits.
         return a, b, alone, np.zeros(0, dtype=int), np.zeros(0, dtype=int)
     x, y = np.array(a["v"].tolist()), np.array(b["v"].tolist())
+    middle = y.mean(axis=0)
+    x, y, x0, y0 = x - middle, y - middle, x, y
+    sx, sy = (x ** 2).sum(axis=1), (y ** 2).sum(axis=1)
     hits = []
-    for lo in range(0, len(x), 64):
-        gap = np.sqrt(((x[lo:lo + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-        i, j = np.nonzero(gap <= eps)
+    for lo in range(0, len(x), 256):
+        size = sx[lo:lo + 256, None] + sy[None, :]
+        square = size - 2.0 * (x[lo:lo + 256] @ y.T)
+        room = 1e-9 * (1.0 + size + eps * eps)
+        sure = square <= eps * eps - room
+        i, j = np.nonzero(~sure & (square <= eps * eps + room))
+        for at in range(0, len(i), 65536):
+            p, q = i[at:at + 65536], j[at:at + 65536]
+            sure[p, q] = np.sqrt(((x0[p + lo] - y0[q]) ** 2).sum(axis=1)) <= eps
+        i, j = np.nonzero(sure)
         hits.append((i + lo, j))
     i = np.concatenate([h[0] for h in hits])
     j = np.concatenate([h[1] for h in hits])
@@ -126,29 +213,24 @@ def _forest(n: int, pairs) -> list[tuple[int, int]]:
 
 def dbscan(
     df: DataFrame, eps: float = 0.5, min_samples: int = 5, key: str = "id", vec: str = "v", group: str | None = None,
-    grid_dims: int = 2, block_rows: int = 1000,
+    grid_dims: int = 2, block_rows: int = 1000, pivots: int = 32,
 ) -> DataFrame:
     """(key, cluster, is_core): Euclidean density clusters, noise -1.
 
     Copies of a vector fold into one weighted point. Points fall into grid cells
-    of width ``eps`` on the widest coordinates; only touching cells can hold
-    neighbours, and a cell is split into blocks of about ``block_rows``, so a
+    of width ``eps`` on the widest coordinates, large ones cut further by their nearest of up to
+    ``pivots`` reference vectors; cells whose distances to some pivot differ by more than
+    ``eps`` never meet, and a cell is split into blocks of about ``block_rows``, so a
     task compares two bounded blocks whatever the skew. Tasks return neighbour
     counts, then spanning-forest edges between core points, never all pairs.
     Clusters number from 0 by their smallest core key; a border point joins the
     smallest-numbered cluster it touches. With ``group`` the clustering runs
-    inside each group and numbers start anew per group.
+    inside each group and numbers start anew per group. Rows without a vector are noise.
     """
     source = df.select(F.col(key).alias("id0"), F.col(vec).alias("v"), (F.col(group) if group else F.lit(0)).cast("int").alias("grp"))
-    folded = source.groupBy("grp", "v").agg(F.min("id0").alias("key"), F.count(F.lit(1)).cast("double").alias("w"))
+    folded = source.where("v IS NOT NULL").groupBy("grp", "v").agg(F.min("id0").alias("key"), F.count(F.lit(1)).cast("double").alias("w"))
     kind = dict(folded.dtypes)["key"]
-    dims = _grid_dims(df, vec, grid_dims)
-    axes = [f"c{i}" for i in range(len(dims))]
-    cell = {a: F.floor(F.element_at("v", d + 1) / F.lit(float(eps))).cast("bigint") for a, d in zip(axes, dims)}
-    points, sides = _tasks(folded.withColumns(cell), block_rows, axes)
-    located = checkpoint(points)
-    join_on = ["grp", *axes, "blk"]
-    sides = checkpoint(sides)
+    located, sides, join_on = _located(df, folded, eps, vec, grid_dims, block_rows, pivots)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, alone, i, j = _pairwise(pdf, eps)
@@ -193,9 +275,9 @@ def dbscan(
     border = touched.groupBy("grp", F.col("a").alias("key")).agg(F.min("cluster").alias("cluster"))
     label = core_label.unionByName(border)
     per_vector = marked.select("grp", "key", "v", "core").join(label, ["grp", "key"], "left")
-    return source.join(per_vector.drop("key"), ["grp", "v"]).select(
+    return source.join(per_vector.drop("key"), ["grp", "v"], "left").select(
         F.col("id0").alias(key), *([F.col("grp").alias(group)] if group else []),
-        F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.col("core").alias("is_core"),
+        F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("core", F.lit(False)).alias("is_core"),
     )
 
 

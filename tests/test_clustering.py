@@ -50,6 +50,38 @@ def test_dbscan_equals_reference(spark, block_rows):
     assert [got[i] for i in range(len(points))] == list(zip(expected.tolist(), core.tolist()))
 
 
+def test_pivot_bounds_leave_out_pairs_and_lose_none(spark):
+    """Blobs along many coordinates, none of which tells them apart alone: the grid keeps most pairs, the pivots few."""
+    rng = np.random.default_rng(21)
+    centres = rng.choice([-1.0, 1.0], size=(16, 64))
+    points = np.round(np.concatenate([c + rng.normal(scale=0.04, size=(25, 64)) for c in centres]), 6)
+    df = frame(spark, points)
+    grid = db.compared_pairs(df, 0.6, pivots=1, block_rows=10).first()
+    bound = db.compared_pairs(df, 0.6, pivots=32, block_rows=10).first()
+    assert bound["points"] == 400 and bound["all_pairs"] == 400 * 399 // 2
+    assert bound["compared"] < 0.1 * bound["all_pairs"] and bound["compared"] < 0.5 * grid["compared"]
+    expected, core = reference_dbscan(points, 0.6, 5)
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in db.dbscan(df, 0.6, 5, block_rows=10).collect()}
+    assert got == {i: (expected[i], core[i]) for i in range(400)}
+
+
+def test_dbscan_keeps_rows_without_a_vector_and_empty_tables(spark):
+    schema = "id int, v array<double>, extra string"
+    rows = [(i, [0.1 * i, 0.0], "x") for i in range(4)] + [(9, None, None), (10, None, "y")]
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in db.dbscan(spark.createDataFrame(rows, schema), 0.15, 2).collect()}
+    assert got == {**{i: (0, True) for i in range(4)}, 9: (-1, False), 10: (-1, False)}
+    assert db.dbscan(spark.createDataFrame([], schema), 0.15, 2).collect() == []
+
+
+@pytest.mark.parametrize("pivots", [1, 7, 64])
+def test_dbscan_at_the_limit_of_the_radius(spark, pivots):
+    """Lattice points exactly one radius apart, copies among them, far from the origin."""
+    points = np.array([(1000.0 + 0.5 * x, -2000.0 + 0.5 * y) for x in range(6) for y in range(6)] + [(1000.0, -2000.0)] * 3 + [(1900.0, 0.0)])
+    expected, core = reference_dbscan(points, 0.5, 4)
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in db.dbscan(frame(spark, points), 0.5, 4, block_rows=4, pivots=pivots).collect()}
+    assert got == {i: (expected[i], core[i]) for i in range(len(points))}
+
+
 def test_dbscan_all_noise_and_one_chain(spark):
     far = np.arange(5)[:, None] * 10.0
     assert {r["cluster"] for r in db.dbscan(frame(spark, far), 0.5, 2).collect()} == {-1}
