@@ -140,8 +140,9 @@ def replay_forest(df: DataFrame, forest: DataFrame, cols: list[str], sample: int
     """
     nodes = F.broadcast(forest.select("tree", "node", "feature", "split", "path"))  # at most trees * (2 * sample - 1) rows
     depth = int(np.ceil(np.log2(max(sample, 2))))
-    trees = forest.select("tree").distinct()
-    here = df.select(F.col(key).alias("k"), _vector(cols).alias("v")).join(F.broadcast(trees)).withColumns({"node": F.lit(1), "at": F.lit(0.0)})
+    last = forest.select(F.max("tree")).scalar()
+    trees = F.explode(F.sequence(F.lit(0), last)).alias("tree")
+    here = df.select(F.col(key).alias("k"), _vector(cols).alias("v"), trees).withColumns({"node": F.lit(1), "at": F.lit(0.0)})
     for _ in range(depth + 1):
         seen = here.join(nodes, ["tree", "node"], "left")
         step = F.when(F.get("v", F.col("feature")) < F.col("split"), 2 * F.col("node")).otherwise(2 * F.col("node") + 1)
