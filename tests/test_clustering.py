@@ -281,3 +281,21 @@ def test_starts_are_drawn_from_all_rows_and_weighted(spark):
     assert sorted(np.round(centers[:, 0], 1).tolist()) == [0.5, 5.0, 1000.0] and inertia < 1000
     same = spark.range(50).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
     assert kmeans.fit_kmeans(same, [2], n_init=2)[2][0] == 0.0
+
+
+def test_quality_of_fits_equals_the_metrics_and_passes_read_packed_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(700, 4)) + 1e3, rng.normal(size=(900, 4)) * 2, [[9e3, 0, 0, 0]]])
+    df = frame(spark, x).repartition(40)
+    found, blocks, shift = km._fitted(df, [2, 3, 5], 3, km.MAX_ITER, 7, km.TOL, "v")
+    # As many parts of sums as cores, whatever the partitions of the input; every row once.
+    assert blocks.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sum(len(b["b"]) for b in blocks.collect()) == x.size * 8
+    good = km.fit_quality(blocks, {k: c for k, (_, c) in found.items()})
+    for k, (inertia, centers) in found.items():
+        labelled = km.with_labels(df, centers + shift, "id")
+        at, gaps = km._nearest(x, centers + shift)
+        assert inertia == pytest.approx(gaps.sum(), rel=1e-9) and good[k]["sizes"] == {i: n for i, n in enumerate(np.bincount(at, minlength=k).tolist()) if n}
+        assert good[k]["silhouette"] == pytest.approx(metrics.silhouette_value(labelled), rel=1e-6)
+        assert good[k]["calinski_harabasz"] == pytest.approx(metrics.calinski_harabasz(labelled).first()[0], rel=1e-6)
+        assert good[k]["davies_bouldin"] == pytest.approx(metrics.davies_bouldin(labelled).first()[0], rel=1e-6)
