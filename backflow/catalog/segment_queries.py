@@ -427,8 +427,9 @@ SELECT cluster, feature, {r6('d', 'deviation_pct')}, direction FROM (SELECT *, r
 
 
 def returner_segments(spark, sf):
+    """Returners with a rule-made segment; checkpointed, since limits, means and rows are worked out from it one after the other."""
     f = rt.clustering_frame(order_lines(spark, sf))
-    return f.withColumn("cluster", (F.floor(F.col("return_rate") * 10) % 4 + F.when(F.col("recent_orders") > 1, 4).otherwise(0)).cast("int"))
+    return checkpoint(f.withColumn("cluster", (F.floor(F.col("return_rate") * 10) % 4 + F.when(F.col("recent_orders") > 1, 4).otherwise(0)).cast("int")))
 
 
 cte("seg", f"""

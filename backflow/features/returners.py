@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from backflow.features.current import is_returned, recent_cutoff
-from backflow.functions.expressions import ID, first_match, flag, ratio, round_to, whole_days, with_row
+from backflow.functions.expressions import ID, first_match, flag, or_zero, ratio, round_to, whole_days, with_row
 from backflow.operators.ordered import with_running
+from backflow.session import checkpoint
 
 # Columns used for segmenting in this variant.
 CLUSTER_FEATURES = [
@@ -21,38 +22,84 @@ def only_returners(lines: DataFrame) -> DataFrame:
     return lines.join(lines.where(is_returned()).select(ID).distinct(), ID, "left_semi")
 
 
-def returner_features(lines: DataFrame) -> DataFrame:
-    """Volume, rates, lifetime and recent activity of returners."""
-    mine = only_returners(lines)
+def _by_order(lines: DataFrame) -> DataFrame:
+    """Sums per (customer, order, instant): what this variant reads of a line beside its SKU."""
+    gap = F.when(is_returned() & F.col("return_date").isNotNull(), whole_days(F.col("order_date"), F.col("return_date")))
+    share = F.when(is_returned(), ratio(F.col("return_qty"), F.col("sales_qty")))
+    return lines.groupBy(ID, "sales_order_no", "order_date").agg(
+        F.count(F.lit(1)).alias("items"), F.sum(flag(is_returned())).alias("ret_items"),
+        F.sum("sales_qty").alias("sold"), F.count("sales_qty").alias("sold_rows"), F.sum("return_qty").alias("back"), F.count("return_qty").alias("back_rows"),
+        F.sum(gap).alias("gap_sum"), F.count(gap).alias("gaps"), F.min(gap).alias("gap_low"), F.max(gap).alias("gap_high"),
+        F.sum(share).alias("share_sum"), F.count(share).alias("shares"),
+    )
+
+
+def _returning(orders: DataFrame) -> DataFrame:
+    return orders.join(orders.where("ret_items > 0").select(ID).distinct(), ID, "left_semi")
+
+
+def _volume(mine: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row per returner from the rows of :func:`_by_order`; no row is copied for a distinct count."""
+    total = lambda c: F.sum(c).alias(c)
     recent = F.col("order_date") >= F.col("_cutoff")
-    items = F.count(F.lit(1))
-    back = F.sum(flag(is_returned()))
-    return mine.withColumn("_cutoff", recent_cutoff(mine)).groupBy(ID).agg(
-        F.countDistinct("sales_order_no").alias("sales_order_no_nunique"),
-        F.countDistinct("sku").alias("sku_nunique"),
-        F.sum("sales_qty").alias("sales_qty_sum"),
-        round_to(F.avg("sales_qty"), 2).alias("sales_qty_mean"),
-        F.sum("return_qty").alias("return_qty_sum"),
-        round_to(F.avg("return_qty"), 2).alias("return_qty_mean"),
-        round_to(ratio(F.sum("return_qty"), F.sum("sales_qty")), 3).alias("return_ratio"),
-        back.alias("items_returned_count"),
-        round_to(ratio(back, items), 3).alias("return_rate"),
-        F.countDistinct(F.when(is_returned(), F.col("sku"))).alias("return_product_variety"),
-        whole_days(F.min("order_date"), F.max("order_date")).alias("customer_lifetime_days"),
-        F.countDistinct(F.when(recent, F.col("sales_order_no"))).alias("recent_orders"),
-        F.sum(flag(recent & is_returned())).alias("recent_returns"),
+    per_order = mine.withColumn("_cutoff", recent_cutoff(mine)).groupBy(ID, "sales_order_no").agg(
+        *[total(c) for c in ("items", "ret_items", "sold", "sold_rows", "back", "back_rows", "gap_sum", "gaps", "share_sum", "shares")],
+        F.min("gap_low").alias("gap_low"), F.max("gap_high").alias("gap_high"), F.min("order_date").alias("first"), F.max("order_date").alias("last"),
+        F.max(flag(recent)).alias("recent"), F.sum(F.when(recent, F.col("ret_items")).otherwise(0)).alias("recent_returns"),
+    )
+    named = flag(F.col("sales_order_no").isNotNull())
+    sums = per_order.groupBy(ID).agg(
+        F.sum(named).alias("sales_order_no_nunique"), F.sum(F.col("recent") * named).alias("recent_orders"), F.avg(F.when(F.col("ret_items") > 0, F.col("ret_items"))).alias("avg_returns_per_order"),
+        *[total(c) for c in ("items", "ret_items", "sold", "sold_rows", "back", "back_rows", "gap_sum", "gaps", "share_sum", "shares", "recent_returns")],
+        (F.max("gap_high") - F.min("gap_low")).alias("return_timing_spread"), whole_days(F.min("first"), F.max("last")).alias("customer_lifetime_days"),
+    )
+    skus = lines.where(F.col("sku").isNotNull()).groupBy(ID, "sku").agg(F.max(flag(is_returned())).alias("ret"))
+    variety = skus.groupBy(ID).agg(F.count(F.lit(1)).alias("skus"), F.sum("ret").alias("variety"))
+    return sums.join(variety, ID, "left").select(
+        ID,
+        "sales_order_no_nunique",
+        or_zero(F.col("skus")).alias("sku_nunique"),
+        F.col("sold").alias("sales_qty_sum"),
+        round_to(ratio(F.col("sold"), F.col("sold_rows")), 2).alias("sales_qty_mean"),
+        F.col("back").alias("return_qty_sum"),
+        round_to(ratio(F.col("back"), F.col("back_rows")), 2).alias("return_qty_mean"),
+        round_to(ratio(F.col("back"), F.col("sold")), 3).alias("return_ratio"),
+        F.col("ret_items").alias("items_returned_count"),
+        round_to(ratio(F.col("ret_items"), F.col("items")), 3).alias("return_rate"),
+        or_zero(F.col("variety")).alias("return_product_variety"),
+        "customer_lifetime_days",
+        "recent_orders",
+        "recent_returns",
+        ratio(F.col("gap_sum"), F.col("gaps")).alias("avg_days_to_return"),
+        "return_timing_spread",
+        "avg_returns_per_order",
+        F.coalesce(ratio(F.col("share_sum"), F.col("shares")), F.lit(0.0)).alias("avg_return_intensity"),
+        ratio(F.col("ret_items"), F.col("sales_order_no_nunique")).alias("return_frequency_ratio"),
     )
 
 
+VOLUME_COLUMNS = [
+    "sales_order_no_nunique", "sku_nunique", "sales_qty_sum", "sales_qty_mean", "return_qty_sum", "return_qty_mean", "return_ratio",
+    "items_returned_count", "return_rate", "return_product_variety", "customer_lifetime_days", "recent_orders", "recent_returns",
+]
+
+
+def returner_features(lines: DataFrame) -> DataFrame:
+    """Volume, rates, lifetime and recent activity of returners."""
+    return _volume(_returning(_by_order(lines)), lines).select(ID, *VOLUME_COLUMNS)
+
+
 def recent_vs_avg(lines: DataFrame, min_orders: int = 10) -> DataFrame:
     """Return rate of the last quarter of the orders (three at least) over all orders.
 
     Orders rank by their first line. Ranks come per customer over order rows;
     beyond the order grain nothing is sorted.
     """
-    orders = only_returners(lines).groupBy(ID, "sales_order_no").agg(
-        F.min("order_date").alias("seen"), F.count(F.lit(1)).alias("items"), F.sum(flag(is_returned())).alias("back")
-    )
+    return _recent_vs_avg(_returning(_by_order(lines)), min_orders)
+
+
+def _recent_vs_avg(mine: DataFrame, min_orders: int = 10) -> DataFrame:
+    orders = mine.groupBy(ID, "sales_order_no").agg(F.min("order_date").alias("seen"), F.sum("items").alias("items"), F.sum("ret_items").alias("back"))
     per_day = _last_orders(orders)
     recent = F.col("newest") <= F.greatest(F.lit(3), F.floor(F.col("orders") * 0.25))
     sums = per_day.groupBy(ID).agg(
@@ -104,12 +151,18 @@ def return_intensity(lines: DataFrame) -> DataFrame:
     )
 
 
+# What the segmenting columns read of a line.
+LINE_COLUMNS = [ID, "sales_order_no", "order_date", "sku", "sales_qty", "return_qty", "return_date"]
+
+
 def clustering_frame(lines: DataFrame) -> DataFrame:
-    """The seventeen columns this variant segments on, rounded to 3 digits."""
-    parts = [recent_vs_avg(lines), return_timing_stats(lines), returns_per_order(lines), return_intensity(lines)]
-    out = returner_features(lines)
-    for part in parts:
-        out = out.join(part, ID, "left")
+    """The seventeen columns this variant segments on, rounded to 3 digits.
+
+    The lines are joined once and folded to orders once; both are checkpointed, and all columns start from them.
+    """
+    fixed = checkpoint(lines.select(*LINE_COLUMNS))
+    mine = checkpoint(_returning(checkpoint(_by_order(fixed))))
+    out = _volume(mine, fixed).join(_recent_vs_avg(mine), ID, "left")
     return out.select(ID, *[round_to(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 3).alias(c) for c in CLUSTER_FEATURES])
 
 

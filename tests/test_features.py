@@ -149,3 +149,18 @@ def test_empty_input_gives_empty_features(make_lines):
     lines = make_lines([{}]).where(F.lit(False))
     for job in (now.basic_volume, now.consecutive_returns, now.adjacency, now.category_intelligence, now.monetary, now.trend):
         assert job(lines).count() == 0
+
+
+def test_returner_segments_start_from_rows_worked_out_once(spark, make_lines):
+    from backflow.catalog import segment_queries
+    from conftest import SMALL
+
+    plan = segment_queries.returner_segments(spark, SMALL)._jdf.queryExecution().toString()
+    assert "parquet" not in plan.lower()
+    # An order over two days, one line without an order and one without a SKU; a customer without returns is left out.
+    items = [{"o": "1", "at": "2024-01-01", "sku": "a", "back": 1, "qty": 2, "ret": "2024-01-04"}, {"o": "1", "at": "2024-06-01", "sku": "b", "qty": 4},
+             {"o": None, "at": "2024-05-01", "sku": "a", "back": 3, "qty": 3}, {"o": "2", "at": "2024-02-01", "sku": None, "qty": 5}, {"c": "z", "o": "9", "at": "2025-01-01"}]
+    (row,) = rt.clustering_frame(make_lines(items)).collect()
+    want = {"sales_order_no_nunique": 2, "sku_nunique": 2, "return_rate": 0.5, "return_ratio": round(4 / 14, 3), "items_returned_count": 2, "return_product_variety": 1, "customer_lifetime_days": 152,
+            "recent_orders": 1, "recent_returns": 1, "sales_qty_mean": 3.5, "avg_days_to_return": 3, "return_timing_spread": 0, "avg_returns_per_order": 1, "return_frequency_ratio": 1, "avg_return_intensity": 0.75}
+    assert {c: row[c] for c in want} == want
