@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from backflow.catalog.twins import cte
 from backflow.features.current import core_table
 from backflow.functions.expressions import ID
+from backflow.session import checkpoint
 from backflow.sources.order_lines import order_lines, table
 
 
 def customer_base(spark: SparkSession, sf: str) -> DataFrame:
-    """Customer grain with volume, behaviour, timing and recency columns."""
-    return core_table(order_lines(spark, sf), money=False)
+    """Customer grain with volume, behaviour, timing and recency columns; checkpointed, since most jobs go over it more than once."""
+    return checkpoint(core_table(order_lines(spark, sf), money=False))
 
 
 cte("base", """

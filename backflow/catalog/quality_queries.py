@@ -14,6 +14,8 @@ from backflow.functions.expressions import ID, rounded
 from backflow.operators import clean, joins, profile, quality
 from backflow.operators.pivots import monthly_by_cluster
 from backflow.operators.prepare import CLUSTER_GROUPS
+from backflow.plans.layers import LINE_COLUMNS
+from backflow.session import checkpoint
 from backflow.sources.order_lines import order_lines, table
 
 QUERIES: dict = {}
@@ -75,7 +77,8 @@ _SOURCES = {"category": ("f06", now.category_intelligence), "adjacency": ("f07",
 
 
 def _group_tests(spark, sf):
-    lines, base = order_lines(spark, sf), common.customer_base(spark, sf)
+    lines = checkpoint(order_lines(spark, sf).select(*LINE_COLUMNS))
+    base = checkpoint(now.core_table(lines, money=False))
     return quality.feature_group_tests({g: _SOURCES[g][1](lines) if g in _SOURCES else base for g in TESTS_SQL})
 
 

@@ -14,6 +14,7 @@ from backflow.functions.expressions import ID, rounded
 from backflow.operators import clean, dbscan as db, kmeans as km, metrics, outliers, prepare as pre, quality
 from backflow.operators.quantiles import quantile_scalar
 from backflow.plans import report
+from backflow.plans.layers import LINE_COLUMNS
 from backflow.session import checkpoint
 from backflow.sources.order_lines import order_lines, table
 
@@ -109,8 +110,9 @@ names = lambda spark, cols: spark.createDataFrame([(c,) for c in cols], "feature
 
 
 def _silver_parts(spark, sf):
-    b = order_lines(spark, sf)
-    return common.customer_base(spark, sf).join(now.category_intelligence(b), ID, "left").join(now.seasonal(b), ID, "left").join(now.adjacency(b), ID, "left").join(now.trend(b), ID, "left")
+    """The base with the advanced groups; the lines are joined once, and the customer rows are checkpointed for the methods that go over them."""
+    b = checkpoint(order_lines(spark, sf).select(*LINE_COLUMNS))
+    return checkpoint(now.core_table(b, money=False).join(now.category_intelligence(b), ID, "left").join(now.seasonal(b), ID, "left").join(now.adjacency(b), ID, "left").join(now.trend(b), ID, "left"))
 
 
 def _selected(spark, sf):

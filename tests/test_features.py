@@ -164,3 +164,10 @@ def test_returner_segments_start_from_rows_worked_out_once(spark, make_lines):
     want = {"sales_order_no_nunique": 2, "sku_nunique": 2, "return_rate": 0.5, "return_ratio": round(4 / 14, 3), "items_returned_count": 2, "return_product_variety": 1, "customer_lifetime_days": 152,
             "recent_orders": 1, "recent_returns": 1, "sales_qty_mean": 3.5, "avg_days_to_return": 3, "return_timing_spread": 0, "avg_returns_per_order": 1, "return_frequency_ratio": 1, "avg_return_intensity": 0.75}
     assert {c: row[c] for c in want} == want
+
+
+def test_customer_base_is_worked_out_once(spark):
+    from backflow.catalog import common
+    from conftest import SMALL
+
+    assert "parquet" not in common.customer_base(spark, SMALL)._jdf.queryExecution().toString().lower()
