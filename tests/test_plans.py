@@ -45,3 +45,9 @@ def test_cluster_without_checkpoint_folder_is_refused(monkeypatch):
 def test_the_full_build_reads_the_lines_once(spark):
     text = plan_of(entry_module.queries()["f_20_create_all_features"](spark, SMALL))
     assert "FileScan" not in text and "Scan parquet" not in text  # every group starts from the checkpointed lines
+
+
+def test_substrings_of_ids_are_not_sent_out(spark):
+    """The ids are small, what is made of them is hundreds of times that: estimates from the ids must not choose a broadcast."""
+    text = plan_of(entry_module.queries()["jn_04_similar_emails"](spark, SMALL))
+    assert "Broadcast" not in text and "SortMergeJoin" in text
