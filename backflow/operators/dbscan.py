@@ -87,49 +87,70 @@ def _pivot_gaps(pivots: np.ndarray):
     return F.pandas_udf(gaps, "array<double>")
 
 
+def _numbered_blocks(cells: DataFrame, where: list[str], rows: int) -> DataFrame:
+    """(where.., blk, b, part): all blocks of the cells with a number, in parts of blocks side by side in the order of the cells, about ``rows`` rows each.
+
+    No global window: rows are counted inside each partition of the sorted blocks and added to those of the partitions before it.
+    """
+    blocks = cells.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*where, "blk", (F.col("n") / F.col("blocks")).alias("n"))
+    fixed = checkpoint(blocks.orderBy(*where, "blk").withColumn("b", F.monotonically_increasing_id())).withColumn("_at", F.spark_partition_id())
+    upto = Window.partitionBy("_at").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition.
+    sizes = fixed.groupBy("_at").agg(F.sum("n").alias("_n")).select("_at", F.coalesce(F.sum("_n").over(before), F.lit(0.0)).alias("_off"))
+    counted = fixed.withColumn("_n", F.coalesce(F.sum("n").over(upto), F.lit(0.0))).join(F.broadcast(sizes), "_at")
+    return counted.select(*where, "blk", "b", F.floor((F.col("_off") + F.col("_n")) / F.lit(float(rows))).cast("bigint").alias("part"))
+
+
+# Rows that a task holds of each of its two parts, and tasks that a small table is cut for, in parts.
+PART_ROWS, PARTS = 16384, 12
+
+
 def _tasks(points: DataFrame, block_rows: int, axes: list[str], pivots: int, eps: float) -> tuple[DataFrame, DataFrame]:
-    """Points with their block, and block pairs that can hold neighbours (each pair once).
+    """Points with their block, and block pairs that can hold neighbours (each pair once) with the task that compares them.
 
     A cell is a grid cell, cut by nearest pivot where it has more rows than a block. Two cells can hold neighbours where their grid cells are
     equal or touch and, by the triangle inequality, their ranges of distances to each pivot are no further apart than
-    ``eps``. Cells meet by grid cell, at most ``pivots`` squared pairs for each two of those, whatever the rows.
+    ``eps``. Cells meet by grid cell, at most ``pivots`` squared pairs for each two of those, whatever the rows. A task has all such
+    pairs between the blocks of two parts, so a block goes to a part's tasks once and not once for each pair.
     """
     where = ["grp", *axes, "region"]
     least = F.array(*[F.min(F.get("gaps", F.lit(i))) for i in range(pivots)])
     most = F.array(*[F.max(F.get("gaps", F.lit(i))) for i in range(pivots)])
-    cells = points.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("int").alias("blocks"), least.alias("lo"), most.alias("hi"))
+    size = F.count(F.lit(1))
+    cells = points.groupBy(*where).agg(size.alias("n"), F.ceil(size / F.lit(float(block_rows))).cast("int").alias("blocks"), least.alias("lo"), most.alias("hi"))
     cells = checkpoint(cells)
-    placed = points.drop("gaps").join(cells.select(*where, "blocks"), where).withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = checkpoint(_numbered_blocks(cells, where, min(PART_ROWS, max(block_rows, -(-total // PARTS)))))
+    placed = points.drop("gaps").join(cells.select(*where, "blocks"), where).withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    placed = placed.join(blocks.drop("part"), [*where, "blk"]).select("grp", "key", "v", "w", "b")
     # Half of the neighbourhood: every unordered cell pair appears once.
     steps = [s for s in product((-1, 0, 1), repeat=len(axes)) if s >= (0,) * len(axes)]
     offsets = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"s{i}") for i, x in enumerate(s)]) for s in steps]))
     left = cells.withColumn("s", offsets).select(
-        *where, F.col("blocks").alias("ba"), F.col("lo").alias("la"), F.col("hi").alias("ha"), *[(F.col(a) + F.col(f"s.s{i}")).alias(f"n_{a}") for i, a in enumerate(axes)]
+        *where, F.col("lo").alias("la"), F.col("hi").alias("ha"), *[(F.col(a) + F.col(f"s.s{i}")).alias(f"n_{a}") for i, a in enumerate(axes)]
     )
-    right = cells.select(F.col("grp").alias("g2"), *[F.col(a).alias(f"r_{a}") for a in [*axes, "region"]], F.col("blocks").alias("bb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    right = cells.select(F.col("grp").alias("g2"), *[F.col(a).alias(f"r_{a}") for a in [*axes, "region"]], F.col("lo").alias("lb"), F.col("hi").alias("hb"))
     touch = reduce(lambda x, y: x & y, [F.col(f"n_{a}") == F.col(f"r_{a}") for a in axes], F.col("grp") == F.col("g2"))
     same_grid = reduce(lambda x, y: x & y, [F.col(a) == F.col(f"r_{a}") for a in axes], F.lit(True))
     same = same_grid & (F.col("region") == F.col("r_region"))
     # Rounding of the distances is allowed for.
     limit = lambda far: F.lit(float(eps)) + F.lit(1e-9) * (F.lit(1.0) + far)
     apart = lambda low, high: F.exists(F.zip_with(low, high, lambda x, y: x - y > limit(x)), lambda out: out)
-    pairs = (
+    near = (
         left.join(right, touch)
         .where(~same_grid | (F.col("region") <= F.col("r_region")))
         .where(~apart(F.col("lb"), F.col("ha")) & ~apart(F.col("la"), F.col("hb")))
-        .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("ba") - 1)))
-        .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("bb") - 1)))
-        .where(~same | (F.col("x") <= F.col("y")))
-        .withColumn("task", F.concat_ws("|", *[F.col(c).cast("string") for c in ("grp", *axes, "region", "x", *[f"r_{a}" for a in axes], "r_region", "y")]))
-        .withColumn("alone", same & (F.col("x") == F.col("y")))
-    )
-    sides = pairs.select("task", "alone", *where, F.col("x").alias("blk"), F.lit(0).alias("role")).unionByName(
-        pairs.where(~F.col("alone")).select("task", "alone", "grp", *[F.col(f"r_{a}").alias(a) for a in [*axes, "region"]], F.col("y").alias("blk"), F.lit(1).alias("role"))
+        .select(*where, *[f"r_{a}" for a in [*axes, "region"]], same.alias("same"))
     )
-    return placed, sides
+    one = blocks.select(*where, F.col("b").alias("x"), F.col("part").alias("px"))
+    two = blocks.select("grp", *[F.col(a).alias(f"r_{a}") for a in [*axes, "region"]], F.col("b").alias("y"), F.col("part").alias("py"))
+    pairs = near.join(one, where).join(two, ["grp", *[f"r_{a}" for a in [*axes, "region"]]]).where(~F.col("same") | (F.col("x") <= F.col("y")))
+    return placed, pairs.select(F.least("px", "py").alias("p"), F.greatest("px", "py").alias("q"), "x", "y")
 
 
-def _located(df: DataFrame, folded: DataFrame, eps: float, vec: str, grid_dims: int, block_rows: int, pivots: int) -> tuple[DataFrame, DataFrame, list[str]]:
+def _located(df: DataFrame, folded: DataFrame, eps: float, vec: str, grid_dims: int, block_rows: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Points (grp, key, v, w, b) in numbered blocks, and block pairs (p, q, x, y) of the tasks (p, q)."""
     dims = _grid_dims(df, vec, grid_dims)
     axes = [f"c{i}" for i in range(len(dims))]
     cell = {a: F.floor(F.element_at("v", d + 1) / F.lit(float(eps))).cast("bigint") for a, d in zip(axes, dims)}
@@ -141,44 +162,43 @@ def _located(df: DataFrame, folded: DataFrame, eps: float, vec: str, grid_dims:
     open_to = F.slice("gaps", F.lit(1), F.col("cuts"))
     near = F.array_position(open_to, F.array_min(open_to)).cast("int") - 1
     cut = points.join(points.groupBy("grp", *axes).agg(cuts), ["grp", *axes]).withColumn("region", near).drop("cuts")
-    placed, sides = _tasks(checkpoint(cut), block_rows, axes, max(len(chosen), 1), eps)
-    return checkpoint(placed), checkpoint(sides), ["grp", *axes, "region", "blk"]
+    placed, pairs = _tasks(checkpoint(cut), block_rows, axes, max(len(chosen), 1), eps)
+    return checkpoint(placed), checkpoint(pairs)
+
+
+def _sent(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each point once for each task that has its block."""
+    end = lambda c: pairs.select(F.col("p").alias("to_p"), F.col("q").alias("to_q"), F.col(c).alias("b"))
+    ends = end("x").unionByName(end("y")).distinct()
+    return points.join(ends, "b")
 
 
 def compared_pairs(df: DataFrame, eps: float = 0.5, vec: str = "v", grid_dims: int = 2, block_rows: int = 1000, pivots: int = 32) -> DataFrame:
     """One row (points, compared, all_pairs): pairs of different vectors that :func:`dbscan` measures, and how many there are."""
     folded = df.where(F.col(vec).isNotNull()).select(F.lit(0).alias("grp"), F.col(vec).alias("v")).distinct().withColumn("key", F.xxhash64("v")).withColumn("w", F.lit(1.0))
-    located, sides, join_on = _located(df, folded, eps, vec, grid_dims, block_rows, pivots)
-    sizes = located.groupBy(*join_on).agg(F.count(F.lit(1)).alias("n"))
-    of = lambda role: F.coalesce(F.max(F.when(F.col("role") == role, F.col("n"))), F.lit(0))
-    per_task = sides.join(sizes, join_on).groupBy("task", "alone").agg(of(0).alias("a"), of(1).alias("b"))
-    one = F.when(F.col("alone"), F.col("a") * (F.col("a") - 1) / 2).otherwise(F.col("a") * F.col("b")).cast("bigint")
+    located, pairs = _located(df, folded, eps, vec, grid_dims, block_rows, pivots)
+    sizes = located.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda c: sizes.select(F.col("b").alias(c), F.col("n").alias(f"n_{c}"))
+    per_task = pairs.join(of("x"), "x").join(of("y"), "y")
+    one = F.when(F.col("x") == F.col("y"), F.col("n_x") * (F.col("n_x") - 1) / 2).otherwise(F.col("n_x") * F.col("n_y")).cast("bigint")
     n = sizes.select(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     return per_task.agg(F.coalesce(F.sum(one), F.lit(0)).alias("compared")).select(n.alias("points"), "compared", (n * (n - 1) / 2).cast("bigint").alias("all_pairs"))
 
 
-def _pairwise(pdf: pd.DataFrame, eps: float):
-    """Rows of both sides of a task and the (i, j) index pairs within ``eps``.
+def _close(x0: np.ndarray, y0: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """The (i, j) index pairs of rows of ``x0`` and ``y0`` within ``eps``.
 
     Inner products by matrix product name the candidates with room for rounding; distances of
     those near the limit are then taken coordinate by coordinate, which decides.
     """
-    a = pdf[pdf["role"] == 0].sort_values("key", ignore_index=True)
-    b = pdf[pdf["role"] == 1].sort_values("key", ignore_index=True)
-    alone = bool(pdf["alone"].iloc[0])
-    if alone:
-        b = a
-    if a.empty or b.empty:
-        # A block can stay without points; its pair then has no hits.
-        return a, b, alone, np.zeros(0, dtype=int), np.zeros(0, dtype=int)
-    x, y = np.array(a["v"].tolist()), np.array(b["v"].tolist())
-    middle = y.mean(axis=0)
-    x, y, x0, y0 = x - middle, y - middle, x, y
+    middle = y0.mean(axis=0)
+    x, y = x0 - middle, y0 - middle
     sx, sy = (x ** 2).sum(axis=1), (y ** 2).sum(axis=1)
     hits = []
-    for lo in range(0, len(x), 256):
-        size = sx[lo:lo + 256, None] + sy[None, :]
-        square = size - 2.0 * (x[lo:lo + 256] @ y.T)
+    step = max(16, (1 << 16) // len(y))
+    for lo in range(0, len(x), step):
+        size = sx[lo:lo + step, None] + sy[None, :]
+        square = size - 2.0 * (x[lo:lo + step] @ y.T)
         room = 1e-9 * (1.0 + size + eps * eps)
         sure = square <= eps * eps - room
         i, j = np.nonzero(~sure & (square <= eps * eps + room))
@@ -187,28 +207,71 @@ def _pairwise(pdf: pd.DataFrame, eps: float):
             sure[p, q] = np.sqrt(((x0[p + lo] - y0[q]) ** 2).sum(axis=1)) <= eps
         i, j = np.nonzero(sure)
         hits.append((i + lo, j))
-    i = np.concatenate([h[0] for h in hits])
-    j = np.concatenate([h[1] for h in hits])
-    return a, b, alone, i, j
+    return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+
 
+# Distances that one step of a task looks at together.
+STEP = 1 << 20
 
-def _forest(n: int, pairs) -> list[tuple[int, int]]:
-    """Spanning-forest edges: a dense block links in fewer edges than points."""
-    parent = list(range(n))
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+def _steps(rows: pd.DataFrame, pairs: pd.DataFrame, eps: float):
+    """Close rows of a task as steps (alone, i, j) of places in ``rows``, which are sorted by block.
 
-    kept = []
-    for i, j in pairs:
-        ri, rj = root(i), root(j)
-        if ri != rj:
-            parent[ri] = rj
-            kept.append((i, j))
-    return kept
+    A block meets its partners some at a time. ``alone``: a block with itself, where each pair is there in both orders and each row with itself.
+    """
+    names, first = np.unique(rows["b"].to_numpy(), return_index=True)
+    ends = dict(zip(names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(rows)])))
+    v = np.array(rows["v"].tolist(), dtype=float)
+    for x, partners in pairs.groupby("x")["y"]:
+        if x not in ends:
+            # A block can stay without points; its pairs then have no hits.
+            continue
+        lo, hi = ends[x]
+        others, held = [], 0
+        for y in [*partners.tolist(), None]:
+            if y == x:
+                i, j = _close(v[lo:hi], v[lo:hi], eps)
+                yield True, i + lo, j + lo
+            elif y in ends:
+                others.append(np.arange(*ends[y]))
+                held += len(others[-1])
+            if others and (y is None or held * (hi - lo) >= STEP):
+                at = np.concatenate(others)
+                i, j = _close(v[lo:hi], v[at], eps)
+                yield False, i + lo, at[j]
+                others, held = [], 0
+
+
+class _Forest:
+    """Spanning forest over numbered points: a dense block links in fewer edges than points."""
+
+    def __init__(self, n: int):
+        self.parent, self.kept = np.arange(n), []
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return up
+            self.parent = up
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        roots = self.roots()
+        open_to = roots[i] != roots[j]
+        i, j = i[open_to], j[open_to]
+        # One pair of points for each two parts that are linked here.
+        _, at = np.unique(roots[i] * len(roots) + roots[j], return_index=True)
+
+        def root(k: int) -> int:
+            while self.parent[k] != k:
+                k = self.parent[k]
+            return k
+
+        for p, q in zip(i[at].tolist(), j[at].tolist()):
+            rp, rq = root(p), root(q)
+            if rp != rq:
+                self.parent[max(rp, rq)] = min(rp, rq)
+                self.kept.append((p, q))
 
 
 def dbscan(
@@ -220,8 +283,8 @@ def dbscan(
     Copies of a vector fold into one weighted point. Points fall into grid cells
     of width ``eps`` on the widest coordinates, large ones cut further by their nearest of up to
     ``pivots`` reference vectors; cells whose distances to some pivot differ by more than
-    ``eps`` never meet, and a cell is split into blocks of about ``block_rows``, so a
-    task compares two bounded blocks whatever the skew. Tasks return neighbour
+    ``eps`` never meet, and a cell is split into blocks of about ``block_rows``. Blocks side by side form
+    parts of at most ``PART_ROWS`` rows, and a task compares those blocks of two bounded parts that can hold neighbours, whatever the skew. Tasks return neighbour
     counts, then spanning-forest edges between core points, never all pairs.
     Clusters number from 0 by their smallest core key; a border point joins the
     smallest-numbered cluster it touches. With ``group`` the clustering runs
@@ -230,38 +293,40 @@ def dbscan(
     source = df.select(F.col(key).alias("id0"), F.col(vec).alias("v"), (F.col(group) if group else F.lit(0)).cast("int").alias("grp"))
     folded = source.where("v IS NOT NULL").groupBy("grp", "v").agg(F.min("id0").alias("key"), F.count(F.lit(1)).cast("double").alias("w"))
     kind = dict(folded.dtypes)["key"]
-    located, sides, join_on = _located(df, folded, eps, vec, grid_dims, block_rows, pivots)
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, alone, i, j = _pairwise(pdf, eps)
-        wa, wb = a["w"].to_numpy(), b["w"].to_numpy()
-        out = [pd.DataFrame({"key": a["key"], "grp": a["grp"], "n": np.bincount(i, weights=wb[j], minlength=len(a))})]
-        if not alone:
-            out.append(pd.DataFrame({"key": b["key"], "grp": b["grp"], "n": np.bincount(j, weights=wa[i], minlength=len(b))}))
-        return pd.concat(out)
-
-    tasks = located.join(sides, join_on).select("task", "alone", "role", "grp", "key", "v", "w")
-    counts = tasks.groupBy("task").applyInPandas(count, f"key {kind}, grp int, n double").groupBy("key", "grp").agg(F.sum("n").alias("n"))
+    located, pairs = _located(df, folded, eps, vec, grid_dims, block_rows, pivots)
+
+    def count(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["b", "key"], ignore_index=True)
+        w, n = rows["w"].to_numpy(), np.zeros(len(rows))
+        for alone, i, j in _steps(rows, pairs, eps):
+            n += np.bincount(i, weights=w[j], minlength=len(rows))
+            if not alone:
+                n += np.bincount(j, weights=w[i], minlength=len(rows))
+        return pd.DataFrame({"key": rows["key"], "grp": rows["grp"], "n": n})
+
+    tasks = lambda points: _sent(points, pairs).groupBy("to_p", "to_q").cogroup(pairs.groupBy("p", "q"))
+    counts = tasks(located).applyInPandas(count, f"key {kind}, grp int, n double").groupBy("key", "grp").agg(F.sum("n").alias("n"))
     marked = checkpoint(located.join(counts, ["key", "grp"]).withColumn("core", F.col("n") >= min_samples).drop("n"))
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, alone, i, j = _pairwise(pdf, eps)
-        ka, kb = a["key"].to_numpy(), b["key"].to_numpy()
-        ca, cb = a["core"].to_numpy(dtype=bool), b["core"].to_numpy(dtype=bool)
-        rows = []
-        both = ca[i] & cb[j]
-        shift = 0 if alone else len(a)
-        for p, q in _forest(len(a) + (0 if alone else len(b)), zip(i[both].tolist(), (j[both] + shift).tolist())):
-            rows.append((ka[p], kb[q - shift], True))
-        for p, q in zip(i[~ca[i] & cb[j]], j[~ca[i] & cb[j]]):
-            rows.append((ka[p], kb[q], False))
-        if not alone:
-            for p, q in zip(i[ca[i] & ~cb[j]], j[ca[i] & ~cb[j]]):
-                rows.append((kb[q], ka[p], False))
-        return pd.DataFrame(rows, columns=["a", "b", "core"]).assign(grp=int(pdf["grp"].iloc[0]))[["a", "b", "core", "grp"]]
-
-    again = marked.join(sides, join_on).select("task", "alone", "role", "grp", "key", "v", "w", "core")
-    edges = checkpoint(again.groupBy("task").applyInPandas(link, f"a {kind}, b {kind}, core boolean, grp int"))
+    def link(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["b", "key"], ignore_index=True)
+        core, forest = rows["core"].to_numpy(dtype=bool), _Forest(len(rows))
+        border = [np.zeros(0, dtype=int)]
+        for alone, i, j in _steps(rows, pairs, eps):
+            forest.link(i[core[i] & core[j]], j[core[i] & core[j]])
+            for p, q in ((i, j),) if alone else ((i, j), (j, i)):
+                edge = ~core[p] & core[q]
+                # Core points of one tree are in one cluster, so one of them stands for all.
+                if edge.any():
+                    border.append(np.unique(p[edge] * len(rows) + forest.roots()[q[edge]]))
+        at, by = np.divmod(np.concatenate(border), len(rows))
+        touched = np.stack(np.divmod(np.unique(at * len(rows) + forest.roots()[by]), len(rows)), axis=1)
+        inner = np.array(forest.kept, dtype=int).reshape(-1, 2)
+        both = np.concatenate([inner, touched])
+        key = rows["key"].to_numpy()
+        return pd.DataFrame({"a": key[both[:, 0]], "b": key[both[:, 1]], "core": np.arange(len(both)) < len(inner), "grp": rows["grp"].to_numpy()[both[:, 0]]})
+
+    edges = checkpoint(tasks(marked).applyInPandas(link, f"a {kind}, b {kind}, core boolean, grp int"))
     # Keys are unique per group only through their vector, so a vertex is (grp, key).
     vertex = lambda c: F.struct("grp", F.col(c).alias("key"))
     cores = marked.where("core").select(F.struct("grp", "key").alias("v"))

@@ -299,3 +299,14 @@ def test_quality_of_fits_equals_the_metrics_and_passes_read_packed_blocks(spark)
         assert good[k]["silhouette"] == pytest.approx(metrics.silhouette_value(labelled), rel=1e-6)
         assert good[k]["calinski_harabasz"] == pytest.approx(metrics.calinski_harabasz(labelled).first()[0], rel=1e-6)
         assert good[k]["davies_bouldin"] == pytest.approx(metrics.davies_bouldin(labelled).first()[0], rel=1e-6)
+
+
+def test_a_point_goes_to_a_task_once_for_each_part_not_for_each_block(spark):
+    """One cell of 40 blocks that all meet: each point used to be sent some 40 times."""
+    rng = np.random.default_rng(4)
+    df = frame(spark, rng.uniform(0, 0.1, size=(400, 3)))
+    folded = df.select(F.lit(0).alias("grp"), "v", F.col("id").alias("key"), F.lit(1.0).alias("w"))
+    located, pairs = db._located(df, folded, 0.5, "v", 2, 10, 1)
+    assert pairs.count() == located.select("b").distinct().count() * (located.select("b").distinct().count() + 1) // 2
+    assert db._sent(located, pairs).count() <= 400 * (db.PARTS + 2)
+    assert pairs.distinct().count() == pairs.count()
