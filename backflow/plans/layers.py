@@ -11,7 +11,7 @@ from backflow.operators import dbscan as db, joins, kmeans as km, outliers, prep
 from backflow.operators.clean import complete_to_schema
 from backflow.plans import report
 from backflow.schemas import GOLD, SILVER
-from backflow.session import checkpoint
+from backflow.session import checkpoint, stored
 from backflow.sources.readers import scan_gold, scan_silver
 
 TOTALS = ("total_sales_qty", "total_return_qty")
@@ -19,16 +19,17 @@ TOTALS = ("total_sales_qty", "total_return_qty")
 
 # What the feature groups read of a line.
 LINE_COLUMNS = [
-    ID, "sales_order_no", "order_date", "sku", "q_sku_id", "sales_qty", "gross", "return_qty", "units_returned_flag", "return_date", "return_no", "q_cls_id", "class_",
+    ID, "sales_order_no", "order_date", "q_sku_id", "sales_qty", "gross", "return_qty", "return_date", "q_cls_id", "class_",
 ]
 
 
 def merged_features(bronze: DataFrame) -> DataFrame:
     """Every feature group side by side; all joins are on the customer key.
 
-    The lines are read once: the columns that the groups use are checkpointed, and every group starts from those rows.
+    The lines are read once: the columns that the groups use are stored, and every group reads its own of them from that table.
+    The finished customer rows are checkpointed.
     """
-    bronze = checkpoint(bronze.select(*LINE_COLUMNS))
+    bronze = stored(bronze.select(*LINE_COLUMNS))
     groups = {
         "core": now.core_table(bronze),
         "category": now.category_intelligence(bronze),
@@ -37,16 +38,16 @@ def merged_features(bronze: DataFrame) -> DataFrame:
         "seasonal": now.seasonal(bronze),
         "trend": now.trend(bronze),
     }
-    return joins.merge_feature_groups(groups, "core")
+    return checkpoint(joins.merge_feature_groups(groups, "core"))
 
 
 def build_silver(bronze: DataFrame) -> DataFrame:
     """Features, imputation, metadata and per-row flags in the silver schema.
 
-    The merged frame is checkpointed before imputation: the column means would
-    otherwise run every feature job a second time.
+    The merged frame is a checkpoint: the column means would otherwise run
+    every feature job a second time.
     """
-    merged = checkpoint(merged_features(bronze.where(F.col(ID).isNotNull())))
+    merged = merged_features(bronze.where(F.col(ID).isNotNull()))
     filled = pre.zero_fill(pre.drop_missing_core(merged))
     rest = [c for c in filled.columns if c not in pre.ZERO_FILLED and c not in pre.CORE_COLUMNS and c not in TOTALS]
     numeric = [c for c, t in filled.dtypes if c in rest and t in ("double", "bigint", "int")]

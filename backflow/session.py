@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +51,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in :func:`shared_folder`."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as a compressed table in :func:`shared_folder` and read back, for rows that several jobs read some columns of.
+
+    Columns keep small there and unused ones are not read; unlike a checkpoint the table stays until the folder is cleaned.
+    """
+    path = f"{shared_folder(df.sparkSession)}/lines-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

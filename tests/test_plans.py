@@ -51,3 +51,18 @@ def test_substrings_of_ids_are_not_sent_out(spark):
     """The ids are small, what is made of them is hundreds of times that: estimates from the ids must not choose a broadcast."""
     text = plan_of(entry_module.queries()["jn_04_similar_emails"](spark, SMALL))
     assert "Broadcast" not in text and "SortMergeJoin" in text
+
+
+def test_the_full_build_keeps_no_unused_line_columns(spark):
+    """The lines are stored as a compressed table with the columns that some feature group reads, not checkpointed as whole rows."""
+    from pathlib import Path
+
+    from backflow.plans import layers
+    from backflow.session import shared_folder
+    from backflow.sources.order_lines import order_lines
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("lines-*"))
+    layers.merged_features(order_lines(spark, SMALL))
+    (table,) = set(folder.glob("lines-*")) - before
+    assert not {"sku", "units_returned_flag", "return_no"} & set(spark.read.parquet(str(table)).columns)
