@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from backflow.llm.common import slices, texts_of
+from backflow.llm.common import fewer, slices, texts_of
 
 SIZES = (3, 4, 5)
 BINS = 1 << 20
@@ -131,39 +131,54 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col("label").cast("int"), F.col(text_col).alias("text"))
 
 
-def _class_counts(rows: DataFrame) -> np.ndarray:
-    """(2, BINS + 1) counts of documents that hold each bin, by label; the last column counts documents."""
+def _telling_grams(rows: DataFrame, kept: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Clean and toxic documents, and the bins and log ratios of the ``kept`` n-grams that stand out most, by bin.
+
+    Counts of all bins are added up and judged in tasks, a slice of the bins each; the driver gets the kept ones only.
+    """
     width = 1 << 14
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BINS), dtype=np.int64)
-        seen = np.zeros(2, dtype=np.int64)
+        seen = np.zeros((2, 1), dtype=np.int64)
         everything = np.ones(BINS, dtype=bool)
         for batch in slices(batches):
             for label, bins in zip(batch.column(0).to_pylist(), held_bins(texts_of(batch.column(1)), everything)):
                 total[label, bins] += 1
                 seen[label] += 1
         if seen.sum():
-            blobs = [total[:, at : at + width].astype("<i8").tobytes() for at in range(0, BINS, width)] + [seen.astype("<i8").tobytes()]
+            # Each slice takes the numbers of documents along, as its last column.
+            blobs = [np.hstack([total[:, at : at + width], seen]).astype("<i8").tobytes() for at in range(0, BINS, width)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "counts"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts = np.frombuffer(blob, dtype="<i8")
                 sums[part] = sums[part] + counts if part in sums else counts
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["part", "counts"])
-
-    out = np.zeros((2, BINS + 1), dtype=np.int64)
-    # Each task adds up one slice of the bins over all counting tasks; the driver gets one row per slice.
-    for row in rows.mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary").toLocalIterator():
-        counts = np.frombuffer(row.counts, dtype="<i8").reshape(2, -1)
-        if row.part * width < BINS:
-            out[:, row.part * width : row.part * width + width] = counts
-        else:
-            out[:, BINS] = counts[:, 0]
-    return out
+        for part, counts in sums.items():
+            counts = counts.reshape(2, -1)
+            clean, toxic = counts[:, width].tolist()
+            if part == 0:
+                yield pa.RecordBatch.from_pydict({"bin": [None], "ratio": [None], "certain": [None], "clean": [clean], "toxic": [toxic]}, schema)
+            if clean and toxic:
+                p, q = counts[1, :width] + 0.5, counts[0, :width] + 0.5
+                ratio = np.log(p / (toxic + 1)) - np.log(q / (clean + 1))
+                # The variance of a log ratio of two counts.
+                certain = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
+                at = np.flatnonzero(certain >= STANDS_OUT)
+                none = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(at + part * width, pa.int32()), pa.array(ratio[at]), pa.array(certain[at]), none, none], schema=schema)
+
+    schema = pa.schema([("bin", pa.int32()), ("ratio", pa.float64()), ("certain", pa.float64()), ("clean", pa.int64()), ("toxic", pa.int64())])
+    judged = rows.mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(judge, "bin int, ratio double, certain double, clean long, toxic long")
+    # The row with the numbers of documents has no bin and comes first. An iterator leaves the choice to a task.
+    best = list(judged.orderBy(F.desc_nulls_first("certain"), "bin").limit(kept + 1).toLocalIterator())
+    if not best:
+        return 0, 0, np.zeros(0, np.int64), np.zeros(0)
+    grams = sorted((row.bin, row.ratio) for row in best[1:])
+    return best[0].clean, best[0].toxic, np.array([g[0] for g in grams], dtype=np.int64), np.array([g[1] for g in grams], dtype=np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = SAMPLE_ROWS, kept: int = KEPT) -> Model:
@@ -172,18 +187,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Labels other than 0 and 1, null ids and labels without a document are left out. Without rows of both labels, the model scores
     every text with the share of label 1 (one half without any row).
     """
-    rows = training_rows(docs, labels, id_col, text_col, label_col, limit)
-    counts = _class_counts(rows)
-    clean, toxic = counts[0, BINS], counts[1, BINS]
+    # Fewer partitions: each counting task sends all bins, and the iterator below runs a job for each partition.
+    rows = fewer(training_rows(docs, labels, id_col, text_col, label_col, limit))
+    clean, toxic, bins, ratios = _telling_grams(rows, kept)
     if not clean or not toxic:
         share = (toxic + 0.5) / (clean + toxic + 1)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
-    p, q = counts[1, :BINS] + 0.5, counts[0, :BINS] + 0.5
-    ratio = np.log(p / (toxic + 1)) - np.log(q / (clean + 1))
-    # The variance of a log ratio of two counts.
-    certain = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
-    bins = np.flatnonzero(certain >= STANDS_OUT)
-    bins = np.sort(bins[np.argsort(-certain[bins], kind="stable")[:kept]])
     place = np.full(BINS, -1, dtype=np.int16)
     place[bins] = np.arange(len(bins))
     place_of = rows.sparkSession.sparkContext.broadcast(place)
@@ -198,8 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         targets.append(row.label)
         columns += row.columns
         starts.append(len(columns) // 2)
-    weights, bias = fit_logistic(np.array(starts), np.frombuffer(columns, dtype="<i2"), ratio[bins], np.array(targets, dtype=np.float64))
-    return Model(bins, ratio[bins] * weights, bias)
+    weights, bias = fit_logistic(np.array(starts), np.frombuffer(columns, dtype="<i2"), ratios, np.array(targets, dtype=np.float64))
+    return Model(bins, ratios * weights, bias)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -219,6 +219,30 @@ def test_held_out_labels_are_not_learned_from(spark, spoken):
     assert one.bias == two.bias and (one.bins == two.bins).all() and (one.weights == two.weights).all()
 
 
+def test_grams_are_chosen_in_tasks_and_partitions_are_put_together(spark, spoken):
+    docs, labels, _ = spoken
+    rows = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 20_000).collect()
+    counts, seen = np.zeros((2, toxicity.BINS)), np.bincount([r.label for r in rows], minlength=2)
+    for r in rows:
+        counts[r.label, next(toxicity.held_bins([r.text or ""], np.ones(toxicity.BINS, dtype=bool)))] += 1
+    q, p = counts + 0.5
+    ratio = np.log(p / (seen[1] + 1)) - np.log(q / (seen[0] + 1))
+    certain = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
+    least = np.sort(certain)[-50]
+    frame = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 20_000)
+    clean, toxic, bins, ratios = toxicity._telling_grams(frame, 50)
+    assert [clean, toxic] == seen.tolist() and len(bins) == 50 and (np.diff(bins) > 0).all()
+    assert np.allclose(ratios, ratio[bins]) and set(np.flatnonzero(certain > least * 1.000001)) <= set(bins) and (certain[bins] >= least * 0.999999).all()
+    context = spark.sparkContext
+    context.setJobGroup("many parts", "")
+    many = toxicity.fit(docs.repartition(300), labels)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    # The driver fetches the rows of a partition by a job each; there were more than 300.
+    assert len(context.statusTracker().getJobIdsForGroup("many parts")) <= 8 * context.defaultParallelism + 10
+    few = toxicity.fit(docs, labels)
+    assert (many.bins == few.bins).all() and np.allclose(many.weights, few.weights)
+
+
 def test_accepted_keeps_columns_and_empty_tables_work(spark, spoken):
     docs, labels, _ = spoken
     model = toxicity.fit(docs, labels)
