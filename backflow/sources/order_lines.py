@@ -32,14 +32,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lines that one task should join and fold, and lines that are worth a task of their own while cores are idle.
+LINES_A_TASK = 500_000
+LEAST_LINES = 25_000
+
+
+def parts_of_lines(spark: SparkSession, lines: int) -> int:
+    """Tasks for so many lines: their number grows with the lines, and small tables use the cores that there are."""
+    return max(1, -(-lines // LINES_A_TASK), min(spark.sparkContext.defaultParallelism, -(-lines // LEAST_LINES)))
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-grain bronze rows; joins are left to Catalyst and AQE.
 
-    Lines are dealt by order key, which the join with large orders needs anyway; where orders are small enough to be
-    sent out, it spreads a table of few files or row groups before the string work and the aggregates.
+    Lines are dealt by order key before the joins, which the join with large orders needs anyway; where orders are small enough to be
+    sent out, it spreads a table of few files or row groups before the string work and the aggregates. The number of parts goes by
+    the lines (counted from the files' footers): without it AQE puts the narrow rows together to one part a core, whatever their number.
     """
     frames = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "part")}
-    frames["lineitem"] = frames["lineitem"].repartition("l_orderkey")
+    frames["lineitem"] = frames["lineitem"].repartition(parts_of_lines(spark, frames["lineitem"].count()), "l_orderkey")
     return spark.sql(ORDER_LINES_SQL, **frames)
 
 

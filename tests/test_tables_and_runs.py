@@ -10,7 +10,7 @@ from backflow.operators import clean, joins
 from backflow.plans import pipeline
 from backflow.schemas import CLUSTERING_RESULTS, FEATURE_LOG, GOLD, QUALITY_ISSUES, SILVER, TABLES
 from backflow.sinks import tables as sinks
-from backflow.sources import readers
+from backflow.sources import order_lines as order_line_source, readers
 from backflow.sources.order_lines import order_lines
 from backflow.streaming.ingest import merge_staged, stage_new_files
 
@@ -174,3 +174,12 @@ def test_variant_build_is_kept_unless_forced(spark, tmp_path):
     order_lines(spark, SMALL).write.parquet(path)
     first = pipeline.run_variant(spark, path, "variant_features", force=True).count()
     assert first == pipeline.run_variant(spark, "/does/not/exist", "variant_features").count() > 0
+
+
+def test_parts_of_the_lines_grow_with_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(order_line_source, "LINES_A_TASK", 200)
+    lines = order_lines(spark, SMALL)
+    sizes = [r["count"] for r in lines.groupBy(F.spark_partition_id()).count().collect()]
+    # Few rows make no single part: AQE must not put the dealt ones together.
+    assert len(sizes) > 10 and max(sizes) < 4 * 200 and sum(sizes) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert order_line_source.parts_of_lines(spark, 0) == 1
