@@ -11,6 +11,7 @@ from backflow.functions.expressions import ID, banded, calendar_days, guarded_co
 from backflow.operators.ordered import with_running
 from backflow.operators.pivots import stacked
 from backflow.operators.quantiles import column_quantiles, quantile_row
+from backflow.session import checkpoint
 
 N = lambda: F.count(F.lit(1))
 
@@ -64,7 +65,8 @@ def customer_distribution(lines: DataFrame) -> DataFrame:
 def metric_distributions(lines: DataFrame) -> DataFrame:
     """mean, std, min, quartiles, p95, p99 and max of four customer metrics."""
     metrics = ["sales_qty_mean", "avg_order_size", "return_rate", "product_variety"]
-    c = customer_totals(lines).select(ID, *metrics)
+    # Cut once: the plain figures and the quantiles start from the customer rows, not from the lines.
+    c = checkpoint(customer_totals(lines).select(ID, *metrics))
     probs = {"q25": 0.25, "median": 0.5, "q75": 0.75, "p95": 0.95, "p99": 0.99}
     long = c.select(ID, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(ID, metrics, "feature", "value")
     plain = long.groupBy("feature").agg(

@@ -6,7 +6,7 @@ import pytest
 from conftest import SMALL, rows
 from pyspark.sql import functions as F
 
-from backflow.operators import clean, joins
+from backflow.operators import clean, joins, profile
 from backflow.plans import pipeline
 from backflow.schemas import CLUSTERING_RESULTS, FEATURE_LOG, GOLD, QUALITY_ISSUES, SILVER, TABLES
 from backflow.sinks import tables as sinks
@@ -183,3 +183,8 @@ def test_parts_of_the_lines_grow_with_the_lines(spark, monkeypatch):
     # Few rows make no single part: AQE must not put the dealt ones together.
     assert len(sizes) > 10 and max(sizes) < 4 * 200 and sum(sizes) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
     assert order_line_source.parts_of_lines(spark, 0) == 1
+
+
+def test_metric_distributions_start_from_customer_rows(spark):
+    # Both halves read a checkpoint, so the result names no file of the lines any more.
+    assert profile.metric_distributions(order_lines(spark, SMALL)).inputFiles() == []
