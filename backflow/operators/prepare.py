@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from backflow.functions.expressions import ID, joined_flags, unpivot, with_row
+from backflow.operators import forest
 from backflow.operators.pivots import equal_width_bins
 from backflow.operators.profile import correlations
 from backflow.operators.quantiles import column_quantiles, quantile_row
@@ -218,41 +219,27 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(cols, values)], "feature string, vif double")
 
 
-def _assembled(df: DataFrame, cols: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error").transform(df.fillna(0.0, cols))
-
-
 def _target(df: DataFrame, cols: list[str]) -> DataFrame:
     if "feature_completeness_score" in df.columns:
         return df.withColumn("_y", F.col("feature_completeness_score"))
     return completeness(df, cols).withColumnRenamed("feature_completeness_score", "_y")
 
 
-#: The deepest trees that the forest library grows.
+#: The deepest that trees grow.
 DEPTH = 30
 
 
 def rf_importance(df: DataFrame, cols: list[str], trees: int = 100, seed: int = 42, depth: int = DEPTH) -> DataFrame:
     """(feature, importance) of a random forest on completeness. NULL counts as 0; ``depth`` is the most that trees may grow to."""
-    from pyspark.ml.regression import RandomForestRegressor
-
-    data = _assembled(_target(df, cols), cols).select("features", "_y")
-    model = RandomForestRegressor(featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth, subsamplingRate=1.0, seed=seed).fit(data)
-    values = model.featureImportances.toArray()
+    data = _target(df, cols).fillna(0.0, cols).withColumn("_fold", F.lit(0))
+    values = forest.importances(data, cols, [(None, seed)], trees, depth)[0]
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(cols, values)], "feature string, importance double")
 
 
 def importance_stability(df: DataFrame, cols: list[str], folds: int = 5, trees: int = 50, seed: int = 42, depth: int = DEPTH) -> DataFrame:
     """Mean, spread and coefficient of variation of importances over folds (split by id hash)."""
-    from pyspark.ml.regression import RandomForestRegressor
-
-    data = _assembled(_target(df, cols), cols).select("features", "_y", F.pmod(F.xxhash64(ID), F.lit(folds)).alias("_fold"))
-    runs = []
-    for k in range(folds):
-        forest = RandomForestRegressor(featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed + k)
-        runs.append(forest.fit(data.where(F.col("_fold") != k)).featureImportances.toArray())
+    data = _target(df, cols).fillna(0.0, cols).withColumn("_fold", F.pmod(F.xxhash64(ID), F.lit(folds)))
+    runs = forest.importances(data, cols, [(k, seed + k) for k in range(folds)], trees, depth)
     mean, std = np.mean(runs, axis=0), np.std(runs, axis=0)
     rows = [(c, float(m), float(s), float(s / (m + 1e-10))) for c, m, s in zip(cols, mean, std)]
     return df.sparkSession.createDataFrame(rows, "feature string, mean_importance double, std_importance double, stability double")
