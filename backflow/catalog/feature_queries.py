@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from backflow.catalog.twins import cte, twin
 from backflow.features import current as now
 from backflow.functions.expressions import ID, rounded
+from backflow.session import stored
 from backflow.sources.order_lines import order_lines
 
 QUERIES: dict = {}
@@ -113,7 +114,8 @@ FROM (SELECT DISTINCT customer_emailid FROM order_lines) c LEFT JOIN (
  SELECT customer_emailid, count(DISTINCT (sku_a, sku_b)) AS o, count(*) FILTER (WHERE returned_a = 1 AND returned_b = 1) AS r,
   avg(CAST(days_between AS DOUBLE)) AS t, avg(CAST(days_between AS DOUBLE)) FILTER (WHERE returned_a = 1 AND returned_b = 1) AS rt
  FROM near_pairs GROUP BY customer_emailid) p ON c.customer_emailid = p.customer_emailid""")
-on_lines("f_07_adjacency", now.adjacency, f"""
+# The joins' shuffles are gone before those of the pairs begin.
+on_lines("f_07_adjacency", lambda b: now.adjacency(stored(b.select(ID, "q_sku_id", "order_date", "return_qty"))), f"""
 SELECT {K}, sku_adjacency_orders, sku_adjacency_returns, {rounding(['sku_adjacency_timing', 'sku_adjacency_return_timing'])} FROM f07""")
 
 cte("season_rows", """

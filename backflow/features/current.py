@@ -15,7 +15,7 @@ from backflow.functions.expressions import (
 from backflow.operators.blocks import near_pairs
 from backflow.operators.ordered import with_running
 from backflow.operators.quantiles import quantile_row, quantile_scalar
-from backflow.session import checkpoint
+from backflow.session import checkpoint, stored
 
 RECENT_DAYS = 90
 
@@ -250,7 +250,7 @@ def _distinct_sku_pairs(rows: DataFrame, days: int) -> DataFrame:
     near = ((F.col("bucket_a") == F.col("bucket_b")) & ~same_instant) | ((F.col("bucket_a") < F.col("bucket_b")) & (F.col("d0_b") - F.col("d1_a") <= days))
     pairs = near_pairs(folded, ID, "bucket", 1, ["sku"]).where((F.col("sku_a") != F.col("sku_b")) & near)
     unordered = pairs.select(ID, F.least("sku_a", "sku_b").alias("sku_a"), F.greatest("sku_a", "sku_b").alias("sku_b")).distinct()
-    return unordered.groupBy(ID).agg((2 * F.count(F.lit(1))).alias("sku_adjacency_orders"))
+    return checkpoint(unordered.groupBy(ID).agg((2 * F.count(F.lit(1))).alias("sku_adjacency_orders")))
 
 
 def adjacency(bronze: DataFrame, days: int = 14) -> DataFrame:
@@ -264,23 +264,26 @@ def adjacency(bronze: DataFrame, days: int = 14) -> DataFrame:
         day_number(F.col("order_date")).alias("day"), flag(is_returned()).alias("r"),
     )
     # The fold that all branches start from, worked out once. Lines without a SKU only tell that the customer exists.
-    return adjacency_scores(checkpoint(rows.groupBy(ID, "sku", "at", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r"))), days)
+    return adjacency_scores(stored(rows.groupBy(ID, "sku", "at", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r"))), days)
 
 
 def adjacency_scores(every: DataFrame, days: int = 14) -> DataFrame:
-    """Adjacency from one row per (customer, SKU, instant) with its day, lines ``n`` and returned lines ``r``."""
+    """Adjacency from one row per (customer, SKU, instant) with its day, lines ``n`` and returned lines ``r``.
+
+    Each branch ends in a checkpoint with a row for each customer, so that its shuffles are gone before the next one begins.
+    """
     counts = every.where(F.col("sku").isNotNull())
     square = lambda c: F.sum(F.col(c).cast("double") * F.col(c))
-    per_sku = _near_sums(counts, [ID, "sku"], days).groupBy(ID).agg(
+    per_sku = checkpoint(_near_sums(counts, [ID, "sku"], days).groupBy(ID).agg(
         *[F.sum(c).alias(f"sku_{c}") for c in ("n_pairs", "r_pairs", "n_days", "r_days")]
-    )
+    ))
     instant = counts.groupBy(ID, "at").agg(
         F.sum("n").alias("n"), F.sum("r").alias("r"), square("n").alias("n_both"), square("r").alias("r_both")
     )
-    per_instant = instant.groupBy(ID).agg(
+    per_instant = checkpoint(instant.groupBy(ID).agg(
         *[(square(c) - F.sum(f"{c}_both")).alias(f"at_{c}") for c in ("n", "r")]
-    )
-    sums = _near_sums(counts, [ID], days).join(per_sku, ID).join(per_instant, ID)
+    ))
+    sums = checkpoint(_near_sums(counts, [ID], days)).join(per_sku, ID).join(per_instant, ID)
     net = lambda c: F.col(f"{c}_pairs") - F.col(f"sku_{c}_pairs") - F.col(f"at_{c}")
     mean = lambda c: ratio(F.col(f"{c}_days") - F.col(f"sku_{c}_days"), net(c))
     measured = sums.join(_distinct_sku_pairs(counts, days), ID, "left").select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,10 +48,27 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept(spark: SparkSession):
+    """Shuffle files of the queries that run inside go when they end. Otherwise they stay until the driver's memory is cleaned, and add up over the jobs of a plan."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in :func:`shared_folder`."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with swept(df.sparkSession):
+        # A plan of its own: shuffles of ``df`` that an earlier action left stay as they are.
+        return df.select("*").checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -59,5 +77,6 @@ def stored(df: DataFrame) -> DataFrame:
     Columns keep small there and unused ones are not read; unlike a checkpoint the table stays until the folder is cleaned.
     """
     path = f"{shared_folder(df.sparkSession)}/lines-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with swept(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
