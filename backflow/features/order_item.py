@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, functions as F
 from backflow.features.current import recent_cutoff
 from backflow.functions.expressions import ID, banded, calendar_days, first_match, flag, or_zero, ratio, whole_days
 from backflow.operators.ordered import with_running
+from backflow.session import checkpoint, stored
+
+
+# What the summaries read of a line.
+SUMMARY_COLUMNS = [ID, "sales_order_no", "order_date", "sku", "q_cls_id", "line_no", "sales_qty", "return_qty", "units_returned_flag", "return_date"]
 
 
 def is_flagged():
@@ -53,8 +58,10 @@ def return_timing(lines: DataFrame) -> DataFrame:
 
 def item_streaks(lines: DataFrame) -> DataFrame:
     """Runs of returned lines: the running count of kept lines names the run."""
-    work = lines.withColumns({"is_return": flag(is_flagged()), "is_kept": flag(~is_flagged())})
-    runs = with_running(work, ID, "order_date", ["sales_order_no", "sku", "line_no", "return_qty"], sums={"run": "is_kept"})
+    # Only what the order and the runs need is sorted and kept.
+    ties = ["sales_order_no", "sku", "line_no", "return_qty"]
+    work = lines.select(ID, "order_date", *ties, flag(is_flagged()).alias("is_return"), flag(~is_flagged()).alias("is_kept"))
+    runs = with_running(work, ID, "order_date", ties, sums={"run": "is_kept"})
     lengths = runs.where("is_return = 1").groupBy(ID, "run").agg(F.count(F.lit(1)).alias("len"))
     return lengths.groupBy(ID).agg(
         F.count(F.lit(1)).alias("consecutive_returns"), F.avg("len").alias("avg_consecutive_returns")
@@ -65,11 +72,13 @@ def summary_features(lines: DataFrame, style: str = "table") -> DataFrame:
     """Feature table from the summaries.
 
     ``style="table"`` gives the tenure bands <90/<180/Mature; ``"notebook"``
-    adds the recent-to-overall ratio and stability and the band 'Established'.
+    adds the recent-to-overall ratio and stability and the band 'Established'. The columns that the summaries use are stored once, and
+    each summary's customer rows are checkpointed before the next one begins, so that its shuffles are gone by then.
     """
+    lines = stored(lines.select(*SUMMARY_COLUMNS))
     cutoff = recent_cutoff(lines)
     recent = F.col("order_date") >= F.col("_cutoff")
-    orders = order_summary(lines).withColumn("_cutoff", cutoff).groupBy(ID).agg(
+    orders = checkpoint(order_summary(lines).withColumn("_cutoff", cutoff).groupBy(ID).agg(
         F.countDistinct("sales_order_no").alias("orders"),
         F.avg("items_in_order").alias("avg_order_size"),
         F.sum("items_returned_in_order").alias("back"),
@@ -80,9 +89,9 @@ def summary_features(lines: DataFrame, style: str = "table") -> DataFrame:
         F.max("order_date").alias("last_order_date"),
         calendar_days(F.min("order_date"), F.max("order_date")).alias("calendar_life"),
         whole_days(F.min("order_date"), F.max("order_date")).alias("whole_life"),
-    )
+    ))
     bought = F.col("total_qty_purchased")
-    items = item_summary(lines).groupBy(ID).agg(
+    items = checkpoint(item_summary(lines).groupBy(ID).agg(
         F.countDistinct("sku").alias("sku_nunique"),
         F.sum("return_frequency").alias("items_returned_count"),
         F.avg("total_qty_purchased").alias("sales_qty_mean"),
@@ -91,11 +100,11 @@ def summary_features(lines: DataFrame, style: str = "table") -> DataFrame:
         F.sum("total_qty_purchased").alias("qty_bought"),
         F.countDistinct(F.when(F.col("return_frequency") > 0, F.col("sku"))).alias("return_product_variety"),
         F.avg(F.when(bought > 0, ratio(F.col("total_qty_returned"), bought))).alias("return_intensity"),
-    )
-    timing = return_timing(lines).groupBy(ID).agg(
+    ))
+    timing = checkpoint(return_timing(lines).groupBy(ID).agg(
         F.avg("days_to_return").alias("avg_days_to_return"), F.stddev_samp("days_to_return").alias("return_timing_spread")
-    )
-    joined = orders.join(items, ID, "left").join(timing, ID, "left").join(item_streaks(lines), ID, "left")
+    ))
+    joined = orders.join(items, ID, "left").join(timing, ID, "left").join(checkpoint(item_streaks(lines)), ID, "left")
     per_order = ratio(F.col("back"), F.col("orders"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     shared = [
