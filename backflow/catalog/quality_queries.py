@@ -15,7 +15,7 @@ from backflow.operators import clean, joins, profile, quality
 from backflow.operators.pivots import monthly_by_cluster
 from backflow.operators.prepare import CLUSTER_GROUPS
 from backflow.plans.layers import LINE_COLUMNS
-from backflow.session import checkpoint
+from backflow.session import checkpoint, stored
 from backflow.sources.order_lines import order_lines, table
 
 QUERIES: dict = {}
@@ -77,9 +77,10 @@ _SOURCES = {"category": ("f06", now.category_intelligence), "adjacency": ("f07",
 
 
 def _group_tests(spark, sf):
-    lines = checkpoint(order_lines(spark, sf).select(*LINE_COLUMNS))
+    # The rows of a group are checkpointed before the next one begins, so that its shuffles are gone by then.
+    lines = stored(order_lines(spark, sf).select(*LINE_COLUMNS))
     base = checkpoint(now.core_table(lines, money=False))
-    return quality.feature_group_tests({g: _SOURCES[g][1](lines) if g in _SOURCES else base for g in TESTS_SQL})
+    return quality.feature_group_tests({g: checkpoint(_SOURCES[g][1](lines)) if g in _SOURCES else base for g in TESTS_SQL})
 
 
 register("dq_02_feature_group_tests", _group_tests, U.join(
@@ -217,7 +218,9 @@ _LINE_GROUPS = {
 
 
 def _line_group_correlations(b):
-    parts = [profile.correlations(job(b), {g: CLUSTER_GROUPS[key]}) for g, (key, job, _) in _LINE_GROUPS.items()]
+    # Lines are joined once; the rows of a group are checkpointed before the next one begins, so that its shuffles are gone by then.
+    lines = stored(b.select(*LINE_COLUMNS))
+    parts = [profile.correlations(checkpoint(job(lines)), {g: CLUSTER_GROUPS[key]}) for g, (key, job, _) in _LINE_GROUPS.items()]
     return reduce(lambda x, y: x.unionByName(y), parts)
 
 
