@@ -15,7 +15,7 @@ from backflow.operators import clean, dbscan as db, kmeans as km, metrics, outli
 from backflow.operators.quantiles import quantile_scalar
 from backflow.plans import report
 from backflow.plans.layers import LINE_COLUMNS
-from backflow.session import checkpoint
+from backflow.session import checkpoint, stored
 from backflow.sources.order_lines import order_lines, table
 
 QUERIES: dict = {}
@@ -110,9 +110,12 @@ names = lambda spark, cols: spark.createDataFrame([(c,) for c in cols], "feature
 
 
 def _silver_parts(spark, sf):
-    """The base with the advanced groups; the lines are joined once, and the customer rows are checkpointed for the methods that go over them."""
-    b = checkpoint(order_lines(spark, sf).select(*LINE_COLUMNS))
-    return checkpoint(now.core_table(b, money=False).join(now.category_intelligence(b), ID, "left").join(now.seasonal(b), ID, "left").join(now.adjacency(b), ID, "left").join(now.trend(b), ID, "left"))
+    """The base with the advanced groups; the lines are joined once. The customer rows of each group are checkpointed before the next one begins, and so are those of all for the methods that go over them."""
+    b = stored(order_lines(spark, sf).select(*LINE_COLUMNS))
+    table = checkpoint(now.core_table(b, money=False))
+    for group in (now.category_intelligence, now.seasonal, now.adjacency, now.trend):
+        table = table.join(checkpoint(group(b)), ID, "left")
+    return checkpoint(table)
 
 
 def _selected(spark, sf):
