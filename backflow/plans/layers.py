@@ -27,16 +27,17 @@ def merged_features(bronze: DataFrame) -> DataFrame:
     """Every feature group side by side; all joins are on the customer key.
 
     The lines are read once: the columns that the groups use are stored, and every group reads its own of them from that table.
-    The finished customer rows are checkpointed.
+    Each group's customer rows are checkpointed before the next group begins, so that no more than one group's shuffles lie on disk; so are the
+    finished rows.
     """
     bronze = stored(bronze.select(*LINE_COLUMNS))
     groups = {
         "core": now.core_table(bronze),
-        "category": now.category_intelligence(bronze),
-        "consecutive": now.consecutive_returns(bronze),
-        "adjacency": now.adjacency(bronze),
-        "seasonal": now.seasonal(bronze),
-        "trend": now.trend(bronze),
+        "category": checkpoint(now.category_intelligence(bronze)),
+        "consecutive": checkpoint(now.consecutive_returns(bronze)),
+        "adjacency": checkpoint(now.adjacency(bronze)),
+        "seasonal": checkpoint(now.seasonal(bronze)),
+        "trend": checkpoint(now.trend(bronze)),
     }
     return checkpoint(joins.merge_feature_groups(groups, "core"))
 
